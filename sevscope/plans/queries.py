@@ -8,9 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import preset
-from ..operators import fusion, prep
-from ..sources.tickets import TICKET_COLUMNS, tickets
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+
+from ..config import MAX_TOKENS, preset
+from ..functions import text as tx
+from ..operators import dossier as dz
+from ..operators import fusion, ml, prep
+from ..operators import reports as rp
+from ..session import shared_path
+from ..sources import sinks
+from ..sources.tickets import (TICKET_COLUMNS, read_table, ticket_stream, tickets,
+                               with_vectors)
+from ..streaming import score as stream
+
+HEATMAP_CHANNELS = ("chat", "email", "phone", "social media", "unknown")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -132,3 +144,294 @@ def consensus_label(spark, sf_dir):
     """F17 + F19: equal-width rule bins and the three-signal disagreement gate."""
     return _audit(spark, sf_dir, "notebook").select(
         "ticket_id", "rule_severity", "signal_consensus", "severity_delta", "mismatch_label")
+
+
+# ------------------------------------------------------------------- evidence
+def _documented(spark, sf_dir):
+    return _audit(spark, sf_dir)
+
+
+@query
+def keyword_evidence(spark, sf_dir):
+    """F6 + F7 + T5: matched crisis terms per ticket, first five, weight."""
+    df = prep.prepare(tickets(spark, sf_dir), preset("documented"))
+    matched = tx.matched_crisis_terms(F.lower(F.col("full_text")))
+    return df.select("ticket_id", F.size(matched).alias("keyword_count"),
+                     tx.keyword_value(matched).alias("keyword_value"),
+                     tx.keyword_weight(matched).alias("keyword_weight"))
+
+
+def _dossier_flat(spark, sf_dir, style="notebook"):
+    df = _documented(spark, sf_dir)
+    median = dz.hours_median_after_fill(df)
+    flagged = df.where(F.col("mismatch_label") == 1)
+    return dz.dossier_columns(flagged, median, style=style)
+
+
+@query
+def dossiers(spark, sf_dir):
+    """F21-F27 + A2: one evidence record per labelled mismatch (flat fields)."""
+    return _dossier_flat(spark, sf_dir)
+
+
+@query
+def dossier_preview(spark, sf_dir):
+    """T4: the first three dossiers in ticket order (the limit is the feature)."""
+    df = _documented(spark, sf_dir)
+    median = dz.hours_median_after_fill(df)
+    first = df.where(F.col("mismatch_label") == 1).orderBy("ticket_id").limit(3)
+    return dz.dossier_columns(first, median, style="notebook")
+
+
+@query
+def dossier_json(spark, sf_dir):
+    """F26 + S5: nested dossiers as JSON objects (NULL keys dropped)."""
+    return dz.dossier_json(_dossier_flat(spark, sf_dir, "notebook"), "notebook")
+
+
+@query
+def flagged(spark, sf_dir):
+    """P10 + P12: display columns of flagged tickets."""
+    return dz.flagged(dz.label_as_prediction(_documented(spark, sf_dir)))
+
+
+# -------------------------------------------------------------------- reports
+@query
+def priority_counts(spark, sf_dir):
+    """A8 + T3: assigned priority counts, NULLs dropped, descending."""
+    return rp.value_counts(_documented(spark, sf_dir), "ticket_priority", "priority")
+
+
+@query
+def cluster_counts(spark, sf_dir):
+    """Counts per (cluster, cluster_severity)."""
+    return rp.pair_counts(_documented(spark, sf_dir), "cluster", "cluster_severity")
+
+
+@query
+def dashboard_kpis(spark, sf_dir):
+    """A11 + A12 + P11 + F28."""
+    return rp.dashboard_kpis(dz.label_as_prediction(_documented(spark, sf_dir)))
+
+
+@query
+def delta_heatmap(spark, sf_dir):
+    """A13 (long form)."""
+    return rp.delta_heatmap(_documented(spark, sf_dir))
+
+
+@query
+def delta_heatmap_wide(spark, sf_dir):
+    """A13 as a type x channel table, absent cells 0."""
+    return rp.delta_heatmap_wide(_documented(spark, sf_dir), HEATMAP_CHANNELS)
+
+
+@query
+def mismatch_type_counts(spark, sf_dir):
+    """Counts by mismatch type."""
+    df = _documented(spark, sf_dir)
+    return df.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def confidence_histogram(spark, sf_dir):
+    """20 fixed bins over [0.5, 1] of the flagged confidence."""
+    return rp.confidence_histogram(dz.label_as_prediction(_documented(spark, sf_dir)))
+
+
+@query
+def assigned_vs_inferred(spark, sf_dir):
+    """Assigned and inferred level counts, tagged."""
+    return rp.assigned_vs_inferred(_documented(spark, sf_dir))
+
+
+@query
+def signal_agreement(spark, sf_dir):
+    """A16 + A17: per-signal quartile buckets vs the fused level and each other."""
+    return rp.signal_agreement(_documented(spark, sf_dir))
+
+
+@query
+def ablation(spark, sf_dir):
+    """Label rebuilt from five signal subsets."""
+    return rp.ablation(_documented(spark, sf_dir))
+
+
+@query
+def label_distribution(spark, sf_dir):
+    """Label and type counts with shares."""
+    return rp.label_distribution(_documented(spark, sf_dir))
+
+
+@query
+def signal_summary(spark, sf_dir):
+    """A10: describe() of the signals."""
+    return rp.signal_summary(_documented(spark, sf_dir))
+
+
+# ---------------------------------------------------------- model input/split
+def _model_input(spark, sf_dir):
+    return ml.model_input(_documented(spark, sf_dir))
+
+
+@query
+def model_input(spark, sf_dir):
+    """P8 + P9 + A4 + P14: classifier rows and tagged input text."""
+    mi = _model_input(spark, sf_dir)
+    return mi.select("ticket_id", "input_text", "ticket_channel",
+                     F.round("resolution_norm", 9).alias("resolution_norm"), "label")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    """Exact 72/8/20 stratified split without a global sort."""
+    return ml.split_input(_model_input(spark, sf_dir)).select("ticket_id", "label", "split")
+
+
+@query
+def class_weights(spark, sf_dir):
+    """A20 + T2: class weights on the train split."""
+    sp = ml.split_input(_model_input(spark, sf_dir))
+    return rp.class_weights(sp.where(F.col("split") == "train"), "label")
+
+
+@query
+def channel_index(spark, sf_dir):
+    """M3: alphabetical channel index (unseen channels get the extra index)."""
+    df = _documented(spark, sf_dir).select("ticket_id", "ticket_channel")
+    idx = StringIndexer(inputCol="ticket_channel", outputCol="ci",
+                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
+    return idx.transform(df).select("ticket_id", "ticket_channel",
+                                    F.col("ci").cast("int").alias("channel_index"))
+
+
+@query
+def truncate_tokens(spark, sf_dir):
+    """M4: whitespace tokens of the lowered input, capped at 256 for the model
+    (the total count is kept, the cap is the feature)."""
+    mi = _model_input(spark, sf_dir)
+    toks = F.filter(F.split(F.lower("input_text"), r"\s+"), lambda t: t != "")
+    return mi.select("ticket_id", F.size(toks).alias("n_tokens"),
+                     F.least(F.size(toks), F.lit(MAX_TOKENS)).alias("n_kept"),
+                     F.array_join(F.slice(toks, 1, MAX_TOKENS), " ").alias("tokens_text"))
+
+
+# ------------------------------------------------------------ classification
+def _doc_quality(spark, sf_dir):
+    """labels x documents: the one driver table pair with a binary truth."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    j = lab.join(docs, "doc_id")
+    med = j.agg(F.percentile("n_chars", 0.5).alias("m")).first()["m"]
+    return j.select(F.col("quality").alias("label"),
+                    (F.col("n_chars") > F.lit(med)).cast("int").alias("prediction"))
+
+
+@query
+def classification_report(spark, sf_dir):
+    """A21 + A22 + S6: report of a fixed rule (long documents = quality 1)
+    against ``labels.quality``."""
+    return rp.classification_report(_doc_quality(spark, sf_dir))
+
+
+@query
+def threshold_check(spark, sf_dir):
+    """Published thresholds against the report."""
+    return rp.threshold_check(rp.classification_report(_doc_quality(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------- Spark ML
+@query
+def tfidf_vectors(spark, sf_dir):
+    """M1 fallback: TF-IDF vectors of the ticket text (size and norm)."""
+    df = prep.prepare(tickets(spark, sf_dir), preset("documented"))
+    v = ml.tfidf_vectors(df.select("ticket_id", "full_text"))
+    arr = vector_to_array("vector")
+    return v.select("ticket_id",
+                    F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
+                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6)
+                    .alias("l2"))
+
+
+@query
+def kmeans_clusters(spark, sf_dir):
+    """M2 + W2: k-means (k=4, best of 3 seeds) over the ticket vectors, the
+    clusters ranked by mean resolution hours."""
+    cfg = preset("documented")
+    p = prep.prepare(tickets(spark, sf_dir), cfg)
+    filled = prep.fill_hours(p, prep.hours_median(p, cfg))
+    vec = ml.embedding_features(with_vectors(spark, sf_dir,
+                                             filled.select("ticket_id", "resolution_hours")))
+    model, data = ml.kmeans_best(vec)
+    pred = model.transform(data).select("ticket_id", "resolution_hours",
+                                        F.col("kmeans_cluster").cast("int").alias("cluster"))
+    means = pred.groupBy("cluster").agg(F.avg("resolution_hours").alias("m")).collect()
+    ranks = {r["cluster"]: i for i, r in enumerate(sorted(means, key=lambda r: (r["m"], r["cluster"])))}
+    sev_expr = None
+    for c, r in ranks.items():
+        sev_expr = (F.when(F.col("cluster") == c, r) if sev_expr is None
+                    else sev_expr.when(F.col("cluster") == c, r))
+    return pred.select("ticket_id", "cluster", sev_expr.alias("cluster_severity"))
+
+
+def _trained(spark, sf_dir, select=True):
+    return ml.train(_model_input(spark, sf_dir), select=select)
+
+
+@query
+def train_classifier(spark, sf_dir):
+    """M5 + M8: weighted logistic regression on the train split, report on
+    the held-out test split."""
+    t = _trained(spark, sf_dir, select=False)
+    test = ml.score(t.model, t.split.where(F.col("split") == "test"))
+    return rp.classification_report(test)
+
+
+@query
+def best_candidate(spark, sf_dir):
+    """M6 + T6: regularisation grid, validation accuracy / macro F1, best kept."""
+    return _trained(spark, sf_dir).grid
+
+
+@query
+def score_classifier(spark, sf_dir):
+    """M7 + F20: every ticket scored by the selected model."""
+    t = _trained(spark, sf_dir, select=False)
+    return ml.score(t.model, t.split).select("ticket_id", "prediction", "model_confidence")
+
+
+@query
+def predictions_out(spark, sf_dir):
+    """Predictions CSV with the true ticket id (written, read back)."""
+    df = _documented(spark, sf_dir)
+    t = ml.train(ml.model_input(df), select=False)
+    scored = ml.score(t.model, t.split).select("ticket_id", "prediction", "model_confidence")
+    out = df.join(scored, "ticket_id").select(*sinks.PREDICTION_COLUMNS)
+    path = sinks.write_predictions(out, shared_path(spark, "predictions"))
+    return sinks.read_predictions(spark, path)
+
+
+# ------------------------------------------------------------------ streaming
+@query
+def score_fixed(spark, sf_dir):
+    """X1 fixed mode: single-ticket rules over a stream of tickets."""
+    cfg = preset("documented")
+    return stream.stream_tickets(spark, ticket_stream(spark, sf_dir), cfg,
+                                 lambda p: stream.score_fixed(p, cfg),
+                                 stream.FIXED_COLUMNS, "score_fixed")
+
+
+@query
+def score_frozen(spark, sf_dir):
+    """X1 frozen mode: a batch-fitted model saved, loaded and applied to a
+    stream; each ticket gets its batch label whenever it arrives."""
+    cfg = preset("documented")
+    a = fusion.audit(tickets(spark, sf_dir), cfg)
+    path = shared_path(spark, "models", "signal")
+    a.model.save(path)
+    a.unpersist()
+    model = fusion.SignalModel.load(spark, path)
+    out = stream.stream_tickets(spark, ticket_stream(spark, sf_dir), cfg,
+                                lambda p: stream.score_frozen(p, model), _FUSED, "score_frozen")
+    return out.select(*[_r(c) if c in ("rule_score_norm", "resolution_severity") else c
+                        for c in _FUSED])

@@ -65,10 +65,30 @@ def _by_mod(key: Column, mod: int, values, default: Column) -> Column:
     return expr.otherwise(default)
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderpriority")
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ticket table: one row per order, the columns of FIXTURES.md §6."""
-    o = spread(read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority"))
+    o = spread(read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS))
+    return derive_tickets(spark, sf_dir, o)
+
+
+def ticket_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The same tickets as a stream: ``orders`` read by the file stream source,
+    the side tables joined as static data (stream-static joins)."""
+    base = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{base}/orders.parquet").schema
+    # the file source watches a directory; the glob keeps it to the orders files
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    o = reader.parquet(base).select(*ORDER_COLUMNS)
+    return derive_tickets(spark, sf_dir, o)
+
+
+def derive_tickets(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
+    """Ticket columns derived from an orders frame (batch or stream)."""
     c = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey"), F.col("c_mktsegment"))
     # only doc_id 0..199 and vec_id 0..499 can match: bounded broadcast sides
@@ -117,14 +137,15 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ticket_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticket_id, embedding) with the same key rule as the ``cluster`` column."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+def with_vectors(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Attach each ticket's text vector (``embedding``, 64 floats) with the
+    same key rule as the ``cluster`` column; the vector table side is cut to
+    the reachable key range and broadcast."""
     e = (read_table(spark, sf_dir, "embeddings")
          .where((F.col("vec_id") >= 0) & (F.col("vec_id") < VEC_KEYS))
          .select("vec_id", "embedding"))
-    return (o.join(F.broadcast(e), (o.o_orderkey % VEC_KEYS) == e.vec_id, "inner")
-             .select(F.col("o_orderkey").alias("ticket_id"), "embedding"))
+    return (df.join(F.broadcast(e), (F.col("ticket_id") % VEC_KEYS) == e.vec_id, "inner")
+              .drop("vec_id"))
 
 
 # The same view as SQL text, runnable unchanged in Spark and DuckDB; used as the
