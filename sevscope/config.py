@@ -192,9 +192,9 @@ def preset(name: str = "documented", **overrides) -> AuditConfig:
 class MLConfig:
     """Spark ML classifier settings (re-aimed transformer fine-tuning)."""
 
-    num_features: int = 1 << 18
+    num_features: int = 1 << 16
     min_doc_freq: int = 1
-    max_iter: int = 50
+    max_iter: int = 30
     reg_params: tuple = (0.0, 0.01, 0.1)
     elastic_net: float = 0.0
     seed: int = SPLIT_SEED

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
 
 from ..config import MAX_TOKENS, preset
 from ..functions import text as tx
@@ -343,14 +342,10 @@ def threshold_check(spark, sf_dir):
 # ------------------------------------------------------------------- Spark ML
 @query
 def tfidf_vectors(spark, sf_dir):
-    """M1 fallback: TF-IDF vectors of the ticket text (size and norm)."""
+    """M1 fallback: L2-normalised TF-IDF vectors of the whole ticket text."""
     df = prep.prepare(tickets(spark, sf_dir), preset("documented"))
     v = ml.tfidf_vectors(df.select("ticket_id", "full_text"))
-    arr = vector_to_array("vector")
-    return v.select("ticket_id",
-                    F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
-                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6)
-                    .alias("l2"))
+    return v.select("ticket_id", F.size("tokens").alias("n_tokens"), "vector")
 
 
 @query
