@@ -33,8 +33,10 @@ def label_as_prediction(df: DataFrame) -> DataFrame:
 
 def hours_median_after_fill(df: DataFrame, exact: bool = True) -> float:
     """A2: median of the filled hours (one aggregate)."""
-    agg = (F.percentile("resolution_hours", 0.5) if exact
-           else F.percentile_approx("resolution_hours", 0.5, 1_000_000))
+    if exact:
+        from .quantiles import exact_quantile
+        return float(exact_quantile(df, "resolution_hours", 0.5))
+    agg = F.percentile_approx("resolution_hours", 0.5, 1_000_000)
     return float(df.agg(agg.alias("m")).first()["m"])
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..config import FIXED_CUTS, AuditConfig
 from ..functions import severity as sev
 from . import prep, signals
+from .quantiles import exact_quantiles
 
 OUTPUT_COLUMNS = (
     "rule_score_norm", "cluster_severity", "resolution_severity", "rule_z",
@@ -99,12 +100,14 @@ class SignalModel:
     def _percentile_cuts(self, filled: DataFrame) -> tuple:
         """p25/p50/p75 of the fused score, linear interpolation."""
         score = self._with_signals(filled).select("inferred_severity_score")
-        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
         if self.cfg.exact:
-            agg = F.percentile("inferred_severity_score", probs)
+            cuts = exact_quantiles(score, {"s": F.col("inferred_severity_score")},
+                                   [0.25, 0.5, 0.75])["s"]
+            cuts = None if cuts[0] is None else cuts
         else:
+            probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
             agg = F.percentile_approx("inferred_severity_score", probs, self.cfg.accuracy)
-        cuts = score.agg(agg.alias("p")).first()["p"]
+            cuts = score.agg(agg.alias("p")).first()["p"]
         if cuts is None:
             raise ValueError("fused score is undefined for every ticket")
         return tuple(float(c) for c in cuts)

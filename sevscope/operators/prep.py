@@ -78,9 +78,14 @@ def median_expr(c: Column | str, cfg: AuditConfig) -> Column:
 
 
 def hours_median(prepped: DataFrame, cfg: AuditConfig) -> float:
-    """A1: median of the parsed hours (NULLs ignored). One small aggregate
-    over the time column only (Catalyst prunes every other column)."""
-    m = prepped.agg(median_expr("hours_parsed", cfg).alias("m")).first()["m"]
+    """A1: median of the parsed hours (NULLs ignored), over the time column
+    only (Catalyst prunes every other column); exact without a one-task
+    merge of all values (``quantiles.exact_quantiles``)."""
+    if cfg.exact:
+        from .quantiles import exact_quantile
+        m = exact_quantile(prepped, "hours_parsed", 0.5)
+    else:
+        m = prepped.agg(median_expr("hours_parsed", cfg).alias("m")).first()["m"]
     if m is None:
         raise ValueError("no ticket has a parsable resolution time; "
                          "the median used to fill missing times is undefined")

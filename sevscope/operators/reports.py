@@ -3,8 +3,9 @@
 Every report is an aggregate with map-side partial aggregation: only a few
 rows per partition and group reach the shuffle. Groups are few (severity
 levels, channels, configurations), so a hot group never lands whole in one
-task: partial aggregates are merged, not rows. Percentile cuts use Spark's
-exact ``percentile`` (or ``percentile_approx`` for very large inputs).
+task: partial aggregates are merged, not rows. Percentile cuts are exact
+(``quantiles.exact_quantiles``: bucketed selection, no one-task merge of a
+whole column) or ``percentile_approx`` when asked.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import (CLASS_NAMES, CONSISTENT, DEFAULT_WEIGHTS, FALSE_ALARM,
                       HIDDEN_CRISIS, REQUIRED_THRESHOLDS)
 from ..functions import severity as sev
+from .quantiles import exact_quantiles
 
 PROBS = (0.25, 0.5, 0.75)
 
@@ -113,8 +115,14 @@ def signal_summary(df: DataFrame, cols=("rule_score_norm", "cluster_severity",
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _pct(x, exact).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.max(x).alias(f"{c}__max")]
+        if not exact:
+            aggs.append(_pct(x, exact).alias(f"{c}__q"))
     wide = df.agg(*aggs)
+    if exact:
+        q = exact_quantiles(df, {c: F.col(c) for c in cols}, PROBS)
+        wide = wide.withColumns({
+            f"{c}__q": F.array(*[F.lit(v).cast("double") for v in q[c]]) for c in cols})
     items = []
     for c in cols:
         items.append(F.struct(
@@ -130,7 +138,11 @@ def signal_summary(df: DataFrame, cols=("rule_score_norm", "cluster_severity",
 def _own_cut_codes(df: DataFrame, scores: dict, exact: bool = True) -> tuple[DataFrame, dict]:
     """Bucket each named score column by its own p25/p50/p75 (one aggregate
     for every column), returning the frame with ``<name>_code`` columns."""
-    cuts_row = df.agg(*[_pct(c, exact).alias(n) for n, c in scores.items()]).first()
+    if exact:
+        cuts_row = exact_quantiles(df, scores, PROBS)
+        cuts_row = {n: (None if v[0] is None else v) for n, v in cuts_row.items()}
+    else:
+        cuts_row = df.agg(*[_pct(c, exact).alias(n) for n, c in scores.items()]).first()
     out = df
     cuts = {}
     for n, c in scores.items():

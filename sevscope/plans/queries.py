@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..operators import dossier as dz
 from ..operators import fusion, ml, prep
 from ..operators import reports as rp
+from ..operators.quantiles import exact_quantile
 from ..session import shared_path
 from ..sources import sinks
 from ..sources.tickets import (TICKET_COLUMNS, read_table, ticket_stream, tickets,
@@ -321,7 +322,7 @@ def _doc_quality(spark, sf_dir):
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     j = lab.join(docs, "doc_id")
-    med = j.agg(F.percentile("n_chars", 0.5).alias("m")).first()["m"]
+    med = exact_quantile(j, "n_chars", 0.5)
     return j.select(F.col("quality").alias("label"),
                     (F.col("n_chars") > F.lit(med)).cast("int").alias("prediction"))
 
