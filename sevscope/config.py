@@ -139,6 +139,9 @@ class AuditConfig:
     cuts: str = "percentile"
     gate: str = "rule_agrees"
     weights: tuple = DEFAULT_WEIGHTS
+    # lexicons are data: pass other term lists to audit another vocabulary
+    crisis_terms: tuple = CRISIS_TERMS
+    low_terms: tuple = LOW_TERMS
     fill_type: bool = True
     dossier_style: str = "predict"
     exact: bool = True

@@ -50,14 +50,14 @@ def term_hits(text: Column, terms) -> Column:
     return acc
 
 
-def crisis_hits(lower_text: Column) -> Column:
+def crisis_hits(lower_text: Column, terms=CRISIS_TERMS) -> Column:
     """F2."""
-    return term_hits(lower_text, CRISIS_TERMS)
+    return term_hits(lower_text, terms)
 
 
-def low_hits(lower_text: Column) -> Column:
+def low_hits(lower_text: Column, terms=LOW_TERMS) -> Column:
     """F3."""
-    return term_hits(lower_text, LOW_TERMS)
+    return term_hits(lower_text, terms)
 
 
 def negations(lower_text: Column) -> Column:
@@ -75,10 +75,10 @@ def rule_score(tenths: Column) -> Column:
     return tenths / 10.0
 
 
-def matched_crisis_terms(lower_text: Column) -> Column:
+def matched_crisis_terms(lower_text: Column, terms=CRISIS_TERMS) -> Column:
     """crisis terms found in the text, in lexicon order (array<string>)."""
     return F.array_compact(F.array(*[F.when(lower_text.contains(t), F.lit(t))
-                                     for t in CRISIS_TERMS]))
+                                     for t in terms]))
 
 
 def keyword_value(matched: Column) -> Column:
@@ -88,9 +88,9 @@ def keyword_value(matched: Column) -> Column:
                   ).otherwise(F.lit("none"))
 
 
-def keyword_weight(matched: Column) -> Column:
-    """round(min(n / 18, 1), 3), half-even."""
-    return F.bround(F.least(F.size(matched) / float(len(CRISIS_TERMS)), F.lit(1.0)), 3)
+def keyword_weight(matched: Column, n_terms: int = len(CRISIS_TERMS)) -> Column:
+    """round(min(n / lexicon size, 1), 3), half-even."""
+    return F.bround(F.least(F.size(matched) / float(n_terms), F.lit(1.0)), 3)
 
 
 def py_str(c: Column) -> Column:

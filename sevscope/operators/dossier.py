@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DOSSIER_TEXT
+from ..config import CRISIS_TERMS, DOSSIER_TEXT
 from ..functions import severity as sev
 from ..functions import text as tx
 
@@ -46,11 +46,11 @@ def _pystr(c: Column) -> Column:
 
 
 def dossier_columns(df: DataFrame, median: float, style: str = "predict",
-                    confidence: Column | None = None) -> DataFrame:
+                    confidence: Column | None = None, crisis_terms=CRISIS_TERMS) -> DataFrame:
     """Flat dossier fields for every row of ``df`` (filter to flagged first)."""
     words = DOSSIER_TEXT[style]
     low = F.lower(F.col("full_text"))
-    matched = tx.matched_crisis_terms(low)
+    matched = tx.matched_crisis_terms(low, crisis_terms)
     if style == "notebook":
         # unknown priority counts as medium
         delta = F.col("inferred_severity_numeric") - F.coalesce(F.col("priority_numeric"), F.lit(1))
@@ -67,7 +67,7 @@ def dossier_columns(df: DataFrame, median: float, style: str = "predict",
         sev.dossier_direction(delta).alias("mismatch_type"),
         delta.cast("string").alias("severity_delta"),
         tx.keyword_value(matched).alias("keyword_value"),
-        tx.keyword_weight(matched).cast("string").alias("keyword_weight"),
+        tx.keyword_weight(matched, len(crisis_terms)).cast("string").alias("keyword_weight"),
         F.concat(hours1, F.lit(" hours")).alias("resolution_value"),
         F.when(F.col("resolution_hours") > F.lit(median), F.lit(words["above"]))
          .otherwise(F.lit(words["below"])).alias("resolution_interpretation"),

@@ -220,7 +220,8 @@ class SignalModel:
     def load(cls, spark: SparkSession, path: str) -> "SignalModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         cfg_d = meta.pop("cfg")
-        cfg_d["weights"] = tuple(cfg_d["weights"])
+        for k in ("weights", "crisis_terms", "low_terms"):
+            cfg_d[k] = tuple(cfg_d[k])
         cfg = AuditConfig(**cfg_d)
         meta["cluster_severity"] = {k: v for k, v in meta["cluster_severity"]}
         meta["cuts"] = tuple(meta["cuts"])
@@ -245,7 +246,7 @@ class Audit:
 
 def prepare_signals(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     """Prepared tickets with rule terms (no statistics needed yet)."""
-    return prep.add_rule_terms(prep.prepare(df, cfg))
+    return prep.add_rule_terms(prep.prepare(df, cfg), cfg)
 
 
 def audit(df: DataFrame, cfg: AuditConfig | None = None, persist: bool = True) -> Audit:

@@ -98,12 +98,13 @@ def fill_hours(prepped: DataFrame, median: float) -> DataFrame:
         "resolution_hours", F.coalesce(F.col("hours_parsed"), F.lit(float(median))))
 
 
-def add_rule_terms(df: DataFrame) -> DataFrame:
+def add_rule_terms(df: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
     """F2-F5 over the whole lowered text."""
+    cfg = cfg or AuditConfig()
     low = F.lower(F.col("full_text"))
     return (df.withColumns({
-                "crisis_hits": tx.crisis_hits(low),
-                "low_hits": tx.low_hits(low),
+                "crisis_hits": tx.crisis_hits(low, cfg.crisis_terms),
+                "low_hits": tx.low_hits(low, cfg.low_terms),
                 "negations": tx.negations(low)})
               .withColumns({
                 "rule_tenths": tx.rule_tenths(F.col("crisis_hits"), F.col("low_hits"),

@@ -67,7 +67,7 @@ def score_job(spark: SparkSession, tickets: DataFrame, models: FitOutputs, out:
               style: str = "predict") -> dict:
     out = out.rstrip("/")
     model = fusion.SignalModel.load(spark, models.signal_model)
-    prepared = prep.add_rule_terms(prep.prepare(tickets, model.cfg))
+    prepared = prep.add_rule_terms(prep.prepare(tickets, model.cfg), model.cfg)
     labelled = model.transform(prep.fill_hours(prepared, model.median_hours))
     clf = PipelineModel.load(models.classifier)
     mi = ml.model_input(labelled)

@@ -51,6 +51,7 @@ _FUSED = ("SELECT ticket_id, round(rule_score_norm, 9) AS rule_score_norm, clust
 ORACLES["fuse_documented"] = audit_sql("documented", _FUSED)
 ORACLES["fuse_train"] = audit_sql("train", _FUSED)
 ORACLES["fuse_notebook"] = audit_sql("notebook", _FUSED)
+ORACLES["fuse_app"] = audit_sql("app", _FUSED)
 
 ORACLES["mismatch_label"] = audit_sql(
     "documented",

@@ -73,7 +73,7 @@ def parse_resolution(spark, sf_dir):
 def rule_signal(spark, sf_dir):
     """Lexicon hits, negations and the rule score."""
     cfg = preset("documented")
-    df = prep.add_rule_terms(prep.prepare(tickets(spark, sf_dir), cfg))
+    df = prep.add_rule_terms(prep.prepare(tickets(spark, sf_dir), cfg), cfg)
     return df.select("ticket_id", "crisis_hits", "low_hits",
                      F.col("negations").cast("int").alias("negations"),
                      "rule_tenths", "rule_score")
@@ -132,6 +132,13 @@ def fuse_notebook(spark, sf_dir):
     return _fused(spark, sf_dir, "notebook")
 
 
+@query
+def fuse_app(spark, sf_dir):
+    """The interactive batch view: z-score fusion, percentile cuts, no label
+    gate (label = |delta| >= 2), ticket type not filled."""
+    return _fused(spark, sf_dir, "app")
+
+
 @query
 def mismatch_label(spark, sf_dir):
     """Delta, rule agreement, binary label and type."""

@@ -79,5 +79,5 @@ def run_available(stream: DataFrame, name: str,
 
 def stream_tickets(spark: SparkSession, source: DataFrame, cfg: AuditConfig,
                    scorer: Callable[[DataFrame], DataFrame], columns, name: str) -> DataFrame:
-    prepared = prep.add_rule_terms(prep.prepare(source, cfg))
+    prepared = prep.add_rule_terms(prep.prepare(source, cfg), cfg)
     return run_available(scorer(prepared).select(*columns), name, spark)
