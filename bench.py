@@ -22,6 +22,7 @@ HEADLINE = (
     "fuse_documented",      # full audit: prep, 3 signals, fusion, percentile cuts, gate
     "fuse_train",
     "fuse_notebook",
+    "document_rule_signal", # rule signal over whole multilingual documents
     "dossiers",             # evidence records for every flagged ticket
     "dashboard_kpis",
     "delta_heatmap",

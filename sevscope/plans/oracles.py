@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..config import DOSSIER_TEXT, preset
-from .oracle_sql import (audit_sql, audit_with, dbl, matched_terms_sql, prep_ctes,
-                         severity_name_sql, spark_quantile, sql_str)
+from ..config import CRISIS_TERMS, DOSSIER_TEXT, LOW_TERMS, preset
+from .oracle_sql import (audit_sql, audit_with, dbl, hits_sql, matched_terms_sql,
+                         negations_sql, prep_ctes, severity_name_sql, spark_quantile,
+                         sql_str)
 
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +29,19 @@ ORACLES["rule_signal"] = _prep_select(
     "CAST(low_hits AS INTEGER) AS low_hits, CAST(negations AS INTEGER) AS negations, "
     "CAST(rule_tenths AS INTEGER) AS rule_tenths, rule_score FROM filled")
 
+_DL = "lower(coalesce(text, ''))"
+ORACLES["document_rule_signal"] = (
+    f"SELECT doc_id, CAST({hits_sql(_DL, CRISIS_TERMS)} AS INTEGER) AS crisis_hits, "
+    f"CAST({hits_sql(_DL, LOW_TERMS)} AS INTEGER) AS low_hits, "
+    f"CAST({negations_sql(_DL)} AS INTEGER) AS negations, "
+    f"CAST(10 * {hits_sql(_DL, CRISIS_TERMS)} - 5 * {hits_sql(_DL, LOW_TERMS)} "
+    f"- 3 * {negations_sql(_DL)} AS INTEGER) AS rule_tenths, "
+    f"CAST(10 * {hits_sql(_DL, CRISIS_TERMS)} - 5 * {hits_sql(_DL, LOW_TERMS)} "
+    f"- 3 * {negations_sql(_DL)} AS DOUBLE) / {dbl(10)} AS rule_score, "
+    f"CASE WHEN len({matched_terms_sql(_DL)}) > 0 "
+    f"THEN array_to_string({matched_terms_sql(_DL)}[1:5], ', ') ELSE 'none' END AS keyword_value "
+    "FROM documents")
+
 ORACLES["rule_percentile"] = audit_sql(
     "documented",
     "SELECT ticket_id, CAST(rule_tenths AS INTEGER) AS rule_tenths, "

@@ -18,8 +18,8 @@ from ..operators import reports as rp
 from ..operators.quantiles import exact_quantile
 from ..session import shared_path
 from ..sources import sinks
-from ..sources.tickets import (TICKET_COLUMNS, read_table, ticket_stream, tickets,
-                               with_vectors)
+from ..sources.tickets import (TICKET_COLUMNS, read_table, spread, ticket_stream,
+                               tickets, with_vectors)
 from ..streaming import score as stream
 
 HEATMAP_CHANNELS = ("chat", "email", "phone", "social media", "unknown")
@@ -79,6 +79,24 @@ def rule_signal(spark, sf_dir):
                      "rule_tenths", "rule_score")
 
 
+@query
+def document_rule_signal(spark, sf_dir):
+    """F2-F5 over every whole document text (up to tens of thousands of
+    words, four languages): the rule signal as a per-row expression."""
+    cfg = preset("documented")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    c, lo, n = (tx.crisis_hits(low, cfg.crisis_terms), tx.low_hits(low, cfg.low_terms),
+                tx.negations(low))
+    return docs.select("doc_id", c.alias("crisis_hits"), lo.alias("low_hits"),
+                       n.cast("int").alias("negations"),
+                       tx.rule_tenths(c, lo, n).alias("rule_tenths"),
+                       tx.matched_crisis_terms(low, cfg.crisis_terms).alias("matched"))\
+               .select("doc_id", "crisis_hits", "low_hits", "negations", "rule_tenths",
+                       tx.rule_score(F.col("rule_tenths")).alias("rule_score"),
+                       tx.keyword_value(F.col("matched")).alias("keyword_value"))
+
+
 @query
 def rule_percentile(spark, sf_dir):
     """W1 + J3: tie-averaged percentile rank of the rule score, times 3."""

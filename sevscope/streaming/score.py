@@ -59,16 +59,18 @@ def score_frozen(prepared: DataFrame, model: fusion.SignalModel) -> DataFrame:
     return model.transform(prep.fill_hours(prepared, model.median_hours))
 
 
-def run_available(stream: DataFrame, name: str,
-                  spark: SparkSession | None = None) -> DataFrame:
-    """Process everything available now into a Parquet sink; return it."""
+def run_available(stream: DataFrame, name: str, spark: SparkSession | None = None,
+                  out: str | None = None) -> DataFrame:
+    """Process everything available now into a Parquet sink; return it.
+    Re-running with the same ``out`` resumes from its checkpoint: files
+    already committed are not processed again."""
     spark = spark or stream.sparkSession
-    out = shared_path(spark, "streams", name)
+    out = out or shared_path(spark, "streams", name)
     q = (stream.writeStream.format("parquet")
          .option("path", out)
          .option("checkpointLocation", out + "-checkpoint")
          .outputMode("append")
-         .queryName(f"sevscope_{name}_{out[-8:]}")
+         .queryName(f"sevscope_{name}_{abs(hash(out)) % 10**8}")
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
