@@ -47,7 +47,7 @@ def collect_stats(df: DataFrame, max_rows: int) -> BatchStats:
     if len(rows) > max_rows:
         raise ValueError(
             f"more than {max_rows} distinct rule scores; raise max_stat_rows "
-            "or use the approximate mode")
+            "(the histogram is collected as a batch statistic)")
     glob = [r for r in rows if r["gid"] == GID_ALL]
     if not glob or glob[0]["n"] == 0:
         raise ValueError("empty ticket table")
@@ -74,7 +74,7 @@ def rank_table(spark: SparkSession, histogram: list, n: int) -> DataFrame:
     hist = spark.createDataFrame(histogram, "rule_tenths int, n long")
     dense = (spark.range(lo - 1, hi + 2, numPartitions=1)
              .select(F.col("id").cast("int").alias("rule_tenths"))
-             .join(hist, "rule_tenths", "left")
+             .join(F.broadcast(hist), "rule_tenths", "left")
              .withColumn("n", F.coalesce("n", F.lit(0))))
     w = Window.orderBy("rule_tenths").rowsBetween(Window.unboundedPreceding, -1)
     less = F.coalesce(F.sum("n").over(w), F.lit(0))
