@@ -55,6 +55,18 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "sevscope", *parts, uuid.uuid4().hex])
 
 
+def stage(df, name: str):
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    back: the lineage is cut (a lost executor re-reads the files instead of
+    recomputing the plan) and later tasks carry only a file scan. Used before
+    iterative fits and for tables several jobs reuse. One pass, unlike an
+    eager ``checkpoint()`` of an unpersisted frame, which computes it twice."""
+    spark = df.sparkSession
+    path = shared_path(spark, "stage", name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))
