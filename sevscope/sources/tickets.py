@@ -78,12 +78,20 @@ def ticket_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     """The same tickets as a stream: ``orders`` read by the file stream source,
     the side tables joined as static data (stream-static joins)."""
     base = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{base}/orders.parquet").schema
+    batch = spark.read.parquet(f"{base}/orders.parquet")
     # the file source watches a directory; the glob keeps it to the orders files
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet")
+    reader = spark.readStream.schema(batch.schema).option("pathGlobFilter", "orders*.parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     o = reader.parquet(base).select(*ORDER_COLUMNS)
+    # Same rule as ``spread``: planning the batch scan of the files present
+    # lists them and computes their splits without reading data. Few splits
+    # (a small single-row-group file) would leave a micro-batch on one core,
+    # so only then the stream is spread round-robin; many or large files are
+    # split by the reader and get no extra shuffle.
+    cores = spark.sparkContext.defaultParallelism
+    if batch.rdd.getNumPartitions() < cores:
+        o = o.repartition(cores)
     return derive_tickets(spark, sf_dir, o)
 
 
