@@ -34,3 +34,11 @@ def test_frozen_stream_equals_batch(spark, small_dir):
         .select("ticket_id", "inferred_severity", "mismatch_label"), "frozen", spark)
     streamed = {r["ticket_id"]: (r["inferred_severity"], r["mismatch_label"]) for r in got.collect()}
     assert streamed == batch
+
+
+def test_single_split_stream_is_spread(spark, small_dir):
+    # sf0.001 orders is one small row group: one split, fewer than the cores
+    assert spark.read.parquet(f"{small_dir}/orders.parquet").rdd.getNumPartitions() < \
+        spark.sparkContext.defaultParallelism
+    plan = ticket_stream(spark, small_dir)._jdf.queryExecution().logical().toString()
+    assert "Repartition" in plan
