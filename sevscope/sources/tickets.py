@@ -2,9 +2,12 @@
 
 The driver tables carry no support-ticket text, so the ticket columns are
 derived from ``orders`` by key (see FIXTURES.md §6). One ticket per order; the
-work grows with ``orders``. The small side tables are cut to the key range the
-derivation can reach before they are broadcast, so the broadcast size is
-bounded by that range, not by the data.
+work grows with ``orders``. Every document and every embedding row is used:
+an order takes the whole text of document ``o_orderkey % (document count)``
+and the label of embedding ``o_orderkey % (embedding count)``, so the side
+tables are read whole. They grow with the data, so no broadcast is forced:
+AQE broadcasts a side only when its runtime size is under the threshold and
+otherwise joins by shuffle (uniform keys, no hot key).
 """
 
 from __future__ import annotations
@@ -31,9 +34,6 @@ DESCRIPTION_PREFIXES = (
 CHANNELS = ("email", "chat", "phone", "social media")
 PRIORITY_BY_ORDER = {"1-URGENT": "Critical", "2-HIGH": " high ",
                      "3-MEDIUM": "MEDIUM", "5-LOW": "low"}
-DOC_KEYS = 200
-VEC_KEYS = 500
-DESCRIPTION_CHARS = 200
 CLUSTERS = 4
 
 TICKET_COLUMNS = ("ticket_id", "ticket_subject", "ticket_description",
@@ -95,28 +95,36 @@ def ticket_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return derive_tickets(spark, sf_dir, o)
 
 
+def _key_mod(key: Column, n: int) -> Column:
+    """``key % n``; NULL (no match) for an empty side table."""
+    return key % F.lit(n) if n > 0 else F.lit(None).cast("long")
+
+
+def side_counts(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Row counts of ``documents`` and ``embeddings`` (answered from the
+    Parquet footers; no column is read)."""
+    return (read_table(spark, sf_dir, "documents").count(),
+            read_table(spark, sf_dir, "embeddings").count())
+
+
 def derive_tickets(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     """Ticket columns derived from an orders frame (batch or stream)."""
+    n_docs, n_vecs = side_counts(spark, sf_dir)
     c = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey"), F.col("c_mktsegment"))
-    # only doc_id 0..199 and vec_id 0..499 can match: bounded broadcast sides
-    d = (read_table(spark, sf_dir, "documents")
-         .where((F.col("doc_id") >= 0) & (F.col("doc_id") < DOC_KEYS))
-         .select(F.col("doc_id"),
-                 F.substring("text", 1, DESCRIPTION_CHARS).alias("doc_head")))
-    e = (read_table(spark, sf_dir, "embeddings")
-         .where((F.col("vec_id") >= 0) & (F.col("vec_id") < VEC_KEYS))
-         .select("vec_id", "label"))
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id"), F.col("text").alias("doc_text"))
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
 
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
-          .join(F.broadcast(d), (o.o_orderkey % DOC_KEYS) == d.doc_id, "left")
-          .join(F.broadcast(e), (o.o_orderkey % VEC_KEYS) == e.vec_id, "left"))
+          .join(d, _key_mod(o.o_orderkey, n_docs) == d.doc_id, "left")
+          .join(e, _key_mod(o.o_orderkey, n_vecs) == e.vec_id, "left"))
 
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     subject = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(
         _by_mod(k, 8, [F.lit(s) for s in SUBJECTS],
                 F.concat(F.lit("Order "), k.cast("string"))))
-    head = F.col("doc_head")
+    head = F.col("doc_text")
     description = F.when(ck % 19 == 0, F.lit(None).cast("string")).otherwise(
         _by_mod(ck, 6, [F.concat(F.lit(p), head) for p in DESCRIPTION_PREFIXES], head))
     channel = F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(
@@ -147,12 +155,11 @@ def derive_tickets(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
 
 def with_vectors(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Attach each ticket's text vector (``embedding``, 64 floats) with the
-    same key rule as the ``cluster`` column; the vector table side is cut to
-    the reachable key range and broadcast."""
-    e = (read_table(spark, sf_dir, "embeddings")
-         .where((F.col("vec_id") >= 0) & (F.col("vec_id") < VEC_KEYS))
-         .select("vec_id", "embedding"))
-    return (df.join(F.broadcast(e), (F.col("ticket_id") % VEC_KEYS) == e.vec_id, "inner")
+    same key rule as the ``cluster`` column. The whole vector table is read;
+    AQE picks a broadcast or a shuffle join by its runtime size."""
+    _, n_vecs = side_counts(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return (df.join(e, _key_mod(F.col("ticket_id"), n_vecs) == e.vec_id, "inner")
               .drop("vec_id"))
 
 
@@ -170,11 +177,11 @@ SELECT o.o_orderkey AS ticket_id,
       WHEN o.o_orderkey % 8 = 6 THEN 'Data loss after outage'
       ELSE 'Order ' || CAST(o.o_orderkey AS VARCHAR(20)) END AS ticket_subject,
  CASE WHEN o.o_custkey % 19 = 0 THEN NULL
-      WHEN o.o_custkey % 6 = 0 THEN 'Login is broken and not working. ' || substring(d.text, 1, 200)
-      WHEN o.o_custkey % 6 = 1 THEN 'Just wondering, curious. ' || substring(d.text, 1, 200)
-      WHEN o.o_custkey % 6 = 2 THEN 'It has never, never worked; no reply. ' || substring(d.text, 1, 200)
-      WHEN o.o_custkey % 6 = 3 THEN 'Severe breach, blocked immediately. ' || substring(d.text, 1, 200)
-      ELSE substring(d.text, 1, 200) END AS ticket_description,
+      WHEN o.o_custkey % 6 = 0 THEN 'Login is broken and not working. ' || d.text
+      WHEN o.o_custkey % 6 = 1 THEN 'Just wondering, curious. ' || d.text
+      WHEN o.o_custkey % 6 = 2 THEN 'It has never, never worked; no reply. ' || d.text
+      WHEN o.o_custkey % 6 = 3 THEN 'Severe breach, blocked immediately. ' || d.text
+      ELSE d.text END AS ticket_description,
  CASE WHEN o.o_orderkey % 23 = 0 THEN NULL
       WHEN o.o_orderkey % 4 = 0 THEN 'email' WHEN o.o_orderkey % 4 = 1 THEN 'chat'
       WHEN o.o_orderkey % 4 = 2 THEN 'phone' ELSE 'social media' END AS ticket_channel,
@@ -189,6 +196,6 @@ SELECT o.o_orderkey AS ticket_id,
  e.label % 4 AS cluster
 FROM orders o
 LEFT JOIN customer c ON c.c_custkey = o.o_custkey
-LEFT JOIN documents d ON d.doc_id = o.o_orderkey % 200
-LEFT JOIN embeddings e ON e.vec_id = o.o_orderkey % 500
+LEFT JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
+LEFT JOIN embeddings e ON e.vec_id = o.o_orderkey % (SELECT count(*) FROM embeddings)
 """
