@@ -200,5 +200,6 @@ class MLConfig:
     max_iter: int = 30
     reg_params: tuple = (0.0, 0.01, 0.1)
     elastic_net: float = 0.0
+    parallelism: int = 3           # grid candidates fitted concurrently
     seed: int = SPLIT_SEED
     extra: dict = field(default_factory=dict)
