@@ -77,3 +77,22 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def byte_slices(batches, column: int, limit: int = 1 << 20):
+    """The Arrow batches cut so that a binary column holds at most ``limit``
+    bytes in each (or a single row), which bounds a task's working arrays."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends, at = np.cumsum(sizes.astype(np.int64)), 0
+        while at < n:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sevscope.llm import chat, licenses, line_dedup
+from sevscope.llm import chat, decontaminate, licenses, line_dedup, pii, toxicity
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -36,3 +36,21 @@ def lines(spark, sf_dir):
 def license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).drop("text")
+
+
+@query("op2_decontaminate")
+def decontamination(spark, sf_dir):
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                             table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found)
+
+
+@query("op6_pii")
+def personal_data(spark, sf_dir):
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_toxicity")
+def toxic(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   table(spark, sf_dir, "labels")).drop("passages")

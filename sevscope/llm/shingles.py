@@ -57,32 +57,48 @@ _POWERS = _Powers()
 def word_bounds(data: np.ndarray):
     """Start and end offsets of the words of a byte array whose texts are
     parted by separators."""
+    if not len(data):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     space = _IS_SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(data) and not space[0]:
+    if not space[0]:
         edge = np.concatenate([[0], edge])
-    if len(data) and not space[-1]:
+    if not space[-1]:
         edge = np.concatenate([edge, [len(data)]])
     return edge[0::2], edge[1::2]
 
 
-def word_codes(texts: list[bytes]):
-    """(codes, first): 64-bit code of every word of the texts, in order, and
-    the offset of each text's first word (one more entry than texts)."""
-    joined = b"\n".join(texts).translate(_FOLD)
-    data = np.frombuffer(joined, dtype=np.uint8)
+def span_coder(data: np.ndarray):
+    """Function (start, end) -> 64-bit codes of byte spans of an array."""
+    up, down = _POWERS.get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
+
+    def codes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _BYTE[7])
+
+    return codes
+
+
+def word_spans(texts: list[bytes], prefixes: tuple[int, ...] = ()):
+    """(codes, first, start, end): the 64-bit code of every word of the texts,
+    in order; the number of each text's first word (one more entry than
+    texts); the words' byte offsets in the texts joined by line feeds. For
+    each length in ``prefixes`` one more array follows: the codes of the words
+    cut to so many bytes."""
+    data = np.frombuffer(b"\n".join(texts).translate(_FOLD), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begin = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(lengths + 1, out=begin[1:])
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
     start, end = word_bounds(data)
-    up, down = _POWERS.get(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
-    codes = (sums[end] - sums[start]) * down[start]
-    codes = mix(codes + (end - start).astype(np.uint64) * _BYTE[7])
-    return codes, np.searchsorted(start, begin)
+    codes = span_coder(data)
+    return (codes(start, end), np.searchsorted(start, begin), start, end,
+            *(codes(start, np.minimum(end, start + p)) for p in prefixes))
+
+
+def word_codes(texts: list[bytes]):
+    """(codes, first) of ``word_spans``."""
+    return word_spans(texts)[:2]
 
 
 def window_codes(codes: np.ndarray, n: int) -> np.ndarray:
