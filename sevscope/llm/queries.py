@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from sevscope.llm import chat, decontaminate, licenses, line_dedup, pii, toxicity
+from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, toxicity
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -54,3 +54,9 @@ def personal_data(spark, sf_dir):
 def toxic(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                    table(spark, sf_dir, "labels")).drop("passages")
+
+
+@query("op3_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_texts(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN).drop("text")
