@@ -96,3 +96,41 @@ def byte_slices(batches, column: int, limit: int = 1 << 20):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def block_pairs(df: DataFrame, keys: list[str], spread: str, size: int) -> DataFrame:
+    """Rows of groups, with groups over ``size`` rows cut into blocks.
+
+    Adds ``own`` (the row's block), ``lo`` and ``hi``: each row is repeated for
+    every block of its group, so that any two rows of a group meet in exactly
+    one (keys, lo, hi). Small groups have the one block pair (0, 0). ``df``
+    must be a staged table, it is read twice."""
+    big = stage(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > size)
+                .select(*keys, F.ceil(F.col("n") / size).cast("int").alias("blocks")), "blocks")
+    out = df.join(broadcast_if_small(big), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("own", F.pmod(F.xxhash64(spread, F.lit("block")), F.col("blocks")).cast("int"))
+    return (out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+            .drop("other", "blocks"))
+
+
+class Forest:
+    """Union-find over the places of a small group; counts nothing away: every
+    union that connects two trees is an edge of a spanning forest."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True

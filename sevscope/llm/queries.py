@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, toxicity
+from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, rp_forest, toxicity
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -60,3 +60,8 @@ def toxic(spark, sf_dir):
 def byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest_texts(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN).drop("text")
+
+
+@query("op5_embedding_neardup")
+def embedding_neardup(spark, sf_dir):
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
