@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, rp_forest, toxicity
+from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, ngram_join, pii, rp_forest, toxicity
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -65,3 +65,8 @@ def byte_bpe(spark, sf_dir):
 @query("op5_embedding_neardup")
 def embedding_neardup(spark, sf_dir):
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_ngram_join")
+def ngram(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
