@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, ngram_join, pii, rp_forest, toxicity
+from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, rp_forest, toxicity
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -70,3 +70,9 @@ def embedding_neardup(spark, sf_dir):
 @query("op1_ngram_join")
 def ngram(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_lm_scores")
+def lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, 50_256)
