@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh folder is created.
+    is. Only when it is unset and the master is local (tests) a fresh folder is
+    created; elsewhere that would scatter the rows over machines.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               "executors share; a temporary folder of one machine would lose rows")
         configured = tempfile.mkdtemp(prefix="sevscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,7 +68,7 @@ def stage(df, name: str):
     eager ``checkpoint()`` of an unpersisted frame, which computes it twice."""
     spark = df.sparkSession
     path = shared_path(spark, "stage", name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
