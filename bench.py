@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sevscope.plans.queries import REGISTRY  # noqa: E402
-from sevscope.session import local_session  # noqa: E402
+from sevscope.session import clear_staged, local_session  # noqa: E402
 
 HEADLINE = (
     "fuse_documented",      # full audit: prep, 3 signals, fusion, percentile cuts, gate
@@ -53,7 +53,7 @@ def main():
         df = REGISTRY[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-        spark.catalog.clearCache()  # release the frames each query persisted
+        clear_staged(spark)  # the query's staged tables
     n_tickets = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     total = round(sum(times.values()), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)

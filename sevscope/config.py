@@ -7,7 +7,7 @@ natural order, and everything else reads them from this module.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must stay exactly as published for matching results)
@@ -29,11 +29,6 @@ LOW_TERMS = (
 # Negation words, counted once per whole-word occurrence.
 NEGATION_WORDS = ("not", "no", "never", "without")
 
-# Rule score = crisis hits - 0.5 * low hits - 0.3 * negations.
-CRISIS_WEIGHT = 1.0
-LOW_WEIGHT = 0.5
-NEGATION_WEIGHT = 0.3
-
 # Ordinal severity scale.
 SEVERITY_LEVELS = ("low", "medium", "high", "critical")
 
@@ -132,6 +127,7 @@ class AuditConfig:
                    ``percentile_approx`` with ``accuracy`` for very large data.
     ``score_digits`` the fused score is rounded before bucketing so that
                    ties fall alike in every engine.
+    ``dossier_style`` wording of the evidence records that the jobs write.
     """
 
     rule_norm: str = "pct_rank"
@@ -147,10 +143,6 @@ class AuditConfig:
     exact: bool = True
     accuracy: int = 1_000_000
     score_digits: int = 9
-    # a rank table with more rows than this is joined by shuffle, not broadcast
-    broadcast_rows: int = 2_000_000
-    # stats histograms are collected only below this many rows
-    max_stat_rows: int = 5_000_000
 
     def __post_init__(self):
         if self.rule_norm not in RULE_NORMS:
@@ -195,11 +187,13 @@ def preset(name: str = "documented", **overrides) -> AuditConfig:
 class MLConfig:
     """Spark ML classifier settings (re-aimed transformer fine-tuning)."""
 
-    num_features: int = 1 << 14   # ~3x the tagged-text vocabulary; L-BFGS cost grows with it
+    num_features: int = 1 << 18   # hashed term space; a wider one costs L-BFGS time, a narrower one merges words
     min_doc_freq: int = 1
-    max_iter: int = 30
+    max_iter: int = 100            # upper limit; fits stop at Spark ML's tolerance
     reg_params: tuple = (0.0, 0.01, 0.1)
     elastic_net: float = 0.0
     parallelism: int = 3           # grid candidates fitted concurrently
     seed: int = SPLIT_SEED
-    extra: dict = field(default_factory=dict)
+    clusters: int = 4
+    kmeans_starts: int = 10
+    kmeans_iter: int = 300         # upper limit; a start stops at Spark ML's tolerance

@@ -4,7 +4,8 @@ The reference embeds ticket text with a pretrained sentence encoder before
 k-means. No such model ships here; a user who has one passes a loader, and
 the encoder runs inside Spark tasks: an iterator ``pandas_udf`` loads the model
 once per task and encodes Arrow batches of ``batch_size`` texts. The output
-column (``array<float>``) feeds ``ml.embedding_features`` and k-means.
+column (``array<float>``) is the ``embedding`` that
+``clusters.fit`` takes.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import (CONSISTENT, FALSE_ALARM, FIXED_CUTS, HIDDEN_CRISIS,
-                      SEVERITY_LEVELS, SINGLE_CUTS)
+from ..config import (CONSISTENT, FALSE_ALARM, HIDDEN_CRISIS, SEVERITY_LEVELS,
+                      SINGLE_CUTS)
 
 
 def severity_code(label: Column) -> Column:
@@ -39,10 +39,6 @@ def bucket_closed(score: Column, cuts) -> Column:
             .otherwise(3))
 
 
-def bucket_fixed(score: Column) -> Column:
-    return bucket_strict(score, FIXED_CUTS)
-
-
 def bucket_single(score: Column) -> Column:
     return bucket_strict(score, SINGLE_CUTS)
 

@@ -28,9 +28,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: What Python's ``str.strip`` takes off: Unicode white space and U+001C-U+001F.
+SPACE_CLASS = r"[\s\u001c-\u001f\u0085\p{Z}]"
+
+
 def strip_lower(c) -> Column:
     """Python-style ``str.strip().lower()``; NULL stays NULL."""
-    return F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(_col(c), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""))
 
 
 def parse_resolution_hours(c) -> Column:
@@ -78,6 +82,24 @@ def rule_score(tenths: Column) -> Column:
     return tenths / 10.0
 
 
+def term_mask(lower_text: Column, terms=CRISIS_TERMS) -> Column:
+    """The terms found, as bits of one long (bit k: the k-th term), so that
+    later steps need neither the text nor another search."""
+    if len(terms) > 62:
+        raise ValueError("a lexicon of more than 62 terms does not fit the mask")
+    acc = None
+    for k, t in enumerate(terms):
+        bit = F.when(lower_text.contains(t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        acc = bit if acc is None else acc + bit
+    return F.lit(0).cast("long") if acc is None else acc
+
+
+def terms_of_mask(mask: Column, terms=CRISIS_TERMS) -> Column:
+    """F6 from the mask: terms found, in lexicon order (array<string>)."""
+    return F.array_compact(F.array(*[
+        F.when(mask.bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(t)) for k, t in enumerate(terms)]))
+
+
 def matched_crisis_terms(lower_text: Column, terms=CRISIS_TERMS) -> Column:
     """crisis terms found in the text, in lexicon order (array<string>)."""
     return F.array_compact(F.array(*[F.when(lower_text.contains(t), F.lit(t))
@@ -95,8 +117,3 @@ def keyword_weight(matched: Column, n_terms: int = len(CRISIS_TERMS)) -> Column:
     """round(min(n / lexicon size, 1), 3), half-even."""
     return F.bround(F.least(F.size(matched) / float(n_terms), F.lit(1.0)), 3)
 
-
-def py_str(c: Column) -> Column:
-    """String form of a double as Python prints it for ordinary magnitudes
-    ("48.0", "0.333"); very large or tiny values use Java's exponent form."""
-    return _col(c).cast("string")

@@ -1,10 +1,11 @@
 """Evidence dossiers.
 
 A dossier is a per-row projection of a flagged ticket; nothing is gathered on
-the driver. The median used for the interpretation text is one scalar from an
-aggregate (A2, taken after the fill). ``dossier_struct`` builds the nested
-record; ``to_json`` drops the NULL fields so the three evidence items keep
-their different keys while sharing one struct type.
+the driver and no text is read, the terms found are bits of ``crisis_mask``.
+The median of the interpretation text (A2) is the fitted one: filling missing
+hours with the median does not move it. ``dossier_struct`` builds the nested
+record with one struct type for the three evidence items; ``dossier_json``
+writes each item with its own keys, NULLs included.
 """
 
 from __future__ import annotations
@@ -27,19 +28,10 @@ def label_as_prediction(df: DataFrame) -> DataFrame:
     prediction = pseudo-label, confidence = 0.5 + |delta| / 6 (4 places)."""
     return df.withColumns({
         "prediction": F.col("mismatch_label"),
-        "model_confidence": F.round(F.lit(0.5) + F.abs(F.col("severity_delta")) / 6.0, 4),
+        "model_confidence": F.bround(F.lit(0.5) + F.abs(F.col("severity_delta")) / 6.0, 4),
     })
 
 
-def hours_median_after_fill(df: DataFrame, exact: bool = True) -> float:
-    """A2: median of the filled hours (one aggregate)."""
-    if exact:
-        from .quantiles import exact_quantile
-        return float(exact_quantile(df, "resolution_hours", 0.5))
-    agg = F.percentile_approx("resolution_hours", 0.5, 1_000_000)
-    return float(df.agg(agg.alias("m")).first()["m"])
-
-
 def _pystr(c: Column) -> Column:
     """Python ``str()`` of a value, 'None' for NULL."""
     return F.coalesce(c.cast("string"), F.lit("None"))
@@ -49,8 +41,7 @@ def dossier_columns(df: DataFrame, median: float, style: str = "predict",
                     confidence: Column | None = None, crisis_terms=CRISIS_TERMS) -> DataFrame:
     """Flat dossier fields for every row of ``df`` (filter to flagged first)."""
     words = DOSSIER_TEXT[style]
-    low = F.lower(F.col("full_text"))
-    matched = tx.matched_crisis_terms(low, crisis_terms)
+    matched = tx.terms_of_mask(F.col("crisis_mask"), crisis_terms)
     if style == "notebook":
         # unknown priority counts as medium
         delta = F.col("inferred_severity_numeric") - F.coalesce(F.col("priority_numeric"), F.lit(1))
@@ -105,7 +96,22 @@ def dossier_struct(flat: DataFrame, style: str = "predict") -> DataFrame:
 
 def dossier_json(flat: DataFrame, style: str = "predict") -> DataFrame:
     """(ticket_id, json): one JSON object per flagged ticket."""
-    return dossier_struct(flat, style).select("ticket_id", F.to_json("dossier").alias("json"))
+    words = DOSSIER_TEXT[style]
+
+    def obj(*columns):
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+    keyword = obj(F.lit("keyword").alias("signal"), F.col("keyword_value").alias("value"),
+                  F.col("keyword_weight").alias("weight"))
+    resolution = obj(F.lit(words["resolution_signal"]).alias("signal"), F.col("resolution_value").alias("value"),
+                     F.col("resolution_interpretation").alias("interpretation"))
+    cluster = obj(F.lit("embedding_cluster").alias("signal"), F.col("cluster_value").alias("value"),
+                  F.col("cluster_weight").alias("weight"))
+    head = obj("ticket_id", "assigned_priority", "inferred_severity", "mismatch_type", "severity_delta")
+    tail = obj("constraint_analysis", "confidence")
+    return flat.select("ticket_id", F.concat(
+        F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"feature_evidence":['),
+        F.concat_ws(",", keyword, resolution, cluster), F.lit("],"), F.substr(tail, F.lit(2))).alias("json"))
 
 
 def flagged(df: DataFrame, flag: str = "prediction") -> DataFrame:

@@ -3,15 +3,16 @@
 ``SignalModel`` separates the batch statistics (``fit``) from their use
 (``transform``), in the manner of a Spark ML estimator/model pair:
 
-* ``fit`` runs three aggregates over the prepared tickets: the median of the
-  parsed hours, one grouping-sets aggregate for every signal statistic, and
-  the percentiles of the fused score. Each is a partial+final aggregate; only
-  a few rows per partition cross the shuffle. The results are a handful of
-  scalars, a k-row cluster table and a rank table bounded by the number of
-  distinct rule scores.
-* ``transform`` is a projection with literals plus one join against the rank
-  table (broadcast when its checked size allows). It has no aggregate, so it
-  also runs on a stream and never changes a ticket's label by batch.
+* ``fit`` runs partial aggregates over the prepared tickets: the median of
+  the parsed hours, the hours per cluster, the histogram of the rule score and
+  the percentiles of the fused score. Scalars and one row per cluster reach the
+  driver; the rule score's ranks stay a table with a row per distinct score.
+* ``transform`` is a projection with literals plus equi-joins against the rank
+  table, whose strategy the optimizer picks by its size. It has no aggregate,
+  so it also runs on a stream and never changes a ticket's label by batch.
+
+``audit`` takes tickets with a ``cluster`` column as they are; otherwise it
+fits a cluster model on their vectors or texts, which the signal model keeps.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIXED_CUTS, AuditConfig
+from ..config import FIXED_CUTS, AuditConfig, MLConfig
 from ..functions import severity as sev
-from . import prep, signals
+from ..session import stage
+from . import clusters, prep, signals
 from .quantiles import exact_quantiles
 
 OUTPUT_COLUMNS = (
@@ -54,35 +57,24 @@ class SignalModel:
     cluster_std: float
     cuts: tuple = FIXED_CUTS
     rank: DataFrame | None = field(default=None, repr=False)
-    rank_rows: int = 0
+    clusterer: PipelineModel | None = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ fit
     @classmethod
     def fit(cls, filled: DataFrame, cfg: AuditConfig, median: float) -> "SignalModel":
-        """Fit on prepared tickets that carry ``resolution_hours`` (filled) and
-        the rule terms (``prep.add_rule_terms``)."""
-        spark = filled.sparkSession
-        st = signals.collect_stats(filled, cfg.max_stat_rows)
-        lo, hi = st.histogram[0][0], st.histogram[-1][0]
+        """Fit on prepared tickets that carry ``resolution_hours`` (filled),
+        ``cluster`` and the rule terms (``prep.add_rule_terms``)."""
+        st = signals.collect_stats(filled)
+        hist = stage(signals.rule_histogram(filled), "rule_histogram")
+        ends = hist.agg(F.min("rule_tenths").alias("lo"), F.max("rule_tenths").alias("hi")).first()
+        lo, hi = ends["lo"], ends["hi"]
         rank = None
-        rank_rows = hi - lo + 3
         if cfg.rule_norm == "pct_rank":
-            rank = signals.rank_table(spark, st.histogram, st.n)
-            if rank_rows <= cfg.broadcast_rows:
-                # small: keep it as a local relation (broadcast, no extra stage)
-                rows = rank.collect()
-                rank = spark.createDataFrame(rows, rank.schema)
-                pairs = [(r["rule_score_norm"], r["n"]) for r in rows if r["n"] > 0]
-            else:
-                # large: write it to the shared checkpoint folder, join by shuffle
-                rank = rank.repartition(F.col("rule_tenths")).checkpoint()
-                pairs = [(r["rule_score_norm"], r["n"]) for r in
-                         rank.where(F.col("n") > 0).select("rule_score_norm", "n").toLocalIterator()]
+            rank = stage(signals.rank_table(hist), "rule_rank")
+            values = rank.where("n > 0").select(signals.exact_norm(st.n).alias("v"), "n")
         else:
-            smin, smax = lo / 10.0, hi / 10.0
-            pairs = [(_minmax_value(t / 10.0, smin, smax), c) for t, c in st.histogram]
-        norm_mean, norm_std = signals.weighted_moments(pairs)
-        norm_vals = [v for v, _ in pairs]
+            values = hist.select(sev.minmax(F.col("rule_tenths") / 10.0, lo / 10.0, hi / 10.0).alias("v"), "n")
+        norm_mean, norm_std, norm_min, norm_max = signals.moments(values, "v", "n")
         ranks = signals.cluster_ranks(st.clusters)
         cl_pairs = [(float(ranks[c]), cnt) for c, cnt, _ in st.clusters]
         cl_mean, cl_std = signals.weighted_moments(cl_pairs)
@@ -90,16 +82,15 @@ class SignalModel:
                     hours_max=st.hours_max, hours_mean=st.hours_mean,
                     hours_std=st.hours_std, rule_lo=lo, rule_hi=hi,
                     rule_norm_mean=norm_mean, rule_norm_std=norm_std,
-                    rule_norm_min=min(norm_vals), rule_norm_max=max(norm_vals),
-                    cluster_severity=ranks, cluster_mean=cl_mean, cluster_std=cl_std,
-                    rank=rank, rank_rows=rank_rows)
+                    rule_norm_min=norm_min, rule_norm_max=norm_max,
+                    cluster_severity=ranks, cluster_mean=cl_mean, cluster_std=cl_std, rank=rank)
         if cfg.cuts == "percentile":
             model.cuts = model._percentile_cuts(filled)
         return model
 
     def _percentile_cuts(self, filled: DataFrame) -> tuple:
         """p25/p50/p75 of the fused score, linear interpolation."""
-        score = self._with_signals(filled).select("inferred_severity_score")
+        score = self._with_signals(filled, True).select("inferred_severity_score")
         if self.cfg.exact:
             cuts = exact_quantiles(score, {"s": F.col("inferred_severity_score")},
                                    [0.25, 0.5, 0.75])["s"]
@@ -113,20 +104,27 @@ class SignalModel:
         return tuple(float(c) for c in cuts)
 
     # ------------------------------------------------------------ transform
-    def _rule_norm_join(self, df: DataFrame) -> DataFrame:
-        """Attach ``rule_score_norm``. The rank table is dense over the
-        fitted range, so clamping the key makes every row find its value."""
+    def _rule_norm_join(self, df: DataFrame, seen: bool) -> DataFrame:
+        """Attach ``rule_score_norm``. ``seen`` says that every score is
+        one of the fitted ones; otherwise an unseen score takes its place
+        between its two neighbours (only such rows have a key in that join)."""
         if self.cfg.rule_norm == "minmax":
             return df.withColumn("rule_score_norm", sev.minmax(
                 F.col("rule_score"), self.rule_lo / 10.0, self.rule_hi / 10.0))
-        key = F.greatest(F.least(F.col("rule_tenths"), F.lit(self.rule_hi + 1)),
-                         F.lit(self.rule_lo - 1))
-        table = self.rank.select(F.col("rule_tenths").alias("_rk"), "rule_score_norm")
-        if self.rank_rows <= self.cfg.broadcast_rows:
-            table = F.broadcast(table)
-        return (df.withColumn("_rk", key)
-                  .join(table, "_rk", "left")
-                  .drop("_rk"))
+        exact = self.rank.where("n > 0").select(
+            F.col("rule_tenths").cast("int").alias("_rk"), signals.exact_norm(self.n).alias("rule_score_norm"))
+        df = df.join(exact, F.col("rule_tenths") == F.col("_rk"), "left").drop("_rk")
+        if seen:
+            return df
+        gaps = self.rank.select(F.col("bucket").alias("_rb"), F.col("rule_tenths").alias("_from"),
+                                F.col("until").alias("_until"), signals.gap_norm(self.n).alias("_gap"))
+        t = F.col("rule_tenths")
+        key = F.when(F.col("rule_score_norm").isNull(), signals.score_bucket(t))
+        df = df.withColumn("_key", key).join(
+            gaps, (F.col("_key") == F.col("_rb")) & (t >= F.col("_from"))
+            & (F.col("_until").isNull() | (t < F.col("_until"))), "left")
+        return df.withColumn("rule_score_norm", F.coalesce("rule_score_norm", "_gap")).drop(
+            "_key", "_rb", "_from", "_until", "_gap")
 
     def _cluster_expr(self) -> Column:
         """Cluster -> severity rank (k literal branches)."""
@@ -138,10 +136,10 @@ class SignalModel:
             return F.lit(None).cast("int")
         return expr.otherwise(F.lit(None).cast("int"))
 
-    def _with_signals(self, df: DataFrame) -> DataFrame:
+    def _with_signals(self, df: DataFrame, seen: bool) -> DataFrame:
         cfg = self.cfg
         w_rule, w_cluster, w_res = (float(w) for w in cfg.weights)
-        df = self._rule_norm_join(df)
+        df = self._rule_norm_join(df, seen)
         df = df.withColumns({
             "cluster_severity": self._cluster_expr(),
             "resolution_severity": sev.minmax(F.col("resolution_hours"),
@@ -165,9 +163,19 @@ class SignalModel:
                    + F.lit(w_res) * F.col("resolution_severity"))
         return df.withColumn("inferred_severity_score", F.round(raw, cfg.score_digits))
 
-    def transform(self, filled: DataFrame) -> DataFrame:
+    def prepare(self, tickets: DataFrame) -> DataFrame:
+        """Raw tickets of a later batch or a stream, with rule terms, the
+        fitted median in place of missing hours, and their cluster."""
+        prepared = prepare_signals(tickets, self.cfg)
+        if "cluster" not in prepared.columns:
+            if self.clusterer is None:
+                raise ValueError("tickets lack a cluster column and the model has no cluster model")
+            prepared = clusters.assign(self.clusterer, prepared)
+        return prep.fill_hours(prepared, self.median_hours)
+
+    def transform(self, filled: DataFrame, seen: bool = False) -> DataFrame:
         cfg = self.cfg
-        df = self._with_signals(filled)
+        df = self._with_signals(filled, seen)
         score = F.col("inferred_severity_score")
         code = (sev.bucket_closed(score, self.cuts) if cfg.cuts == "percentile"
                 else sev.bucket_strict(score, self.cuts))
@@ -202,46 +210,56 @@ class SignalModel:
 
     # -------------------------------------------------------------- persist
     def to_json(self) -> str:
-        d = {k: v for k, v in self.__dict__.items() if k not in ("rank", "cfg")}
+        d = {k: v for k, v in self.__dict__.items() if k not in ("rank", "cfg", "clusterer")}
         d["cfg"] = asdict(self.cfg)
         d["cluster_severity"] = [[int(k), int(v)] for k, v in self.cluster_severity.items()]
         d["cuts"] = list(self.cuts)
+        d["has_clusterer"] = self.clusterer is not None
         return json.dumps(d)
 
     def save(self, path: str) -> None:
-        """Model metadata as one JSON line and the rank table as Parquet."""
+        """Metadata as one JSON line, the rank table as Parquet, the cluster
+        model in Spark ML's form."""
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(self.to_json(),)], "meta string") \
              .coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         if self.rank is not None:
             self.rank.write.mode("overwrite").parquet(f"{path}/rule_rank")
+        if self.clusterer is not None:
+            self.clusterer.write().overwrite().save(f"{path}/clusters")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SignalModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         cfg_d = meta.pop("cfg")
+        clusterer = PipelineModel.load(f"{path}/clusters") if meta.pop("has_clusterer") else None
         for k in ("weights", "crisis_terms", "low_terms"):
             cfg_d[k] = tuple(cfg_d[k])
         cfg = AuditConfig(**cfg_d)
         meta["cluster_severity"] = {k: v for k, v in meta["cluster_severity"]}
         meta["cuts"] = tuple(meta["cuts"])
         rank = spark.read.parquet(f"{path}/rule_rank") if cfg.rule_norm == "pct_rank" else None
-        return cls(cfg=cfg, rank=rank, **meta)
+        return cls(cfg=cfg, rank=rank, clusterer=clusterer, **meta)
 
 
-def _minmax_value(x: float, lo: float, hi: float) -> float:
-    return 0.0 if hi == lo else (x - lo) / (hi - lo) * 3.0
+#: What the signals and the reports need of a prepared ticket: no text.
+NARROW = ("ticket_id", "ticket_channel", "ticket_type", "ticket_priority", "priority_numeric",
+          "hours_parsed", "crisis_mask", "crisis_hits", "low_hits", "negations", "rule_tenths",
+          "rule_score", "cluster")
 
 
 @dataclass
 class Audit:
-    """Result of ``audit``: the fitted model and the labelled tickets."""
+    """Result of ``audit``: the fitted model, the labelled tickets without
+    their texts (from a staged table), and all prepared columns."""
     model: SignalModel
     labelled: DataFrame
     prepared: DataFrame
 
-    def unpersist(self):
-        self.prepared.unpersist()
+    def with_text(self) -> DataFrame:
+        """The labelled tickets with every prepared column; reads the source
+        again instead of keeping a second copy of the texts."""
+        return self.model.transform(prep.fill_hours(self.prepared, self.model.median_hours), seen=True)
 
 
 def prepare_signals(df: DataFrame, cfg: AuditConfig) -> DataFrame:
@@ -249,14 +267,18 @@ def prepare_signals(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     return prep.add_rule_terms(prep.prepare(df, cfg), cfg)
 
 
-def audit(df: DataFrame, cfg: AuditConfig | None = None, persist: bool = True) -> Audit:
-    """Fit + transform on one batch (the reference's behaviour)."""
-    from pyspark import StorageLevel
+def audit(df: DataFrame, cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None) -> Audit:
+    """Fit + transform on one batch (the reference's behaviour). The texts are
+    searched once; the narrow result is staged for the statistics' passes."""
     cfg = cfg or AuditConfig()
     prepared = prepare_signals(df, cfg)
-    if persist:
-        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
-    median = prep.hours_median(prepared, cfg)
-    filled = prep.fill_hours(prepared, median)
+    clusterer = None
+    if "cluster" not in prepared.columns:
+        clusterer = clusters.fit(prepared, ml_cfg)
+        prepared = clusters.assign(clusterer, prepared)
+    narrow = stage(prepared.select(*NARROW), "signals")
+    median = prep.hours_median(narrow, cfg)
+    filled = prep.fill_hours(narrow, median)
     model = SignalModel.fit(filled, cfg, median)
-    return Audit(model=model, labelled=model.transform(filled), prepared=prepared)
+    model.clusterer = clusterer
+    return Audit(model=model, labelled=model.transform(filled, seen=True), prepared=prepared)

@@ -40,8 +40,6 @@ def normalize_columns(df: DataFrame) -> DataFrame:
         raise ValueError(f"ticket table lacks required columns: {missing}")
     if "ticket_type" not in df.columns:
         df = df.withColumn("ticket_type", F.lit(None).cast("string"))
-    if "cluster" not in df.columns:
-        df = df.withColumn("cluster", F.lit(None).cast("int"))
     if "ticket_id" not in df.columns:
         raise ValueError("ticket table needs a ticket_id column (no positional ids)")
     return df
@@ -103,9 +101,10 @@ def add_rule_terms(df: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
     cfg = cfg or AuditConfig()
     low = F.lower(F.col("full_text"))
     return (df.withColumns({
-                "crisis_hits": tx.crisis_hits(low, cfg.crisis_terms),
+                "crisis_mask": tx.term_mask(low, cfg.crisis_terms),
                 "low_hits": tx.low_hits(low, cfg.low_terms),
                 "negations": tx.negations(low)})
+              .withColumn("crisis_hits", F.bit_count("crisis_mask"))
               .withColumns({
                 "rule_tenths": tx.rule_tenths(F.col("crisis_hits"), F.col("low_hits"),
                                               F.col("negations")),
@@ -113,7 +112,9 @@ def add_rule_terms(df: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
               .withColumn("rule_score", tx.rule_score(F.col("rule_tenths"))))
 
 
-_NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>")
+# The tokens that pandas reads as missing.
+_NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def null_tokens_to_null(df: DataFrame, cols=None) -> DataFrame:

@@ -63,9 +63,13 @@ def delta_heatmap(df: DataFrame) -> DataFrame:
                    F.count(F.lit(1)).alias("n")))
 
 
-def delta_heatmap_wide(df: DataFrame, channels) -> DataFrame:
-    """A13 as the app shows it: types x channels, absent cells 0. The channel
-    list is given so the pivot needs no extra pass for distinct values."""
+def delta_heatmap_wide(df: DataFrame, channels=None) -> DataFrame:
+    """A13 as the app shows it: types x channels, absent cells 0. Without a
+    given list the columns are all channels of the data, in order (one more
+    pass over one narrow column)."""
+    if channels is None:
+        known = df.where(F.col("ticket_channel").isNotNull()).select("ticket_channel").distinct()
+        channels = [r[0] for r in known.orderBy("ticket_channel").toLocalIterator()]
     return (df.where(F.col("ticket_type").isNotNull())
               .groupBy("ticket_type").pivot("ticket_channel", list(channels))
               .agg(F.round(F.avg("severity_delta"), 9))
@@ -74,10 +78,13 @@ def delta_heatmap_wide(df: DataFrame, channels) -> DataFrame:
 
 def confidence_histogram(scored: DataFrame, bins: int = 20, lo: float = 0.5,
                          hi: float = 1.0) -> DataFrame:
-    """Fixed-edge histogram of the confidence of flagged rows."""
+    """Fixed-edge histogram of the confidence of flagged rows. The
+    confidence has four places, so bins are found in whole ten-thousandths: a
+    value on an edge opens its bin, whatever the edge's nearest double is."""
     width = (hi - lo) / bins
-    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1),
-                                     F.floor((F.col("model_confidence") - lo) / width).cast("int")))
+    first, step = round(lo * 10_000), round(width * 10_000)
+    units = F.round(F.col("model_confidence") * 10_000).cast("long") - first
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(units / step).cast("int")))
     return (scored.where((F.col("prediction") == 1) & F.col("model_confidence").isNotNull())
                   .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
                   .select("bin", (F.lit(lo) + F.col("bin") * width).alias("bin_lo"),
@@ -304,6 +311,6 @@ def threshold_check(report: DataFrame) -> DataFrame:
                  F.when(F.col("class") == CLASS_NAMES[1], F.col("recall")).alias("value")),
     )).alias("m")).select("m.*").where(F.col("value").isNotNull())
     req = spark.createDataFrame(list(REQUIRED_THRESHOLDS), "metric string, required double")
-    return (F.broadcast(req).join(metrics, "metric", "left")
+    return (req.join(metrics, "metric", "left")
             .select("metric", "required", F.round("value", 9).alias("value"),
                     F.coalesce(F.col("value") >= F.col("required"), F.lit(False)).alias("passed")))

@@ -1,22 +1,19 @@
 """Batch statistics behind the three severity signals.
 
-One grouping-sets aggregate over the prepared tickets yields everything the
-signals need: the rule-score histogram, the mean hours per cluster and the
-global hours statistics. The aggregate runs partially on every partition, so
-only a few rows per partition are shuffled, whatever the data size. The
-results are small by construction: the histogram has one row per distinct
-``rule_tenths`` (bounded by lexicon size and negation counts, checked below),
-the cluster table one row per cluster.
+Two partial aggregates over the prepared tickets: hours per cluster and
+overall (a row per cluster plus one reach the driver), and the histogram of
+the rule score, which stays a table. The rule score's percentile rank is
+computed on its distinct values, never by ranking the rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GID_RULE, GID_CLUSTER, GID_ALL = 1, 2, 3  # grouping_id() values, see stats()
+GID_CLUSTER, GID_ALL = 0, 1  # grouping_id() values, see collect_stats()
 
 
 @dataclass
@@ -26,61 +23,92 @@ class BatchStats:
     hours_max: float
     hours_mean: float
     hours_std: float
-    histogram: list          # [(rule_tenths, n)] sorted by rule_tenths
     clusters: list           # [(cluster, n, mean_hours)] non-null clusters
 
 
-def stats_frame(df: DataFrame) -> DataFrame:
-    """One aggregate, three groupings: (rule_tenths), (cluster), ()."""
-    return (df.select("rule_tenths", "cluster", "resolution_hours")
-              .groupingSets([["rule_tenths"], ["cluster"], []], "rule_tenths", "cluster")
-              .agg(F.grouping_id().alias("gid"),
-                   F.count(F.lit(1)).alias("n"),
-                   F.avg("resolution_hours").alias("mean_h"),
-                   F.min("resolution_hours").alias("min_h"),
-                   F.max("resolution_hours").alias("max_h"),
-                   F.stddev_pop("resolution_hours").alias("std_h")))
-
-
-def collect_stats(df: DataFrame, max_rows: int) -> BatchStats:
-    rows = stats_frame(df).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(
-            f"more than {max_rows} distinct rule scores; raise max_stat_rows "
-            "(the histogram is collected as a batch statistic)")
+def collect_stats(df: DataFrame) -> BatchStats:
+    rows = (df.select("cluster", "resolution_hours")
+            .groupingSets([["cluster"], []], "cluster")
+            .agg(F.grouping_id().alias("gid"),
+                 F.count(F.lit(1)).alias("n"),
+                 F.avg("resolution_hours").alias("mean_h"),
+                 F.min("resolution_hours").alias("min_h"),
+                 F.max("resolution_hours").alias("max_h"),
+                 F.stddev_pop("resolution_hours").alias("std_h"))).collect()
     glob = [r for r in rows if r["gid"] == GID_ALL]
     if not glob or glob[0]["n"] == 0:
         raise ValueError("empty ticket table")
     g = glob[0]
-    hist = sorted((r["rule_tenths"], r["n"]) for r in rows
-                  if r["gid"] == GID_RULE and r["rule_tenths"] is not None)
     clusters = sorted((r["cluster"], r["n"], r["mean_h"]) for r in rows
                       if r["gid"] == GID_CLUSTER and r["cluster"] is not None)
+    if not clusters:
+        raise ValueError("no ticket has a cluster: the cluster column is NULL everywhere")
     return BatchStats(n=g["n"], hours_min=g["min_h"], hours_max=g["max_h"],
-                      hours_mean=g["mean_h"], hours_std=g["std_h"] or 0.0,
-                      histogram=hist, clusters=clusters)
-
-
-def rank_table(spark: SparkSession, histogram: list, n: int) -> DataFrame:
-    """Percentile rank with ties averaged, times 3, per ``rule_tenths``.
-
-    ``norm(t) = 3 * (less(t) + (eq(t) + 1) / 2) / n``; this is the rank that
-    averages tied positions, divided by the row count. The table is dense over
-    ``[lo - 1, hi + 1]`` so frozen scoring of unseen values is defined
-    (``eq = 0``); values outside that range are clamped to it. Computed by a
-    running sum over the small histogram, never by ranking the rows.
-    """
-    lo, hi = histogram[0][0], histogram[-1][0]
-    hist = spark.createDataFrame(histogram, "rule_tenths int, n long")
-    dense = (spark.range(lo - 1, hi + 2, numPartitions=1)
-             .select(F.col("id").cast("int").alias("rule_tenths"))
-             .join(F.broadcast(hist), "rule_tenths", "left")
-             .withColumn("n", F.coalesce("n", F.lit(0))))
-    w = Window.orderBy("rule_tenths").rowsBetween(Window.unboundedPreceding, -1)
-    less = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return dense.select(
-        "rule_tenths", "n",
-        (F.lit(3.0) * (less + (F.col("n") + 1) / 2.0) / F.lit(float(n))).alias("rule_score_norm"))
+                      hours_mean=g["mean_h"], hours_std=g["std_h"] or 0.0, clusters=clusters)
+
+
+def rule_histogram(df: DataFrame) -> DataFrame:
+    """(rule_tenths, n): one row per distinct rule score."""
+    return df.groupBy("rule_tenths").agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_bucket(t: Column) -> Column:
+    """Signed number of binary digits: -32 .. 32, growing with the score."""
+    return (F.signum(t) * F.length(F.bin(F.abs(t.cast("long"))))).cast("int")
+
+
+def _bucket_starts(spark) -> DataFrame:
+    """The least score of every bucket."""
+    b = F.col("id").cast("int")
+    start = (F.when(b > 0, F.pow(F.lit(2.0), b - 1))
+             .when(b < 0, -(F.pow(F.lit(2.0), -b) - 1)).otherwise(0.0)).cast("long")
+    return spark.range(-32, 33).select(start.alias("rule_tenths"), F.lit(0).cast("long").alias("n"))
+
+
+def rank_table(histogram: DataFrame) -> DataFrame:
+    """W1 on distinct scores: (bucket, rule_tenths, until, n, less).
+
+    ``less`` counts the tickets below the score and ``n`` those at it; the row
+    speaks for unseen scores up to ``until`` (exclusive, NULL: no end of its
+    bucket). Every one of the 65 buckets has a row for its least score, so a
+    score between, below or above the seen ones finds its place too. The
+    table has a row per distinct score, however far apart they lie; running
+    sums go bucket by bucket, over the buckets' totals across them."""
+    spark = histogram.sparkSession
+    seen = histogram.where(F.col("rule_tenths").isNotNull()).select(F.col("rule_tenths").cast("long"), "n")
+    rows = (seen.unionByName(_bucket_starts(spark)).groupBy("rule_tenths").agg(F.sum("n").alias("n"))
+            .withColumn("bucket", score_bucket(F.col("rule_tenths"))))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (rows.groupBy("bucket").agg(F.sum("n").alias("m"))
+              .select("bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("below")))
+    within = Window.partitionBy("bucket").orderBy("rule_tenths")
+    return (rows.withColumns({
+                "own": F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                "until": F.lead("rule_tenths").over(within)})
+            .join(totals, "bucket")
+            .select("bucket", "rule_tenths", "until", "n", (F.col("below") + F.col("own")).alias("less")))
+
+
+def exact_norm(total: int) -> Column:
+    """Percentile rank with ties averaged, times 3, of a seen score:
+    ``3 * (less + (n + 1) / 2) / total``."""
+    return F.lit(3.0) * (F.col("less") + (F.col("n") + 1) / 2.0) / F.lit(float(total))
+
+
+def gap_norm(total: int) -> Column:
+    """The same for an unseen score after a row (no ticket at it)."""
+    return F.lit(3.0) * (F.col("less") + F.col("n") + 0.5) / F.lit(float(total))
+
+
+def moments(values: DataFrame, value: str, count: str) -> tuple:
+    """(mean, population std, min, max) of values with their counts."""
+    v, c = F.col(value), F.col(count)
+    first = values.agg((F.sum(v * c) / F.sum(c)).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if first["mean"] is None:
+        return None, None, None, None
+    d = v - F.lit(float(first["mean"]))
+    var = values.agg((F.sum(c * d * d) / F.sum(c)).alias("var")).first()["var"]
+    return first["mean"], var ** 0.5, first["lo"], first["hi"]
 
 
 def cluster_ranks(clusters: list) -> dict:

@@ -2,11 +2,13 @@
 
 ``fit_job``   tickets (CSV or Parquet) -> labelled Parquet (S3), dossiers as
               JSON lines (S5), the test report as JSON (S6), the frozen
-              signal model and the classifier pipeline (S7).
+              signal model with its cluster model and the classifier (S7).
 ``score_job`` tickets + saved models -> predictions CSV (S4) and dossiers of
-              predicted mismatches (S5), scored with frozen statistics.
-Every output goes to the given folder (on a cluster: shared storage); all
-work is Spark jobs, nothing is gathered on the driver.
+              predicted mismatches (S5), all by frozen statistics.
+Tickets need no ``cluster`` column: the fit makes a cluster model from their
+vectors (``embedding`` column) or texts, and scoring applies it. Every output
+goes to the given folder (on a cluster: shared storage); all work is Spark
+jobs, nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from ..config import AuditConfig, MLConfig, preset
 from ..operators import dossier as dz
 from ..operators import fusion, ml, prep
 from ..operators import reports as rp
+from ..session import stage
 from ..sources import sinks
 
 
-def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     if fmt == "csv":
-        return sinks.read_tickets_csv(spark, path)
+        return sinks.read_tickets_csv(spark, path, multi_line=multi_line)
     return prep.normalize_columns(spark.read.parquet(path))
 
 
@@ -40,42 +43,42 @@ class FitOutputs:
 
 
 def fit_job(spark: SparkSession, tickets: DataFrame, out: str,
-            cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None) -> FitOutputs:
+            cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None,
+            style: str = "notebook") -> FitOutputs:
     cfg = cfg or preset("documented")
     out = out.rstrip("/")
-    a = fusion.audit(tickets, cfg)
-    labelled = a.labelled
+    a = fusion.audit(tickets, cfg, ml_cfg)
     o = FitOutputs(labelled=f"{out}/labelled", dossiers=f"{out}/dossiers",
                    report=f"{out}/report", signal_model=f"{out}/signal_model",
                    classifier=f"{out}/classifier")
-    sinks.write_labelled(labelled.drop("hours_parsed"), o.labelled)
+    sinks.write_labelled(a.with_text().drop("hours_parsed", "crisis_mask"), o.labelled)
     a.model.save(o.signal_model)
-    median = dz.hours_median_after_fill(labelled)
-    flat = dz.dossier_columns(labelled.where(F.col("mismatch_label") == 1), median,
-                              style="notebook")
-    sinks.write_dossiers(dz.dossier_json(flat, "notebook"), o.dossiers)
-    t = ml.train(ml.model_input(labelled), ml_cfg)
+    flat = dz.dossier_columns(a.labelled.where(F.col("mismatch_label") == 1), a.model.median_hours, style=style)
+    sinks.write_dossiers(dz.dossier_json(flat, style), o.dossiers)
+    labelled = spark.read.parquet(o.labelled)
+    t = ml.train(ml.model_input(labelled, a.model.hours_min, a.model.hours_max), ml_cfg)
     t.model.write().overwrite().save(o.classifier)
-    test = ml.score(t.model, t.split.where(F.col("split") == "test"))
-    sinks.write_report(rp.classification_report(test), o.report)
-    t.split.unpersist()
-    a.unpersist()
+    sinks.write_report(rp.classification_report(t.score_split("test")), o.report)
     return o
 
 
+def score_tickets(model: fusion.SignalModel, classifier: PipelineModel, tickets: DataFrame) -> DataFrame:
+    """Raw tickets with labels, prediction and confidence: columns are added,
+    no row is dropped, repeated or joined."""
+    labelled = model.transform(model.prepare(tickets))
+    return ml.score(classifier, ml.model_columns(labelled, model.hours_min, model.hours_max))
+
+
 def score_job(spark: SparkSession, tickets: DataFrame, models: FitOutputs, out: str,
-              style: str = "predict") -> dict:
+              style: str | None = None) -> dict:
     out = out.rstrip("/")
     model = fusion.SignalModel.load(spark, models.signal_model)
-    prepared = prep.add_rule_terms(prep.prepare(tickets, model.cfg), model.cfg)
-    labelled = model.transform(prep.fill_hours(prepared, model.median_hours))
-    clf = PipelineModel.load(models.classifier)
-    mi = ml.model_input(labelled)
-    scored = ml.score(clf, mi).select("ticket_id", "prediction", "model_confidence")
-    full = labelled.join(scored, "ticket_id")
+    style = style or model.cfg.dossier_style
+    scored = score_tickets(model, PipelineModel.load(models.classifier), tickets)
+    narrow = stage(scored.drop("full_text", "input_text", "ticket_subject", "ticket_description", "embedding"),
+                   "scored")
     paths = {"predictions": f"{out}/predictions", "dossiers": f"{out}/dossiers"}
-    sinks.write_predictions(full, paths["predictions"])
-    median = dz.hours_median_after_fill(labelled)
-    flat = dz.dossier_columns(full.where(F.col("prediction") == 1), median, style=style)
+    sinks.write_predictions(narrow, paths["predictions"])
+    flat = dz.dossier_columns(narrow.where(F.col("prediction") == 1), model.median_hours, style=style)
     sinks.write_dossiers(dz.dossier_json(flat, style), paths["dossiers"])
     return paths

@@ -16,6 +16,28 @@ def _prep_select(select: str) -> str:
 
 ORACLES["scan_tickets"] = _prep_select("SELECT * FROM tickets")
 
+_MISSING = ", ".join(sql_str(t) for t in (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null"))
+ORACLES["csv_tickets"] = _prep_select("SELECT 'TKT-' || ticket_id AS ticket_id, " + ", ".join(
+    f"CASE WHEN {c} IN ({_MISSING}) THEN NULL ELSE {c} END AS {c}"
+    for c in ("ticket_subject", "ticket_description", "ticket_channel", "ticket_type", "ticket_priority",
+              "resolution_time_hours")) + " FROM tickets")
+
+_ORDERED = {"hours": "hours_parsed", "priority": "CAST(priority_numeric AS DOUBLE)"}
+ORACLES["exact_percentiles"] = _prep_select(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS signal, {dbl(p)} AS p, {spark_quantile('l', 'n', p)} AS value FROM ("
+        f"SELECT list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL)) AS l, count({c}) AS n FROM terms)"
+        for k, c in _ORDERED.items() for p in (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)) + ")")
+
+ORACLES["tfidf_check"] = _prep_select(
+    "SELECT ticket_id, CAST(len(list_filter(regexp_split_to_array(lower(full_text), '[^\\p{L}\\p{N}_]+'), "
+    "lambda w: w <> '')) AS INTEGER) AS n_tokens, true AS unit FROM prep")
+ORACLES["audit_by_text_check"] = "SELECT count(*) AS tickets, 4::BIGINT AS clusters, true AS ranked FROM orders"
+ORACLES["score_check"] = ("SELECT count(*) AS tickets, count(DISTINCT o_orderkey) AS ids, true AS in_range, "
+                          "true AS binary FROM orders")
+
 ORACLES["prep_tickets"] = _prep_select(
     "SELECT ticket_id, ticket_subject, ticket_description, ticket_channel, ticket_type, "
     "ticket_priority, full_text, CAST(priority_numeric AS INTEGER) AS priority_numeric, "
@@ -109,7 +131,11 @@ def _fmt(template: str, *args: str) -> str:
 def _dossier_select(where_extra: str = "", style: str = "notebook") -> str:
     words = DOSSIER_TEXT[style]
     m = _matched("full_text")
-    delta = "(inferred_severity_numeric - coalesce(priority_numeric, 1))"
+    if style == "notebook":
+        delta = "(inferred_severity_numeric - coalesce(priority_numeric, 1))"
+        conf = f"abs({delta}) / {dbl(3)}"
+    else:
+        delta, conf = "severity_delta", f"round_even({dbl(0.5)} + abs(severity_delta) / {dbl(6)}, 4)"
     h1 = "CAST(round_even(resolution_hours, 1) AS VARCHAR)"
     return f"""
 , med AS (SELECT list_sort(list(resolution_hours)) AS l, count(resolution_hours) AS n FROM labelled)
@@ -128,7 +154,7 @@ SELECT CAST(ticket_id AS VARCHAR) AS ticket_id,
        {_fmt(words['analysis'], "coalesce(ticket_priority, 'None')",
              "coalesce(inferred_severity, 'None')", h1,
              f"coalesce(CAST({delta} AS VARCHAR), 'None')")} AS constraint_analysis,
-       CAST(round_even(abs({delta}) / {dbl(3)}, 3) AS VARCHAR) AS confidence
+       CAST(round_even({conf}, 3) AS VARCHAR) AS confidence
 FROM labelled WHERE mismatch_label = 1 {where_extra}"""
 
 
@@ -138,7 +164,22 @@ ORACLES["dossier_preview"] = _DOSSIER_WITH + _dossier_select(
     "AND ticket_id IN (SELECT ticket_id FROM labelled WHERE mismatch_label = 1 "
     "ORDER BY ticket_id LIMIT 3)")
 
-_CONF = f"round({dbl(0.5)} + abs(severity_delta) / {dbl(6)}, 4)"
+ORACLES["dossiers_predict"] = _DOSSIER_WITH + _dossier_select(style="predict")
+ORACLES["dossiers_app"] = audit_with(preset("app")) + _dossier_select(style="app")
+_WORDS = DOSSIER_TEXT["notebook"]
+ORACLES["dossier_json"] = f"""WITH d AS ({_DOSSIER_WITH}{_dossier_select()})
+SELECT ticket_id, CAST(to_json(struct_pack(
+  ticket_id := ticket_id, assigned_priority := assigned_priority, inferred_severity := inferred_severity,
+  mismatch_type := mismatch_type, severity_delta := severity_delta,
+  feature_evidence := json_array(
+    to_json(struct_pack(signal := 'keyword', value := keyword_value, weight := keyword_weight)),
+    to_json(struct_pack(signal := '{_WORDS["resolution_signal"]}', value := resolution_value,
+                        interpretation := resolution_interpretation)),
+    to_json(struct_pack(signal := 'embedding_cluster', value := cluster_value, weight := cluster_weight))),
+  constraint_analysis := constraint_analysis, confidence := confidence)) AS VARCHAR) AS json
+FROM d"""
+
+_CONF = f"round_even({dbl(0.5)} + abs(severity_delta) / {dbl(6)}, 4)"
 ORACLES["flagged"] = _with(
     f"SELECT ticket_id, ticket_priority, inferred_severity, "
     f"CAST(severity_delta AS INTEGER) AS severity_delta, mismatch_type, "
@@ -180,12 +221,21 @@ ORACLES["delta_heatmap_wide"] = _with(
 ORACLES["mismatch_type_counts"] = _with(
     "SELECT mismatch_type, CAST(count(*) AS BIGINT) AS n FROM labelled GROUP BY mismatch_type")
 
-ORACLES["confidence_histogram"] = _with(
-    f"""SELECT bin, {dbl(0.5)} + bin * {dbl(0.025)} AS bin_lo,
+# the 19 inner edges as literals; a bin's number is the count of edges reached
+_EDGES = ("0.525", "0.550", "0.575", "0.600", "0.625", "0.650", "0.675", "0.700", "0.725", "0.750",
+          "0.775", "0.800", "0.825", "0.850", "0.875", "0.900", "0.925", "0.950", "0.975")
+
+
+def _histogram(conf: str, source: str) -> str:
+    reached = " + ".join(f"CAST(c >= {e}::DECIMAL(6,4) AS INTEGER)" for e in _EDGES)
+    return f"""SELECT bin, {dbl(0.5)} + bin * {dbl(0.025)} AS bin_lo,
        {dbl(0.5)} + (bin + 1) * {dbl(0.025)} AS bin_hi, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT greatest(0, least(19, CAST(floor(({_CONF} - {dbl(0.5)}) / {dbl(0.025)}) AS INTEGER))) AS bin
-      FROM labelled WHERE mismatch_label = 1 AND {_CONF} IS NOT NULL)
-GROUP BY bin""")
+FROM (SELECT {reached} AS bin FROM (SELECT CAST({conf} AS DECIMAL(6,4)) AS c FROM {source}) WHERE c IS NOT NULL)
+GROUP BY bin"""
+
+
+ORACLES["confidence_histogram"] = _with(_histogram(_CONF, "labelled WHERE mismatch_label = 1"))
+ORACLES["confidence_edges"] = _histogram("0.5 + (o_orderkey % 41) * 0.0125", "orders")
 
 ORACLES["assigned_vs_inferred"] = _with(
     "SELECT ticket_priority AS priority, CAST(count(*) AS BIGINT) AS n, 'Assigned' AS type "
@@ -360,3 +410,10 @@ SELECT ticket_id, rule_score, cluster_severity, inferred_severity_score,
        CAST(code - priority_numeric AS INTEGER) AS severity_delta FROM fc"""
 
 ORACLES["score_frozen"] = ORACLES["fuse_documented"]
+
+_NAMED = ("CASE WHEN ticket_id % 41 = 0 THEN NULL ELSE 'TKT-' || "
+          "(CASE WHEN ticket_id % 10 = 0 THEN ticket_id - ticket_id % 100 ELSE ticket_id END) END")
+ORACLES["predictions_by_rule"] = _with(
+    f"SELECT {_NAMED} AS ticket_id, ticket_priority, inferred_severity, "
+    f"CAST(severity_delta AS INTEGER) AS severity_delta, mismatch_label AS prediction, "
+    f"{_CONF} AS model_confidence, ticket_channel, resolution_hours FROM labelled")

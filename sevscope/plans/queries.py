@@ -5,25 +5,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..config import MAX_TOKENS, preset
 from ..functions import text as tx
 from ..operators import dossier as dz
-from ..operators import fusion, ml, prep
+from ..operators import clusters, fusion, ml, prep
 from ..operators import reports as rp
-from ..operators.quantiles import exact_quantile
-from ..session import shared_path
+from ..operators.quantiles import exact_quantile, exact_quantiles
+from ..session import shared_path, stage
 from ..sources import sinks
 from ..sources.tickets import (TICKET_COLUMNS, read_table, spread, ticket_stream,
                                tickets, with_vectors)
 from ..streaming import score as stream
 
-HEATMAP_CHANNELS = ("chat", "email", "phone", "social media", "unknown")
-
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -32,8 +30,12 @@ def query(fn):
     return fn
 
 
-def _audit(spark, sf_dir, name="documented", **kw) -> DataFrame:
-    return fusion.audit(tickets(spark, sf_dir), preset(name, **kw)).labelled
+def _fit(spark, sf_dir, name="documented") -> fusion.Audit:
+    return fusion.audit(tickets(spark, sf_dir), preset(name))
+
+
+def _audit(spark, sf_dir, name="documented") -> DataFrame:
+    return _fit(spark, sf_dir, name).labelled
 
 
 def _r(c, d=9):
@@ -47,6 +49,32 @@ def scan_tickets(spark, sf_dir):
     return tickets(spark, sf_dir).select(*TICKET_COLUMNS)
 
 
+@query
+def csv_tickets(spark, sf_dir):
+    """The ticket table written as CSV with quotes, line breaks and the
+    public header names, and read back by the CSV source as text."""
+    names = {"ticket_id": "Ticket ID", "ticket_subject": "Ticket Subject", "ticket_priority": "Priority Level",
+             "ticket_type": "Issue Category", "resolution_time_hours": "Resolution Time"}
+    path = shared_path(spark, "csv")
+    t = tickets(spark, sf_dir).select(*[c for c in TICKET_COLUMNS if c != "cluster"])
+    t = t.withColumn("ticket_id", F.concat(F.lit("TKT-"), F.col("ticket_id")))
+    t.withColumnsRenamed(names).write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return sinks.read_tickets_csv(spark, path)
+
+
+@query
+def exact_percentiles(spark, sf_dir):
+    """Order statistics by the bucketed selection alone, whatever
+    the row count (the path that large tables take)."""
+    p = prep.prepare(tickets(spark, sf_dir), preset("documented")).select("hours_parsed", "priority_numeric")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(p, {"hours": F.col("hours_parsed"), "priority": F.col("priority_numeric")}, probs,
+                          small_rows=0, bucket_rows=200)
+    rows = [(c, p, float(v)) for c in ("hours", "priority") for p, v in zip(probs, got[c])]
+    return spark.createDataFrame(rows, "signal string, p double, value double")
+
+
 @query
 def prep_tickets(spark, sf_dir):
     """Cleaned tickets with filled hours."""
@@ -179,18 +207,18 @@ def _documented(spark, sf_dir):
 @query
 def keyword_evidence(spark, sf_dir):
     """F6 + F7 + T5: matched crisis terms per ticket, first five, weight."""
-    df = prep.prepare(tickets(spark, sf_dir), preset("documented"))
-    matched = tx.matched_crisis_terms(F.lower(F.col("full_text")))
+    cfg = preset("documented")
+    df = fusion.prepare_signals(tickets(spark, sf_dir), cfg)
+    matched = tx.terms_of_mask(F.col("crisis_mask"), cfg.crisis_terms)
     return df.select("ticket_id", F.size(matched).alias("keyword_count"),
                      tx.keyword_value(matched).alias("keyword_value"),
                      tx.keyword_weight(matched).alias("keyword_weight"))
 
 
-def _dossier_flat(spark, sf_dir, style="notebook"):
-    df = _documented(spark, sf_dir)
-    median = dz.hours_median_after_fill(df)
-    flagged = df.where(F.col("mismatch_label") == 1)
-    return dz.dossier_columns(flagged, median, style=style)
+def _dossier_flat(spark, sf_dir, style="notebook", preset_name="documented"):
+    a = _fit(spark, sf_dir, preset_name)
+    scored = dz.label_as_prediction(a.labelled)
+    return dz.dossier_columns(scored.where(F.col("prediction") == 1), a.model.median_hours, style=style)
 
 
 @query
@@ -199,18 +227,31 @@ def dossiers(spark, sf_dir):
     return _dossier_flat(spark, sf_dir)
 
 
+@query
+def dossiers_predict(spark, sf_dir):
+    """F21-F27 in the batch scorer's wording: predicted mismatches with the
+    scorer's confidence (here the deterministic scorer)."""
+    return _dossier_flat(spark, sf_dir, "predict")
+
+
+@query
+def dossiers_app(spark, sf_dir):
+    """F21-F27 in the interactive view's wording and preset."""
+    return _dossier_flat(spark, sf_dir, "app", "app")
+
+
 @query
 def dossier_preview(spark, sf_dir):
     """T4: the first three dossiers in ticket order (the limit is the feature)."""
-    df = _documented(spark, sf_dir)
-    median = dz.hours_median_after_fill(df)
-    first = df.where(F.col("mismatch_label") == 1).orderBy("ticket_id").limit(3)
-    return dz.dossier_columns(first, median, style="notebook")
+    a = _fit(spark, sf_dir)
+    first = a.labelled.where(F.col("mismatch_label") == 1).orderBy("ticket_id").limit(3)
+    return dz.dossier_columns(first, a.model.median_hours, style="notebook")
 
 
 @query
 def dossier_json(spark, sf_dir):
-    """F26 + S5: nested dossiers as JSON objects (NULL keys dropped)."""
+    """F26 + S5: nested dossiers as JSON objects, each evidence item with its
+    own keys, NULLs included."""
     return dz.dossier_json(_dossier_flat(spark, sf_dir, "notebook"), "notebook")
 
 
@@ -248,7 +289,7 @@ def delta_heatmap(spark, sf_dir):
 @query
 def delta_heatmap_wide(spark, sf_dir):
     """A13 as a type x channel table, absent cells 0."""
-    return rp.delta_heatmap_wide(_documented(spark, sf_dir), HEATMAP_CHANNELS)
+    return rp.delta_heatmap_wide(_documented(spark, sf_dir))
 
 
 @query
@@ -264,6 +305,16 @@ def confidence_histogram(spark, sf_dir):
     return rp.confidence_histogram(dz.label_as_prediction(_documented(spark, sf_dir)))
 
 
+@query
+def confidence_edges(spark, sf_dir):
+    """A15 on every edge and between: confidences 0.5, 0.5125, 0.525, ... spread
+    over all orders."""
+    conf = F.lit(0.5) + (F.col("o_orderkey") % 41).cast("double") * 0.0125
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.lit(1).alias("prediction"), F.bround(conf, 4).alias("model_confidence"))
+    return rp.confidence_histogram(orders)
+
+
 @query
 def assigned_vs_inferred(spark, sf_dir):
     """Assigned and inferred level counts, tagged."""
@@ -296,7 +347,8 @@ def signal_summary(spark, sf_dir):
 
 # ---------------------------------------------------------- model input/split
 def _model_input(spark, sf_dir):
-    return ml.model_input(_documented(spark, sf_dir))
+    a = _fit(spark, sf_dir)
+    return ml.model_input(a.with_text(), a.model.hours_min, a.model.hours_max)
 
 
 @query
@@ -370,23 +422,49 @@ def threshold_check(spark, sf_dir):
 def tfidf_vectors(spark, sf_dir):
     """M1 fallback: L2-normalised TF-IDF vectors of the whole ticket text."""
     df = prep.prepare(tickets(spark, sf_dir), preset("documented"))
-    v = ml.tfidf_vectors(df.select("ticket_id", "full_text"))
-    return v.select("ticket_id", F.size("tokens").alias("n_tokens"), "vector")
+    return ml.tfidf_vectors(df.select("ticket_id", "full_text"))
+
+
+@query
+def tfidf_check(spark, sf_dir):
+    """M1: words of any script per ticket, and vectors of unit length."""
+    length = F.sqrt(F.aggregate(F.transform(vector_to_array("vector"), lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    v = tfidf_vectors(spark, sf_dir)
+    return v.select("ticket_id", "n_tokens", (F.abs(length - 1) < 1e-9).alias("unit"))
+
+
+@query
+def audit_by_text(spark, sf_dir):
+    """M1 + M2 + W2 + J1: tickets without a cluster column; the audit makes the
+    clusters from their texts, ranks them and labels every ticket."""
+    a = fusion.audit(tickets(spark, sf_dir).drop("cluster"), preset("documented"))
+    return a.labelled.select("ticket_id", "cluster", "cluster_severity", "inferred_severity", "mismatch_label")
+
+
+@query
+def audit_by_text_check(spark, sf_dir):
+    """What must hold of ``audit_by_text`` whatever the clusters: every ticket
+    once, four clusters, each with one severity that follows its mean hours."""
+    a = fusion.audit(tickets(spark, sf_dir).drop("cluster"), preset("documented"))
+    means = a.labelled.groupBy("cluster").agg(
+        F.min("cluster_severity").alias("s"), F.max("cluster_severity").alias("t"),
+        F.avg("resolution_hours").alias("m"), F.count(F.lit(1)).alias("n"))
+    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m", "cluster")) - 1)  # one row a cluster
+    return ranked.agg(F.sum("n").alias("tickets"), F.count(F.lit(1)).alias("clusters"),
+                      F.min((F.col("s") == F.col("t")) & (F.col("s") == F.col("r"))).alias("ranked"))
 
 
 @query
 def kmeans_clusters(spark, sf_dir):
-    """M2 + W2: k-means (k=4, best of 3 seeds) over the ticket vectors, the
-    clusters ranked by mean resolution hours."""
+    """M2 + W2: k-means (k=4, best of 10 starts) over the ticket vectors, the
+    clusters ranked by mean resolution hours; a ticket without a vector has none."""
     cfg = preset("documented")
     p = prep.prepare(tickets(spark, sf_dir), cfg)
     filled = prep.fill_hours(p, prep.hours_median(p, cfg))
-    vec = ml.embedding_features(with_vectors(spark, sf_dir,
-                                             filled.select("ticket_id", "resolution_hours")))
-    model, data = ml.kmeans_best(vec)
-    pred = model.transform(data).select("ticket_id", "resolution_hours",
-                                        F.col("kmeans_cluster").cast("int").alias("cluster"))
-    means = pred.groupBy("cluster").agg(F.avg("resolution_hours").alias("m")).collect()
+    vec = stage(with_vectors(spark, sf_dir, filled.select("ticket_id", "resolution_hours")), "ticket_vectors")
+    pred = stage(clusters.assign(clusters.fit(vec), vec).select("ticket_id", "resolution_hours", "cluster"),
+                 "ticket_clusters")
+    means = pred.where("cluster IS NOT NULL").groupBy("cluster").agg(F.avg("resolution_hours").alias("m")).collect()
     ranks = {r["cluster"]: i for i, r in enumerate(sorted(means, key=lambda r: (r["m"], r["cluster"])))}
     sev_expr = None
     for c, r in ranks.items():
@@ -395,17 +473,15 @@ def kmeans_clusters(spark, sf_dir):
     return pred.select("ticket_id", "cluster", sev_expr.alias("cluster_severity"))
 
 
-def _trained(spark, sf_dir, select=True):
-    return ml.train(_model_input(spark, sf_dir), select=select)
+def _trained(spark, sf_dir):
+    return ml.train(_model_input(spark, sf_dir))
 
 
 @query
 def train_classifier(spark, sf_dir):
     """M5 + M8: weighted logistic regression on the train split, report on
     the held-out test split."""
-    t = _trained(spark, sf_dir, select=False)
-    test = ml.score(t.model, t.split.where(F.col("split") == "test"))
-    return rp.classification_report(test)
+    return rp.classification_report(_trained(spark, sf_dir).score_split("test"))
 
 
 @query
@@ -417,18 +493,39 @@ def best_candidate(spark, sf_dir):
 @query
 def score_classifier(spark, sf_dir):
     """M7 + F20: every ticket scored by the selected model."""
-    t = _trained(spark, sf_dir, select=False)
-    return ml.score(t.model, t.split).select("ticket_id", "prediction", "model_confidence")
+    return _classified(spark, sf_dir).select("ticket_id", "prediction", "model_confidence")
+
+
+def _classified(spark, sf_dir):
+    a = _fit(spark, sf_dir)
+    rows = ml.model_columns(a.with_text(), a.model.hours_min, a.model.hours_max)
+    return ml.score(ml.train(ml.model_input(a.with_text(), a.model.hours_min, a.model.hours_max)).model, rows)
+
+
+@query
+def score_check(spark, sf_dir):
+    """M7 + F20: every ticket is scored, once, with a confidence in its range."""
+    return _classified(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("tickets"), F.countDistinct("ticket_id").alias("ids"),
+        F.min(F.col("model_confidence").between(0.5, 1.0)).alias("in_range"),
+        F.min(F.col("prediction").isin(0, 1)).alias("binary"))
 
 
 @query
 def predictions_out(spark, sf_dir):
     """Predictions CSV with the true ticket id (written, read back)."""
-    df = _documented(spark, sf_dir)
-    t = ml.train(ml.model_input(df), select=False)
-    scored = ml.score(t.model, t.split).select("ticket_id", "prediction", "model_confidence")
-    out = df.join(scored, "ticket_id").select(*sinks.PREDICTION_COLUMNS)
-    path = sinks.write_predictions(out, shared_path(spark, "predictions"))
+    path = sinks.write_predictions(_classified(spark, sf_dir), shared_path(spark, "predictions"))
+    return sinks.read_predictions(spark, path)
+
+
+@query
+def predictions_by_rule(spark, sf_dir):
+    """S4 with the deterministic scorer: text ids, some of them NULL and some
+    repeated, written as CSV and read back."""
+    k = F.col("ticket_id")
+    named = F.when(k % 41 == 0, F.lit(None)).otherwise(F.concat(F.lit("TKT-"), F.when(k % 10 == 0, k - k % 100).otherwise(k)))
+    scored = dz.label_as_prediction(_documented(spark, sf_dir)).withColumn("ticket_id", named)
+    path = sinks.write_predictions(scored, shared_path(spark, "predictions"))
     return sinks.read_predictions(spark, path)
 
 
@@ -437,8 +534,8 @@ def predictions_out(spark, sf_dir):
 def score_fixed(spark, sf_dir):
     """X1 fixed mode: single-ticket rules over a stream of tickets."""
     cfg = preset("documented")
-    return stream.stream_tickets(spark, ticket_stream(spark, sf_dir), cfg,
-                                 lambda p: stream.score_fixed(p, cfg),
+    return stream.stream_tickets(spark, ticket_stream(spark, sf_dir),
+                                 lambda t: stream.score_fixed(t, cfg),
                                  stream.FIXED_COLUMNS, "score_fixed")
 
 
@@ -446,13 +543,10 @@ def score_fixed(spark, sf_dir):
 def score_frozen(spark, sf_dir):
     """X1 frozen mode: a batch-fitted model saved, loaded and applied to a
     stream; each ticket gets its batch label whenever it arrives."""
-    cfg = preset("documented")
-    a = fusion.audit(tickets(spark, sf_dir), cfg)
     path = shared_path(spark, "models", "signal")
-    a.model.save(path)
-    a.unpersist()
+    _fit(spark, sf_dir).model.save(path)
     model = fusion.SignalModel.load(spark, path)
-    out = stream.stream_tickets(spark, ticket_stream(spark, sf_dir), cfg,
-                                lambda p: stream.score_frozen(p, model), _FUSED, "score_frozen")
+    out = stream.stream_tickets(spark, ticket_stream(spark, sf_dir),
+                                lambda t: stream.score_frozen(t, model), _FUSED, "score_frozen")
     return out.select(*[_r(c) if c in ("rule_score_norm", "resolution_severity") else c
                         for c in _FUSED])

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Names this driver process's folder below the shared one.
+_SESSION = uuid.uuid4().hex
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "sevscope") -> SparkSession:
@@ -57,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path below the shared checkpoint folder (unique per call)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, "sevscope", *parts, uuid.uuid4().hex])
+    return "/".join([base, "sevscope", _SESSION, *parts, uuid.uuid4().hex])
 
 
 def stage(df, name: str):
@@ -72,8 +75,11 @@ def stage(df, name: str):
     return spark.read.parquet(path)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the tables that this session staged below the shared folder.
+    For use between jobs, when no frame that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(
+        "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "sevscope", _SESSION]))
+    place.getFileSystem(conf).delete(place, True)

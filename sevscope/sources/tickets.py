@@ -159,7 +159,7 @@ def with_vectors(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     AQE picks a broadcast or a shuffle join by its runtime size."""
     _, n_vecs = side_counts(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return (df.join(e, _key_mod(F.col("ticket_id"), n_vecs) == e.vec_id, "inner")
+    return (df.join(e, _key_mod(F.col("ticket_id"), n_vecs) == e.vec_id, "left")
               .drop("vec_id"))
 
 

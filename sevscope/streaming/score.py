@@ -25,16 +25,17 @@ from pyspark.sql import functions as F
 
 from ..config import SINGLE_CENTRE, AuditConfig
 from ..functions import severity as sev
-from ..operators import fusion, prep
+from ..operators import fusion
 from ..session import shared_path
 
 FIXED_COLUMNS = ("ticket_id", "rule_score", "cluster_severity", "inferred_severity_score",
                  "inferred_severity", "severity_delta")
 
 
-def score_fixed(prepared: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
-    """X1 fixed mode over prepared tickets with rule terms (no statistics)."""
+def score_fixed(tickets: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
+    """X1 fixed mode over raw tickets (no statistics)."""
     cfg = cfg or AuditConfig()
+    prepared = fusion.prepare_signals(tickets, cfg)
     w_rule, w_cluster, w_res = (float(w) for w in cfg.weights)
     rule_norm = F.lit(3.0)  # percentile rank of a single value, times 3
     res_sev = F.when(F.col("hours_parsed").isNull(), F.lit(None).cast("double")) \
@@ -54,9 +55,10 @@ def score_fixed(prepared: DataFrame, cfg: AuditConfig | None = None) -> DataFram
     })
 
 
-def score_frozen(prepared: DataFrame, model: fusion.SignalModel) -> DataFrame:
-    """X1 frozen mode: fill with the fitted median, then the model's projection."""
-    return model.transform(prep.fill_hours(prepared, model.median_hours))
+def score_frozen(tickets: DataFrame, model: fusion.SignalModel) -> DataFrame:
+    """X1 frozen mode over raw tickets: rule terms, the fitted median and, where
+    the tickets bring none, the cluster model's cluster; then the projection."""
+    return model.transform(model.prepare(tickets))
 
 
 def run_available(stream: DataFrame, name: str, spark: SparkSession | None = None,
@@ -79,7 +81,6 @@ def run_available(stream: DataFrame, name: str, spark: SparkSession | None = Non
     return spark.read.parquet(out)
 
 
-def stream_tickets(spark: SparkSession, source: DataFrame, cfg: AuditConfig,
+def stream_tickets(spark: SparkSession, source: DataFrame,
                    scorer: Callable[[DataFrame], DataFrame], columns, name: str) -> DataFrame:
-    prepared = prep.add_rule_terms(prep.prepare(source, cfg), cfg)
-    return run_available(scorer(prepared).select(*columns), name, spark)
+    return run_available(scorer(source).select(*columns), name, spark)

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from sevscope.config import preset
+from sevscope.config import FIXED_CUTS, preset
 from sevscope.functions import severity as sev
 from sevscope.functions import text as tx
-from sevscope.operators import fusion, prep
+from sevscope.operators import fusion, signals
+from sevscope.operators import reports as rp
 from sevscope.streaming import score as stream
 
 
@@ -22,8 +23,53 @@ def test_parse_resolution_edge_rows(spark):
 
 
 def test_strip_lower_priority(spark):
-    got = _one(spark, tx.strip_lower("x"), [" high ", "\tCritical\n", "MEDIUM", None])
-    assert got == ["high", "critical", "medium", None]
+    values = [" high ", "\tCritical\n", "MEDIUM", None, "\u00a0High\u2003", "\x1clow\x1f", "\u3000low\x85", "a b"]
+    assert _one(spark, tx.strip_lower("x"), values) == [v and v.strip().lower() for v in values]
+
+
+def test_term_mask_equals_search(spark):
+    texts = ["Production DOWN, not working", "nothing here", "asap urgent blocked", ""]
+    low = F.lower("x")
+    mask = tx.term_mask(low)
+    got = _one(spark, F.struct(tx.terms_of_mask(mask).alias("a"), tx.matched_crisis_terms(low).alias("b"),
+                               F.bit_count(mask).alias("n"), tx.crisis_hits(low).alias("m")), texts)
+    assert all(r["a"] == r["b"] and r["n"] == r["m"] == len(r["a"]) for r in got)
+
+
+def test_ranks_are_sparse_and_place_unseen_scores(spark):
+    scores = [10] * 4 + [20] * 2 + [-30_000_000] + [25]
+    hist = spark.createDataFrame([(s,) for s in scores], "rule_tenths int").groupBy("rule_tenths").agg(
+        F.count(F.lit(1)).alias("n"))
+    table = signals.rank_table(hist)
+    assert table.count() <= 65 + 4
+    model = fusion.SignalModel(preset("documented"), len(scores), *[0.0] * 5, -30_000_000, 25, *[0.0] * 4, {}, 0.0, 0.0,
+                               rank=table)
+    asked = [10, 20, 25, -30_000_000, 0, -5, 11, 19, 22, 24, 26, 2_000_000_000, -2_000_000_000, 15, 17]
+    df = spark.createDataFrame([(s,) for s in asked], "rule_tenths int")
+    got = {r["rule_tenths"]: r["rule_score_norm"] for r in model._rule_norm_join(df, False).collect()}
+    for s in asked:
+        less, eq = sum(x < s for x in scores), scores.count(s)
+        want = 3 * (less + (eq + 1) / 2) / len(scores)
+        assert abs(got[s] - want) < 1e-12, s
+
+
+def test_missing_or_null_cluster_is_named(spark):
+    import pytest
+    rows = [(1, "urgent", "", "email", "t", "low", "5", None)]
+    with pytest.raises(ValueError, match="cluster"):
+        fusion.audit(_tickets(spark, rows), preset("documented"))
+
+
+def test_histogram_edges_and_unknown_channels(spark):
+    edges = [0.5 + 0.025 * k for k in range(20)]
+    rows = [(1, float(f"{e:.4f}")) for e in edges] + [(1, 1.0), (1, 0.9999), (1, 0.5124), (0, 0.6), (1, None)]
+    df = spark.createDataFrame(rows, "prediction int, model_confidence double")
+    got = {r["bin"]: r["n"] for r in rp.confidence_histogram(df).collect()}
+    assert got == {k: 1 + (k == 0) + 2 * (k == 19) for k in range(20)}
+    heat = spark.createDataFrame([("t", "email", 1), ("t", "carrier pigeon", 3), ("u", "email", 2)],
+                                 "ticket_type string, ticket_channel string, severity_delta int")
+    wide = {r["ticket_type"]: r.asDict() for r in rp.delta_heatmap_wide(heat).collect()}
+    assert wide["t"]["carrier pigeon"] == 3.0 and wide["u"]["carrier pigeon"] == 0.0
 
 
 def test_rule_terms_overlaps_and_negations(spark):
@@ -58,7 +104,7 @@ def test_equal_width_bins(spark):
 
 
 def test_null_score_falls_to_critical(spark):
-    got = _one(spark, sev.bucket_fixed(F.col("x")), [0.1, 1.0, 2.0, 3.0, None], "x double")
+    got = _one(spark, sev.bucket_strict(F.col("x"), FIXED_CUTS), [0.1, 1.0, 2.0, 3.0, None], "x double")
     assert got == [0, 1, 2, 3, 3]
     got = _one(spark, sev.bucket_closed(F.col("x"), (0, 1, 2)), [0.0, 1.0, 2.0, 2.5, None],
                "x double")
@@ -84,7 +130,7 @@ def test_percentile_rank_with_ties(spark):
     # rule scores 1, 2, 2, 5 -> ranks 1, 2.5, 2.5, 4 -> x 3 / 4
     texts = ["urgent", "urgent critical", "outage breach", "urgent critical outage breach broken"]
     rows = [(i, t, "", "email", "t", "low", "5", i % 2) for i, t in enumerate(texts)]
-    a = fusion.audit(_tickets(spark, rows), preset("documented"), persist=False)
+    a = fusion.audit(_tickets(spark, rows), preset("documented"))
     got = {r["ticket_id"]: r["rule_score_norm"] for r in a.labelled.collect()}
     assert [got[i] for i in range(4)] == [0.75, 1.875, 1.875, 3.0]
 
@@ -94,7 +140,7 @@ def test_unknown_priority_gives_null_delta(spark):
             (2, "urgent", "", "email", "t", None, "6", 1),
             (3, "hello", "", "email", "t", "low", "7", 2),
             (4, "outage down", "", "chat", "t", "critical", "9", 3)]
-    a = fusion.audit(_tickets(spark, rows), preset("documented"), persist=False)
+    a = fusion.audit(_tickets(spark, rows), preset("documented"))
     got = {r["ticket_id"]: r for r in a.labelled.collect()}
     for i in (1, 2):
         assert got[i]["severity_delta"] is None
@@ -106,7 +152,7 @@ def test_all_times_missing_fails_clearly(spark):
     rows = [(1, "a", "", "email", "t", "low", None, 0), (2, "b", "", "email", "t", "low", "x", 1)]
     import pytest
     with pytest.raises(ValueError, match="resolution time"):
-        fusion.audit(_tickets(spark, rows), preset("documented"), persist=False)
+        fusion.audit(_tickets(spark, rows), preset("documented"))
 
 
 def test_single_ticket_fixed_mode(spark):
@@ -117,6 +163,6 @@ def test_single_ticket_fixed_mode(spark):
             (4, "urgent critical", "", "email", "t", "low", "2 days", None),  # 2.0 -> high
             (5, "hello", "", "email", "t", "low", "", None),                 # no time -> critical
             (6, "hello", "", "email", "t", "low", None, None)]
-    p = prep.add_rule_terms(prep.prepare(_tickets(spark, rows), cfg))
-    got = {r["ticket_id"]: r["inferred_severity"] for r in stream.score_fixed(p, cfg).collect()}
+    got = {r["ticket_id"]: r["inferred_severity"]
+           for r in stream.score_fixed(_tickets(spark, rows), cfg).collect()}
     assert got == {1: "medium", 2: "high", 3: "medium", 4: "high", 5: "critical", 6: "critical"}

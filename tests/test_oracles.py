@@ -66,8 +66,15 @@ def test_entry_smoke(spark):
 
 def test_kmeans_invariants(spark, small_dir):
     rows = E.queries()["kmeans_clusters"](spark, small_dir).collect()
-    assert len({r["cluster"] for r in rows}) == 4
-    assert {r["cluster_severity"] for r in rows} == {0, 1, 2, 3}
+    assert len(rows) == 1500
+    assert len({r["cluster"] for r in rows} - {None}) == 4
+    assert {r["cluster_severity"] for r in rows} - {None} == {0, 1, 2, 3}
+
+
+def test_audit_keeps_no_text(spark, small_dir):
+    df = E.queries()["fuse_documented"](spark, small_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "description" not in plan
 
 
 def test_dossier_grounding(spark, small_dir):

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from sevscope.config import preset
+from sevscope.config import MLConfig, preset
 from sevscope.operators import fusion
 from sevscope.sources.tickets import ticket_stream, tickets
 from sevscope.streaming import score as stream
@@ -13,24 +13,26 @@ def test_restart_is_exactly_once(spark, small_dir):
     out = tempfile.mkdtemp(prefix="sevscope-stream-") + "/sink"
     cols = stream.FIXED_COLUMNS
     first = stream.run_available(
-        stream.score_fixed(fusion.prepare_signals(ticket_stream(spark, small_dir), cfg), cfg)
+        stream.score_fixed(ticket_stream(spark, small_dir), cfg)
         .select(*cols), "restart", spark, out=out).count()
     again = stream.run_available(
-        stream.score_fixed(fusion.prepare_signals(ticket_stream(spark, small_dir), cfg), cfg)
+        stream.score_fixed(ticket_stream(spark, small_dir), cfg)
         .select(*cols), "restart", spark, out=out).count()
     assert first == 1500 and again == 1500
 
 
 def test_frozen_stream_equals_batch(spark, small_dir):
     cfg = preset("documented")
-    a = fusion.audit(tickets(spark, small_dir), cfg)
+    # no cluster column: the model finds the clusters and keeps them for the stream
+    small = MLConfig(num_features=1 << 12, kmeans_starts=2)
+    a = fusion.audit(tickets(spark, small_dir).drop("cluster"), cfg, small)
     batch = {r["ticket_id"]: (r["inferred_severity"], r["mismatch_label"])
              for r in a.labelled.select("ticket_id", "inferred_severity", "mismatch_label").collect()}
     path = tempfile.mkdtemp(prefix="sevscope-model-") + "/m"
     a.model.save(path)
     m = fusion.SignalModel.load(spark, path)
     got = stream.run_available(
-        stream.score_frozen(fusion.prepare_signals(ticket_stream(spark, small_dir), cfg), m)
+        stream.score_frozen(ticket_stream(spark, small_dir).drop("cluster"), m)
         .select("ticket_id", "inferred_severity", "mismatch_label"), "frozen", spark)
     streamed = {r["ticket_id"]: (r["inferred_severity"], r["mismatch_label"]) for r in got.collect()}
     assert streamed == batch
