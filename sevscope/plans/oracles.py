@@ -33,7 +33,7 @@ ORACLES["exact_percentiles"] = _prep_select(
 
 ORACLES["tfidf_check"] = _prep_select(
     "SELECT ticket_id, CAST(len(list_filter(regexp_split_to_array(lower(full_text), '[^\\p{L}\\p{N}_]+'), "
-    "lambda w: w <> '')) AS INTEGER) AS n_tokens, true AS unit FROM prep")
+    "lambda w: w <> '')) AS INTEGER) AS n_tokens, regexp_matches(full_text, '[\\p{L}\\p{N}_]') AS unit FROM prep")
 ORACLES["audit_by_text_check"] = "SELECT count(*) AS tickets, 4::BIGINT AS clusters, true AS ranked FROM orders"
 ORACLES["score_check"] = ("SELECT count(*) AS tickets, count(DISTINCT o_orderkey) AS ids, true AS in_range, "
                           "true AS binary FROM orders")
