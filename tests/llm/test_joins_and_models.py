@@ -265,9 +265,9 @@ def test_windows_score_each_target_once_and_see_only_the_past():
     assert (seen == 1).all()
     rng = np.random.default_rng(1)
     model = attention.Model(attention.initial(np.ones(attention.SLOTS)))
-    x, y = rng.integers(0, 4096, n.sum()), rng.integers(0, 4096, n.sum())
+    x, y = rng.integers(0, attention.SLOTS, (2, n.sum()))
     before = model.log_probabilities(*attention.gather(x, y, base, skip, scored))
-    x[-1] = (x[-1] + 1) % 4096                       # the last input predicts the last target only
+    x[-1] = (x[-1] + 1) % attention.SLOTS                       # the last input predicts the last target only
     after = model.log_probabilities(*attention.gather(x, y, base, skip, scored))
     assert (before != after).sum() <= 1
 
