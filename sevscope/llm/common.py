@@ -12,6 +12,8 @@ from sevscope.session import stage
 
 #: Rows up to which a counted table may be broadcast (a few MB of long keys).
 BROADCAST_ROWS = 200_000
+#: Partitions of a table of at most so many rows.
+FEW = 8
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +45,18 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(pairs: DataFrame, name: str) -> DataFrame:
+def _star(pairs: DataFrame, name: str, small: bool) -> DataFrame:
     """``pairs(u, v)`` with the least ``v`` of each ``u`` as ``m``. The minima
-    are a table of their own, so that both join sides come straight from an
-    exchange and a hub with very many neighbours can be split at run time."""
-    low = stage(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
-    return pairs.join(low, "u")
+    of a counted small table are broadcast; else they are a table of their own,
+    so that both join sides come straight from an exchange and a hub with very
+    many neighbours can be split at run time."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(F.broadcast(few(low, small)) if small else stage(low, name), "u")
+
+
+def few(df: DataFrame, small: bool) -> DataFrame:
+    """``df`` in a few partitions where its counted size is small."""
+    return df.coalesce(FEW) if small else df
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -63,14 +71,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     before = _state(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    small = before[0] <= BROADCAST_ROWS
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, "cc_min").where("v > u").select(
+        large = _star(both, "cc_min", small).where("v > u").select(
             F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = stage(large, "cc_large")
-        small = _star(large, "cc_min")
-        e = stage(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                  .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        large = stage(few(large, small), "cc_large")
+        stars = _star(large, "cc_min", small)
+        e = stage(few(stars.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                      .unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), small), "cc")
         now = _state(e)
         if now == before:
             roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -10,17 +10,21 @@ from the start, so exact copies are never joined to each other.
    value; the choice changes the work only, never the result. The prefix codes
    travel as packed arrays, dealt by code; codes held by two classes or more
    give groups, and equal groups are kept once.
-2. Signature trees. A class has a bitmap of its codes (4 to 8 bits a code).
+2. Signature trees. A class has a bitmap of its codes (2 to 4 bits a code).
    Per group, bitmaps sorted by size become leaves, leaves become nodes that
    hold the OR of their bitmaps and the range of their sizes. A dual traversal
    drops a pair of nodes when their sizes are too far apart, when the maximum
    possible overlap of their members is too small, or when all members are in
    one component already. Large groups are cut into blocks; every pair of
    blocks is its own unit of work.
-3. Verification. Proposed pairs are checked on the codes of the whole texts.
-   Two rounds propose a spanning forest of likely links only; a last round
-   proposes every pair between different components that the bound cannot
-   rule out, so no link is lost and dense groups are not expanded into pairs.
+   A first traversal of a group takes likely links, each as if it were true,
+   so dense groups give a spanning forest and not all their pairs; a second one
+   adds every pair between the resulting components that the bounds allow.
+3. Verification. Proposed pairs are checked on the codes of the whole texts,
+   the most similar pair of each component first, until no unchecked pair
+   joins two components. Groups in which a taken link proved false are
+   traversed again, now for every pair between different components that the
+   bounds allow, so no link is lost.
 
 Links follow the contract on 64-bit codes: two different shingles share a code
 with probability 2**-64.
@@ -41,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sevscope.llm.common import (Forest, block_pairs, broadcast_if_small, byte_slices, connected_components,
-                                 text_bytes)
+from sevscope.llm.common import (BROADCAST_ROWS, Forest, block_pairs, broadcast_if_small, byte_slices,
+                                 connected_components, few, text_bytes)
 from sevscope.llm.shingles import mix, shingle_sets
 from sevscope.session import stage
 
@@ -198,7 +202,7 @@ def _groups(hot_side):
 # --- signatures and trees ---------------------------------------------------
 
 def bitmap_width(n: int) -> int:
-    return max(256, 1 << (4 * n - 1).bit_length())
+    return max(256, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(codes: np.ndarray) -> bytes:
@@ -247,30 +251,27 @@ def tree(members: list[tuple]) -> Node:
     return nodes[0][1]
 
 
-def may_link(a: tuple, b: tuple, similarity, likely: bool) -> bool:
-    """Whether two members' maximum possible overlap (or, for ``likely``, the
-    overlap expected from their bitmaps) reaches the similarity."""
+def similarity_bound(a: tuple, b: tuple, similarity) -> tuple[float, float]:
+    """(largest possible, expected) Jaccard similarity of two members by their
+    bitmaps; (0, 0) when their sizes are too far apart."""
     num, den = similarity
     (_, na, xa, wa), (_, nb, xb, wb) = a, b
     if den * min(na, nb) < num * max(na, nb):
-        return False
+        return 0.0, 0.0
     width = min(wa, wb)
     xa, xb = fold(xa, wa, width), fold(xb, wb, width)
-    both = (xa & xb).bit_count()
-    missing_a, missing_b = xa.bit_count() - both, xb.bit_count() - both
-    if likely:
-        missing_a /= max(0.05, 1 - (both + missing_b) / width)
-        missing_b /= max(0.05, 1 - (both + missing_a) / width)
-        overlap = ((na - missing_a) + (nb - missing_b)) / 2
-    else:
-        overlap = min(na - missing_a, nb - missing_b)
-    return den * overlap >= num * (na + nb - overlap)
+    bits_a, bits_b, both = xa.bit_count(), xb.bit_count(), (xa & xb).bit_count()
+    only_a, only_b = bits_a - both, bits_b - both     # each hides a code that the other lacks
+    most = min(na - only_a, nb - only_b)
+    likely = (na - only_a / max(0.05, 1 - bits_b / width) + nb - only_b / max(0.05, 1 - bits_a / width)) / 2
+    return most / (na + nb - most), likely / (na + nb - likely)
 
 
 def dual_traversal(left: Node, right: Node, rows: list[tuple], forest: Forest, similarity, spanning: bool):
-    """Pairs of places, one below each node, that may link and are not in one
-    component yet. With ``spanning`` only likely pairs are taken and each is
-    treated as a link at once, so the pairs form a forest."""
+    """(place, place, expected similarity) of pairs, one below each node, that
+    may link and are not in one component yet. With ``spanning`` only likely
+    pairs are taken and each is treated as a link at once, so they form a
+    forest."""
     num, den = similarity
 
     def solid(node):
@@ -301,69 +302,90 @@ def dual_traversal(left: Node, right: Node, rows: list[tuple], forest: Forest, s
             continue
         for i, x in enumerate(a.members):
             for y in (a.members[i + 1:] if a is b else b.members):
-                if forest.find(x) != forest.find(y) and may_link(rows[x], rows[y], similarity, spanning):
+                if forest.find(x) == forest.find(y):
+                    continue
+                most, likely = similarity_bound(rows[x], rows[y], similarity)
+                if den * (likely if spanning else most) >= num - 1e-9:
                     if spanning:
                         forest.union(x, y)
-                    yield x, y
+                    yield x, y, likely
+
+
+_FOUND = "a long, b long, likely double, group long, lo int, hi int"
 
 
-def _candidates(similarity, spanning: bool):
-    """Arrow pass over rows sorted by (group, lo, hi): proposed pairs."""
-    def propose(part, lo, hi):
+def _candidates(similarity, again: bool):
+    """Arrow pass over rows sorted by (group, lo, hi): proposed pairs (a, b,
+    expected similarity), and, where links were taken as true, the members of
+    each component so made (code, its root's code, group, lo, hi)."""
+    def propose(part, group, lo, hi):
         rows, forest, known = [], Forest(len(part)), {}
         for k, (_, code, n, bits, comp) in enumerate(part):
             rows.append((k, n, int.from_bytes(bits, "little"), 8 * len(bits)))
-            forest.union(known.setdefault(comp, k), k)
+            if again:
+                forest.union(known.setdefault(comp, k), k)
         left = [r for r, p in zip(rows, part) if p[0] == lo]
         right = left if lo == hi else [r for r, p in zip(rows, part) if p[0] == hi]
-        if left and right:
-            a = tree(left)
-            b = a if lo == hi else tree(right)
-            for x, y in dual_traversal(a, b, rows, forest, similarity, spanning):
-                yield sorted((part[x][1], part[y][1]))
-
-    def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
-                                           pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+        if not left or not right:
+            return
+        a = tree(left)
+        b = a if lo == hi else tree(right)
+        taken = False
+        for spanning in ((False,) if again else (True, False)):
+            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, spanning):
+                taken |= spanning
+                yield *sorted((part[x][1], part[y][1])), likely, None, None, None
+        if taken:
+            for k, p in enumerate(part):
+                yield p[1], part[forest.find(k)][1], None, group, lo, hi
+
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
+    names = ["a", "b", "likely", "group", "lo", "hi"]
+
+    def out(found):
+        columns = list(zip(*found)) or [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def run(batches):
-        part, key, pairs = [], None, []
+        part, key, found = [], None, []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for now, row in zip(zip(*columns[:3]), zip(*columns[3:])):
                 if now != key:
                     if len(part) > 1:
-                        pairs += propose(part, *key[1:])
+                        found += propose(part, *key)
                     part, key = [], now
                 part.append(row)
-            if len(pairs) > 50_000:
-                yield out(pairs)
-                pairs = []
+            if len(found) > 50_000:
+                yield out(found)
+                found = []
         if len(part) > 1:
-            pairs += propose(part, *key[1:])
-        yield out(pairs)
+            found += propose(part, *key)
+        yield out(found)
     return run
 
 
 # --- verification -----------------------------------------------------------
 
 def _signatures(words: int):
-    """Arrow pass over (code, text): keeps texts of that class, adds size and bitmap."""
+    """Arrow pass over (code, text): keeps texts of that class, adds size and
+    bitmap; the text is compressed, as it may travel to several checks."""
     def run(batches):
         for batch in byte_slices(batches, 1):
             codes = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            rows = [(c, len(s), bitmap(s), t) for c, s, t in zip(codes, shingle_sets(texts, words), texts)
-                    if len(s) and set_code(s) == c]
+            rows = [(c, len(s), bitmap(s), pa.compress(t, "zstd", asbytes=True), len(t))
+                    for c, s, t in zip(codes, shingle_sets(texts, words), texts) if len(s) and set_code(s) == c]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
-                names=["code", "n", "bits", "text"])
+                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()),
+                 pa.array([r[4] for r in rows], pa.int64())], names=["code", "n", "bits", "packed", "size"])
     return run
 
 
 def _verify(words: int, similarity):
-    """Arrow pass over (a, b, text) sorted by pair, two rows each: (a, b, link)."""
+    """Arrow pass over (a, b, packed text, its size) sorted by pair, two rows
+    each: (a, b, link)."""
     num, den = similarity
 
     def checked(held):
@@ -381,7 +403,8 @@ def _verify(words: int, similarity):
     def run(batches):
         held, size, waiting = [], 0, None
         for batch in batches:
-            for a, b, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for a, b, packed, full in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                t = pa.decompress(packed, full, "zstd", asbytes=True)
                 if waiting is None or waiting[0] != (a, b):
                     waiting = ((a, b), t)
                     continue
@@ -426,37 +449,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = stage(groups.select("code").distinct().join(classes, "code")
                    .select("code", F.col("least").alias("doc_id")), "nj_wanted")
     texts = ins.join(broadcast_if_small(wanted), "doc_id").select("code", "text").mapInArrow(
-        _signatures(words), "code long, n long, bits binary, text binary")
+        _signatures(words), "code long, n long, bits binary, packed binary, size long")
     if members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         texts = texts.dropDuplicates(["code"])
     texts = stage(texts, "nj_texts")
 
-    comp = groups.select("code").distinct().withColumn("comp", F.col("code"))
-    links, tried = None, None
-    for spanning in (True, True, False):
-        comp = stage(comp, "nj_comp")
-        signs = comp.join(texts.select("code", "n", "bits"), "code")
-        rows = stage(groups.join(signs, "code"), "nj_rows")
-        open_groups = stage(rows.groupBy("group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                            .where("x != y").select("group"), "nj_open")
-        rows = stage(rows.join(broadcast_if_small(open_groups), "group", "left_semi"), "nj_rows")
-        pairs = (block_pairs(rows, ["group"], "code", block)
-                 .select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
-                 .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-                 .mapInArrow(_candidates(similarity, spanning), "a long, b long").distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "nj_pairs")
-        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("code"))
-        checked = stage(ends.join(texts.select("code", "text"), "code").select("a", "b", "text")
-                        .repartition("a", "b").sortWithinPartitions("a", "b")
-                        .mapInArrow(_verify(words, similarity), "a long, b long, link boolean"), "nj_checked")
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        found = checked.where("link").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links, "a", "b")
-        comp = (groups.select("code").distinct().join(roots.withColumnRenamed("node", "code"), "code", "left")
-                .select("code", F.coalesce("root", "code").alias("comp")))
+    units = stage(block_pairs(groups, ["group"], "code", block).select("group", "lo", "hi", "own", "code"), "nj_units")
+    comp = stage(wanted.select("code", F.col("code").alias("comp")), "nj_comp")
+    found = stage(_propose(units, texts, comp, similarity, False), "nj_found")
+    comp, tried = _settle(found.where("likely IS NOT NULL"), texts, comp, None, words, similarity)
+    split = stage(found.where("likely IS NULL").join(comp, F.col("a") == F.col("code"))
+                  .groupBy("group", "lo", "hi", "b").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                  .where("x != y").select("group", "lo", "hi").distinct(), "nj_split")
+    if split.count():
+        again = units.join(broadcast_if_small(split), ["group", "lo", "hi"], "left_semi")
+        more = stage(_propose(again, texts, comp, similarity, True), "nj_found")
+        comp, _ = _settle(more.where("likely IS NOT NULL"), texts, comp, tried, words, similarity)
+    roots = comp.where("comp != code").select(F.col("code").alias("node"), F.col("comp").alias("root"))
 
     placed = stage(classes.join(roots.withColumnRenamed("node", "code"), "code", "left")
                    .select("code", "least", F.coalesce("root", "code").alias("root")), "nj_placed")
@@ -468,6 +477,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .alias("component_id"))
 
 
+def _propose(units: DataFrame, texts: DataFrame, comp: DataFrame, similarity, again: bool) -> DataFrame:
+    signs = comp.join(texts.select("code", "n", "bits"), "code")
+    return (units.join(signs, "code").select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
+            .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+            .mapInArrow(_candidates(similarity, again), _FOUND))
+
+
+def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFrame | None, words: int, similarity):
+    """Checks proposed pairs until none joins two components: (comp, tried).
+    In the first two rounds, while there are many pairs to a component, only
+    the likeliest of each component is checked."""
+    pairs = stage(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "nj_pairs")
+    small, few_classes = pairs.count() <= BROADCAST_ROWS, comp.count() <= BROADCAST_ROWS
+    for nth in range(1_000):
+        side = lambda end: comp.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
+        pairs = pairs.select("a", "b", "likely").join(side("a"), "a").join(side("b"), "b").where("ca != cb")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(few(pairs, small), "nj_pairs")
+        best = stage(few(pairs.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "likely")
+                     .groupBy("c").agg(F.max(F.struct("likely", "a", "b")).alias("m"))
+                     .select("m.a", "m.b").distinct(), small), "nj_best")
+        n_pairs, n_best = pairs.count(), best.count()
+        if not n_pairs:
+            return comp, tried
+        now = best if n_pairs > 2 * n_best and nth < 2 else pairs.select("a", "b")
+        ends = now.select("a", "b", F.explode(F.array("a", "b")).alias("code"))
+        if 2 * (n_best if now is best else n_pairs) <= BROADCAST_ROWS:
+            ends = F.broadcast(ends)
+        checked = stage(texts.select("code", "packed", "size").join(ends, "code").select("a", "b", "packed", "size")
+                        .repartition("a", "b").sortWithinPartitions("a", "b")
+                        .mapInArrow(_verify(words, similarity), "a long, b long, link boolean"), "nj_checked")
+        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
+        joins = checked.where("link").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
+        roots = connected_components(joins, "ca", "cb")
+        comp = stage(few(comp.join(roots, F.col("comp") == F.col("node"), "left")
+                         .select("code", F.coalesce("root", "comp").alias("comp")), few_classes), "nj_comp")
+    raise RuntimeError("checks did not settle")
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` (same columns) with the document of the smallest id of every
     group of near-duplicates; rows with a null id stay."""
