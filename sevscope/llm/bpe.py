@@ -10,13 +10,12 @@ look. Encodings thus form a monoid under ``join``; across piece borders the
 join is plain concatenation. Decoding concatenates the tokens' bytes up the
 same tree.
 
-The unit of caching is a chunk: a stretch between two single spaces that have
-other characters than white space on both sides. A piece border is certain
-before such a space, so a chunk's tokens do not depend on its neighbours.
+Words repeat, so a task keeps the results of up to ``HELD_PIECES`` short pieces
+and then starts anew; memory is bounded whatever the texts.
 
 Each task reads the public rank file named by ``path`` on its own machine;
-nothing is collected and texts are never shuffled. Very long texts are handled
-chunk by chunk, a chunk of n bytes costs about n log n.
+nothing is collected and texts are never shuffled. A very long piece of n bytes
+costs about n log n.
 
 Defined results: null and empty texts have no tokens (digests of the empty
 string); bytes that are not UTF-8 are replaced, as in the text column's own
@@ -39,8 +38,8 @@ from sevscope.llm.common import byte_slices, text_bytes
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NONE = 1 << 60             # rank of a pair that is no token
 LEAF = 24                 # bytes up to which a span is merged directly
-KNOWN_PIECES = 200_000    # short pieces whose ids are kept
-HELD_TEXT = 6_000_000     # characters of chunks whose results are kept
+HELD_PIECES = 200_000     # short pieces whose results a task keeps
+SHORT = 64                # characters up to which a piece is kept
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,10 +55,7 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces = regex.compile(pattern)
-        self.borders = regex.compile(r"(?<=\S) (?=\S)")
-        self.double = regex.compile(r"\s\s")
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Encoding of a short span: the neighbouring pair of least rank is
@@ -119,16 +115,8 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         """Token ids of any text; piece by piece, so the join is concatenation."""
         out: list[int] = []
-        known = self.known
         for piece in self.pieces.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) <= LEAF:
-                    if len(known) > KNOWN_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
+            out += self.encode_piece(piece.encode())
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -138,45 +126,30 @@ class Encoder:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def chunks(self, text: str) -> list[str]:
-        """The text cut before every single space with other characters than
-        white space around it; the space itself is left out."""
-        if self.double.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return self.borders.split(text)
-        return text.split(" ")
-
 
-class ChunkCache:
-    """Results of ``make(encoder, chunk)`` by chunk; ``first`` marks the chunk
-    without a leading space. Cleared when the held text passes a bound."""
+class PieceCache:
+    """``make(encoder, piece)`` for the pieces of texts, computed once for
+    pieces that repeat."""
 
     def __init__(self, encoder: Encoder, make):
-        self.encoder, self.make = encoder, make
-        self.first, self.rest, self.held = {}, {}, 0
+        self.encoder, self.make, self.known = encoder, make, {}
 
     def of(self, text: str) -> list:
-        if not text:
-            return []
-        parts = self.encoder.chunks(text)
-        known, missing = self.rest, []
-        head = self.first.get(parts[0])
-        if head is None:
-            head = self.first[parts[0]] = self.make(self.encoder, parts[0])
-            self.held += len(parts[0])
-        out = [head]
-        for part in parts[1:]:
-            got = known.get(part)
+        """Results of the text's pieces, in order."""
+        known, out = self.known, []
+        for piece in self.encoder.pieces.findall(text):
+            got = known.get(piece)
             if got is None:
-                got = known[part] = self.make(self.encoder, " " + part)
-                self.held += len(part) + 8
+                got = self.make(self.encoder, piece)
+                if len(piece) <= SHORT:
+                    if len(known) >= HELD_PIECES:
+                        known.clear()
+                    known[piece] = got
             out.append(got)
-        if self.held > HELD_TEXT:
-            self.first, self.rest, self.held = {}, {}, 0
         return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_CACHES: dict[tuple, ChunkCache] = {}
 
 
 def encoder_of(path: str, pattern: str) -> Encoder:
@@ -186,26 +159,19 @@ def encoder_of(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def cache_of(path: str, pattern: str, make) -> ChunkCache:
-    key = (path, pattern, make.__name__)
-    if key not in _CACHES:
-        _CACHES[key] = ChunkCache(encoder_of(path, pattern), make)
-    return _CACHES[key]
-
-
-def chunk_digest(encoder: Encoder, chunk: str):
+def piece_digest(encoder: Encoder, piece: str):
     """(number of ids, ids as text with a leading space each, decoded bytes)."""
-    ids = encoder.encode(chunk)
+    ids = encoder.encode_piece(piece.encode())
     return len(ids), "".join([f" {i}" for i in ids]).encode(), encoder.decode(ids)
 
 
-def chunk_ids(encoder: Encoder, chunk: str):
-    return encoder.encode(chunk)
+def piece_ids(encoder: Encoder, piece: str):
+    return encoder.encode_piece(piece.encode())
 
 
 def _digests(path: str, pattern: str):
     def run(batches):
-        cache = cache_of(path, pattern, chunk_digest)
+        cache = PieceCache(encoder_of(path, pattern), piece_digest)
         for whole in batches:
             for batch in byte_slices([whole], whole.num_columns - 1, 8 << 20):
                 counts, ids, decoded = [], [], []
@@ -223,7 +189,7 @@ def _digests(path: str, pattern: str):
 
 def _ids(path: str, pattern: str):
     def run(batches):
-        cache = cache_of(path, pattern, chunk_ids)
+        cache = PieceCache(encoder_of(path, pattern), piece_ids)
         for whole in batches:
             for batch in byte_slices([whole], whole.num_columns - 1, 8 << 20):
                 rows = []

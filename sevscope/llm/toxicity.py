@@ -48,7 +48,7 @@ MIN_Z, MARGIN, COST = 3.0, 1.0, 1.0
 CAPACITY = 200_000
 FIT_ROWS = 100_000
 K, SIGNIFICANT = 0.1, 0.5
-FLUSH = 600_000   # words whose counts a task holds before it passes them on
+FLUSH = 250_000   # words whose counts a task holds before it passes them on
 
 
 def _word_families(texts: list[bytes]):

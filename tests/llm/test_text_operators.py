@@ -150,7 +150,7 @@ def test_encoder_equals_library(coders):
     rng = random.Random(4)
     bits = ["a", "b", "e", " ", "  ", "\n", "\t", "é", "ß", "漢", "1", "22", "'s", "'ll", "!", "--", "\xa0", "\x85", "\x1c",
             " ", "th", "ing", "<|", "x" * 40, "ab" * 70, "0" * 33, " " * 50, "\U0001f600", "aaaa", "=" * 7]
-    cache = bpe.ChunkCache(own, bpe.chunk_ids)
+    cache = bpe.PieceCache(own, bpe.piece_ids)
     for _ in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
         ids = lib.encode_ordinary(text)
@@ -189,12 +189,12 @@ def test_bpe_hazards(coders, hard_docs, hard_rows, no_docs):
 
 def test_cache_restarts(coders):
     own, lib = coders
-    cache = bpe.ChunkCache(own, bpe.chunk_ids)
-    old, bpe.HELD_TEXT = bpe.HELD_TEXT, 50
+    cache = bpe.PieceCache(own, bpe.piece_ids)
+    old, bpe.HELD_PIECES = bpe.HELD_PIECES, 50
     try:
         text = " ".join(f"some{k} words{k}" for k in range(100))
         for _ in range(3):
             assert [i for p in cache.of(text) for i in p] == lib.encode_ordinary(text)
-        assert cache.held <= 50 or not cache.rest
+        assert len(cache.known) <= 50
     finally:
-        bpe.HELD_TEXT = old
+        bpe.HELD_PIECES = old
