@@ -143,6 +143,30 @@ def test_rp_forest_equals_brute_force(spark, options):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_rp_forest_keeps_the_links_of_dense_groups(spark):
+    """A third of one label in a group of distinct vectors with cosine 0.945 to
+    each other, a small one beside it, and a label of few rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2_400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    middle = x[:2].copy()
+    x[:800] = 0.972 * middle[0] + 0.235 * x[:800]
+    x[800:860] = 0.972 * middle[1] + 0.235 * x[800:860]
+    x[-200:] = x[-400:-200] + 0.02 * rng.standard_normal((200, 64))
+    x = x.astype(np.float32).astype(float)
+    label = np.r_[np.zeros(2_370, int), np.ones(30, int)]
+    out = rp_forest.near_duplicates(spark.createDataFrame(
+        [(k, v, int(c)) for k, (v, c) in enumerate(zip(x.tolist(), label))], "vec_id long, embedding array<float>, label int"), leaf=32)
+    got = {r.vec_id: r for r in out.collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    links = np.array([got[k].n_links for k in range(len(x))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.999 * near.sum()
+    assert (links[:800] == near[:800].sum(1)).all()
+    assert len({got[k].component_id for k in range(800) if near[k].any()}) == 1
+
+
 def test_rp_forest_hazards(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None),
