@@ -325,6 +325,27 @@ def test_base_scores_and_hazards(hard_docs, hard_rows, no_docs):
     assert lm.score_texts(no_docs, PATH, PATTERN, 50_256).collect() == []
 
 
+def test_training_takes_every_window_once(monkeypatch):
+    assert attention.SLOTS == 4096
+    n = np.array([700, 1, 40, 3000])
+    ids = np.random.default_rng(2).integers(0, 50_256, n.sum()).astype(np.uint16)
+    batch = lm.pa.RecordBatch.from_arrays(
+        [lm.pa.array([[False, False, True, False]]), lm.pa.array([n.tolist()]), lm.pa.array([ids.tobytes()], lm.pa.binary())],
+        names=["held", "n_ids", "subwords"])
+    counts = np.bincount(ids, minlength=50_257).astype(float)
+    vocabulary = lm.Vocabulary(counts, 50_256)
+    side = type("Side", (), {"value": (attention.initial(vocabulary.slot_counts), vocabulary)})
+    taken, gather = [], attention.gather
+
+    def noted(inputs, targets, base, skip, scored):
+        taken.extend(base.tolist())
+        return gather(inputs, targets, base, skip, scored)
+    monkeypatch.setattr(attention, "gather", noted)
+    monkeypatch.setattr(lm, "_pieces", lambda values, weight: weight)
+    seen = sum(w for nth in range(lm.ROUNDS) for w in lm._train(side, nth, lm.SHARE, lm.BATCH, lm.RATE)([batch]))
+    assert sorted(taken) == sorted(attention.windows(n[[0, 1, 3]])[0].tolist()) and seen == len(taken)
+
+
 def test_training_beats_the_untrained_model(spark):
     rng = random.Random(3)
     docs = [(k, " ".join(rng.choice(["the cat sat on the mat", "dogs run in the park"]) for _ in range(30))) for k in range(400)]
