@@ -1,11 +1,18 @@
 """License scans by sentence rules (DataFrame functions only).
 
-A text is cut into sentences, each is normalised (A-Z lowered, every run of
-other characters than letters and digits a space) and looked up among known
-licence sentences. The identifiers found, in text order, are then matched
-against ordered licence rules: a rule is a sequence of identifiers that must
-follow each other; earlier rules take their identifiers first, so that a
-whole licence text wins over a one-line notice inside it.
+A text is cut into parts at line ends and punctuation, each is normalised (A-Z
+lowered, every run of other characters than letters and digits a space, which
+also takes comment signs away). A known licence sentence is a run of whole parts,
+so sentences wrapped over lines or holding a colon or semicolon are found; of
+two sentences that begin at one part the longer counts. The identifiers found,
+in text order, are then matched against ordered licence rules: a rule is a
+sequence of identifiers that must follow each other; earlier rules take their
+identifiers first, so that a whole licence text wins over a one-line notice
+inside it.
+
+The SQL knows ``SENTENCES`` and ``RULES`` in single parts only. It agrees where a
+text holds short notices; on full or wrapped licence texts the operator finds
+more.
 
 Each known sentence holds a cue word, so texts without any cue skip the
 sentence work with the same result.
@@ -69,6 +76,33 @@ RULES = (
     ("CC-BY-4.0", "permissive", ("cc-by-short",)),
     ("proprietary", "reserved", ("reserved",)),
 )
+# Sentences of the full standard texts, by identifier.
+FULL_SENTENCES = (
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("bsd-endorse", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl2-redist", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl3-redist", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl3-redist", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("apache-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+)
+# The third BSD clause, which names the holder between these.
+ENDORSE = ("neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")
+HOLDER_WORDS = 16
+# Rules of the full texts, tried before RULES.
+FULL_RULES = (
+    ("MIT", "permissive", ("mit-grant", "mit-notice")),
+    ("Apache-2.0", "permissive", ("apache-long", "apache-use", "apache-copy")),
+    ("BSD-3-Clause", "permissive", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", "permissive", ("bsd-redist", "bsd-source", "bsd-binary")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-redist", "gpl-warranty")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-redist", "gpl-warranty")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3-redist", "gpl-warranty")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-redist",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-redist",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3-redist",)),
+) + RULES
 # Every known sentence holds one of these.
 CUES = ("licens", "permission", "redistribut", "warranty", "copyright")
 SENTENCE_END = "[\\n\\r]+|[.!?:;]+[ \\t\\n\\f\\r\"')]+|[.!?]+\\z"
@@ -76,15 +110,27 @@ SENTENCE_END = "[\\n\\r]+|[.!?:;]+[ \\t\\n\\f\\r\"')]+|[.!?]+\\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+def normalise(sentence: Column, other: str = "[^a-z0-9]+") -> Column:
+    return F.trim(F.regexp_replace(sentence, other, " "))
+
+
+def _pattern() -> str:
+    """Every known sentence between two part ends ``Z`` (a lowered text has no
+    such letter), with a part end or a space between any two words."""
+    def run(words: str) -> str:
+        return words.replace(" ", "[ Z]")
+    known = sorted([*SENTENCES.values(), *(s for _, s in FULL_SENTENCES)], key=lambda s: (-len(s), s))
+    holder = f"[ Z](?:[a-z0-9]+[ Z]){{1,{HOLDER_WORDS}}}?"
+    return f"Z({'|'.join(map(run, known))}|{run(ENDORSE[0])}{holder}{run(ENDORSE[1])})(?=Z)"
 
 
 def _identifiers(low: Column) -> Column:
-    known = list(SENTENCES.values())
-    found = F.filter(F.transform(F.split(low, SENTENCE_END, -1), normalise), lambda s: s.isin(*known))
-    ids = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    return F.transform(found, lambda s: F.element_at(ids, s))
+    parts = normalise(F.regexp_replace(low, SENTENCE_END, "Z"), "[^a-z0-9Z]+")
+    parts = F.regexp_replace(F.concat(F.lit("Z"), parts, F.lit("Z")), "[ Z]*Z[ Z]*", "Z")
+    found = F.transform(F.regexp_extract_all(parts, F.lit(_pattern()), F.lit(1)), lambda s: F.translate(s, "Z", " "))
+    ids = F.create_map(*[F.lit(x) for k, v in (*SENTENCES.items(), *FULL_SENTENCES) for x in (v, k)])
+    return F.transform(found, lambda s: F.when(s.startswith(ENDORSE[0]), F.lit("bsd-endorse"))
+                       .otherwise(F.element_at(ids, s)))
 
 
 def _match(ids: Column) -> Column:
@@ -92,7 +138,7 @@ def _match(ids: Column) -> Column:
     ``=n`` for rule n. Items stand between two bars, so neighbours never share
     a bar and every run is found."""
     out = F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit("|"), x, F.lit("|"))))
-    for n, (_, _, run) in enumerate(RULES):
+    for n, (_, _, run) in enumerate(FULL_RULES):
         out = F.replace(out, F.lit("".join(f"|{x}|" for x in run)), F.lit(f"|={n:02d}|"))
     return out
 
@@ -111,7 +157,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c not in made]
 
     def names(col: int) -> Column:
-        m = F.create_map(*[x for n, r in enumerate(RULES) for x in (F.lit(f"{n:02d}"), F.lit(r[col]))])
+        m = F.create_map(*[x for n, r in enumerate(FULL_RULES) for x in (F.lit(f"{n:02d}"), F.lit(r[col]))])
         return F.array_join(F.array_sort(F.array_distinct(F.transform("__ls_rules", lambda x: F.element_at(m, x)))), ",")
 
     return (docs.select(*rest, F.coalesce(ids, F.array().cast("array<string>")).alias("__ls_ids"))

@@ -66,6 +66,64 @@ def test_license_rules_are_ordered(spark, hard_docs, no_docs, hard_rows):
     assert licenses.scan_licenses(no_docs).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0
+(the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_full_licence_texts_are_known(spark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3.format("the copyright holder"), "GPL-3.0-or-later": GPL,
+             "Apache-2.0": APACHE, "BSD-3-Clause ": BSD_3.format("the University of Nowhere"),
+             "GPL-2.0-or-later": GPL.replace("version 3", "version 2")}
+    rows = []
+    for name, text in texts.items():
+        for lead in ("", "# ", " * ", "// "):
+            rows.append((name.strip(), "Copyright (c) 2020 A. Holder\n" + "".join(lead + x + "\n" for x in text.split("\n"))))
+        rows.append((name.strip(), " ".join(text.split())))
+        rows.append((name.strip(), text.replace("\n", "\r\n") + "import os\n"))
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert all((r.licenses, r.n_matches, r.n_loose) == (r.name, 1, 0) for r in out), [
+        (r.name, r.licenses, r.sentence_ids, r.n_loose) for r in out if r.licenses != r.name or r.n_loose]
+
+
 # ---------------------------------------------------------- decontamination
 BENCH = [(1, " ".join(f"word{k}" for k in range(10, 25))), (2, "Two... WORDS!"), (2, "two words"), (3, None),
          (4, "?!"), (None, "footer"), (5, "two words three")]
