@@ -16,8 +16,8 @@ log expectation and the number of significant passages gives the probability;
 it is fitted on at most ``FIT_ROWS`` labelled rows (taken by a hash of the
 id). Counts, token scores and passages cover all rows and whole texts.
 
-The token table keeps the ``CAPACITY`` most significant entries, which bounds
-the broadcast; its statistics are counted over all training rows.
+The token table holds every significant entry. It is broadcast in blocks of
+``CAPACITY`` entries; a word's score is the best over all blocks.
 
 Defined results: null and empty texts have no words and get the curve's value
 at no evidence; a document without label is scored but not learned from;
@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,15 +116,14 @@ def segments(scores: np.ndarray, places: np.ndarray) -> list[tuple[int, int, flo
     return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
-def _passages(model):
+def _passages(blocks):
     """Arrow pass over (key columns..., text): words, segments of positive score."""
     def run(batches):
-        codes, scores = model.value
         for whole in batches:
             for batch in byte_slices([whole], whole.num_columns - 1):
                 families, first = _word_families([t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()])
                 best = np.full(families.shape[1], -COST)
-                if len(codes):
+                for codes, scores in (b.value for b in blocks):
                     for row in families:
                         at = np.searchsorted(codes, row)
                         at[at == len(codes)] = 0
@@ -158,9 +158,10 @@ def token_scores(train: DataFrame):
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = (F.log(t / (F.lit(nt + PRIOR_MASS) - t)) - F.log(c / (F.lit(nc + PRIOR_MASS) - c)))
     err = F.sqrt(1 / t + 1 / c)
-    kept = (counts.where(f"code != 0 AND t > 1 AND t < {nt}").select("code", odds.alias("odds"), err.alias("err"), "c")
-            .where(F.col("odds") >= MIN_Z * F.col("err")).orderBy(F.desc(F.col("odds") / F.col("err")), "code")
-            .limit(CAPACITY).toPandas())
+    kept = stage(counts.where(f"code != 0 AND t > 1 AND t < {nt}").select("code", odds.alias("odds"), err.alias("err"), "c")
+                 .where(F.col("odds") >= MIN_Z * F.col("err")), "tox_tokens")
+    parts = max(1, math.ceil(kept.count() / CAPACITY))
+    kept = pd.concat([kept.where(F.pmod("code", F.lit(parts)) == k).toPandas() for k in range(parts)])
     codes = kept["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(codes)
     scores = (kept["odds"] - MARGIN * kept["err"]).to_numpy(float) - COST
@@ -214,8 +215,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     texts = docs.select(F.col(key).alias("__tx_key"), text_bytes(text).alias("t"))
     truth_side = broadcast_if_small(truth)
     codes, scores, shares = token_scores(texts.join(truth_side, "__tx_key").select("toxic", "t"))
-    model = spark.sparkContext.broadcast((codes, scores))
-    found = stage(texts.mapInArrow(_passages(model), T.StructType([
+    blocks = [spark.sparkContext.broadcast((codes[a:a + CAPACITY], scores[a:a + CAPACITY]))
+              for a in range(0, len(codes), CAPACITY)]
+    found = stage(texts.mapInArrow(_passages(blocks), T.StructType([
         T.StructField("__tx_key", docs.schema[key].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("segments", _SEGMENTS)])), "tox_passages")
 

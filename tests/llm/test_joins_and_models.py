@@ -223,6 +223,14 @@ def _toxic_corpus(n, seed=1):
     return docs, labels
 
 
+def test_toxicity_scores_all_significant_tokens(spark, monkeypatch):
+    docs, labels = _toxic_corpus(300)
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    whole = sorted(toxicity.score_toxicity(*frames).collect())
+    monkeypatch.setattr(toxicity, "CAPACITY", 2)
+    assert sorted(toxicity.score_toxicity(*frames).collect()) == whole
+
+
 def test_toxicity_held_out(spark):
     docs, labels = _toxic_corpus(800)
     out = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"),
