@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sevscope.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, rp_forest, toxicity
+from sevscope.llm import (align, bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, rp_forest,
+                          token_counts, toxicity)
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -76,3 +77,16 @@ def ngram(spark, sf_dir):
 def lm_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score_texts(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, 50_256)
+
+
+@query("op12_token_counts")
+def token_lengths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(token_counts.VOCABULARY), keep_text=False)
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.link_digests(docs, public_tokenizers.path(align.A_VOCABULARY),
+                              public_tokenizers.path(align.B_VOCABULARY), public_tokenizers.PATTERN, keep_text=False)

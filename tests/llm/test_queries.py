@@ -26,6 +26,10 @@ COLUMNS = {
     "op8_line_dedup": {"doc_id": "bigint", "text": "string"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_license_scan": {"doc_id": "bigint", "licenses": "string"},
+    "op12_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op13_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint",
+                                 "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint",
+                                 "groups_sha256": "string"},
 }
 
 
