@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sevscope.llm import (align, bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, rp_forest,
-                          token_counts, toxicity)
+from sevscope.llm import (align, bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, repair,
+                          rp_forest, token_counts, toxicity)
 from sevscope.llm.common import table
 
 REGISTRY = {}
@@ -90,3 +90,8 @@ def tokenizer_alignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return align.link_digests(docs, public_tokenizers.path(align.A_VOCABULARY),
                               public_tokenizers.path(align.B_VOCABULARY), public_tokenizers.PATTERN, keep_text=False)
+
+
+@query("op11_conversation_repair", repair.ORACLE)
+def conversation_repair(spark, sf_dir):
+    return repair.digests(table(spark, sf_dir, "conversations"))

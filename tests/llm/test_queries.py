@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_line_dedup": {"doc_id": "bigint", "text": "string"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_license_scan": {"doc_id": "bigint", "licenses": "string"},
+    "op11_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint",
+                                 "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string",
+                                 "repaired_sha256": "string"},
     "op12_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
     "op13_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint",
                                  "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint",
@@ -55,7 +58,8 @@ def test_every_query_has_its_contract():
     assert set(COLUMNS) == set(queries.REGISTRY)
 
 
-@pytest.mark.parametrize("name", sorted(set(COLUMNS) - {"op5_embedding_neardup", "op7_chat_format"}))
+@pytest.mark.parametrize("name", sorted(set(COLUMNS) - {"op5_embedding_neardup", "op7_chat_format",
+                                                            "op11_conversation_repair"}))
 def test_documents_come_back_whole(rows, documents, name):
     assert sorted(r.doc_id for r in rows(name)) == sorted(documents)
 
