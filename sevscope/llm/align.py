@@ -20,9 +20,10 @@ A token of a group is linked with every B token of it.
   rows are distinct pairs per chunk, a pair that every document holds is one
   row a chunk, and nothing is collected or broadcast unchecked.
 
-Memory of a task: one chunk (``CHUNK`` bytes of text, or a single text) and
-the distinct pairs of it; the links of a batch are expanded ``SLICE`` at a
-time, and a group with more links than that by its distinct ids.
+Memory of a task: the texts and distinct pairs of one chunk (``CHUNK`` bytes of
+text, or a single text); tokens are held for ``STEP`` bytes at a time, links
+are expanded ``SLICE`` at a time, and a group with more links than that by its
+distinct ids.
 
 Defined results: texts that are null, empty or not given back byte by byte by
 the tokens of both have no tokens (zeros, empty digest); bytes that are not
@@ -49,7 +50,8 @@ A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
 LANE = 400               # characters after which a lane may end
 CHUNK = 8 << 20          # bytes of text of a chunk
-SLICE = 1 << 21          # links expanded at a time
+STEP = 1 << 19           # bytes of text aligned at a time
+SLICE = 1 << 19          # links expanded at a time
 PAIR = 1 << 16           # B ids lie below it; a pair is A id * PAIR + B id
 _CODE = (1 << 33) - 1    # a pair's bits in a (document, pair) key
 
@@ -226,7 +228,7 @@ def _rows(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
 def _align(paths, at: int, kept: list[int]):
     def run(batches):
         aligner = once(Aligner, *paths)
-        for batch in byte_slices(batches, at, CHUNK):
+        for batch in byte_slices(batches, at, STEP):
             got = aligner.align(_texts(batch, at))
             text = np.repeat(np.arange(batch.num_rows), np.diff(got.g_at))
             yield pa.RecordBatch.from_arrays(
@@ -268,21 +270,29 @@ def _partial(paths, at: int, kept: list[int]):
         aligner = once(Aligner, *paths)
         part = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(byte_slices(batches, at, CHUNK)):
-            got = aligner.align(_texts(batch, at))
-            n = batch.num_rows
-            keys, times = text_pairs(got)
+            n, done = batch.num_rows, 0
+            keys, times, digests, sizes = [], [], [], []
+            for some in byte_slices([batch], at, STEP):
+                got = aligner.align(_texts(some, at))
+                k, t = text_pairs(got)
+                keys.append(k + (done << 33))
+                times.append(t)
+                digests += aligner.group_digests(got)
+                links = _starts(got.na * got.nb)[got.g_at]
+                sizes.append([np.diff(v) for v in (got.a_at, got.b_at, got.g_at, links)])
+                done += some.num_rows
+            keys, times = np.concatenate(keys), np.concatenate(times)
             pairs, place, docs = np.unique(keys & _CODE, return_inverse=True, return_counts=True)
             cuts = np.searchsorted(keys, np.arange(n + 1) << 33)
             row_at, row_times = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 row_at.append(_narrow(np.diff(place[s:e], prepend=0)))
                 row_times.append(_narrow(times[s:e]))
-            links = _starts(got.na * got.nb)[got.g_at]
             only_first = np.concatenate([[0], np.full(n, len(pairs))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in kept]
-                + [_long(np.diff(v)) for v in (got.a_at, got.b_at, got.g_at, links)]
-                + [pa.array(aligner.group_digests(got), pa.string()), _long(np.full(n, part + number)),
+                + [_long(np.concatenate(v)) for v in zip(*sizes)]
+                + [pa.array(digests, pa.string()), _long(np.full(n, part + number)),
                    _long(np.diff(cuts)), pa.array(row_at, pa.binary()), pa.array(row_times, pa.binary()),
                    pa.ListArray.from_arrays(pa.array(only_first.astype(np.int32)), pa.array(pairs, pa.int64())),
                    _rows(only_first, docs)],
