@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+import weakref
+from functools import wraps
 
 from pyspark.sql import SparkSession
 
@@ -63,23 +65,95 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "sevscope", _SESSION, *parts, uuid.uuid4().hex])
 
 
+#: The folder behind each staged frame, and the open scopes (inner last).
+_FOLDER_OF: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_SCOPES: list = []
+
+
 def stage(df, name: str):
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: the lineage is cut (a lost executor re-reads the files instead of
     recomputing the plan) and later tasks carry only a file scan. Used before
     iterative fits and for tables several jobs reuse. One pass, unlike an
-    eager ``checkpoint()`` of an unpersisted frame, which computes it twice."""
+    eager ``checkpoint()`` of an unpersisted frame, which computes it twice.
+    The innermost open ``Scope`` owns the table."""
     spark = df.sparkSession
     path = shared_path(spark, "stage", name)
+    if _SCOPES:
+        _SCOPES[-1].owned.append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    _FOLDER_OF[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables) -> None:
+    """Delete staged tables whose last reader has been written. ``tables`` are
+    frames that ``stage`` returned; others are left alone."""
+    for table in tables:
+        path = _FOLDER_OF.pop(table, None) if table is not None else None
+        if path is not None:
+            for scope in _SCOPES:
+                if path in scope.owned:
+                    scope.owned.remove(path)
+            _delete(table.sparkSession, path)
+
+
+class Scope:
+    """Owns the tables staged while it is open and deletes them when it closes,
+    but for those that its ``result`` still reads: these pass to the scope
+    around it (or stay until ``clear_staged``).
+
+        with Scope(spark) as own:
+            return own.result(query(spark, sf_dir))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.owned, self.kept = spark, [], []
+
+    def __enter__(self):
+        _SCOPES.append(self)
+        return self
+
+    def result(self, df):
+        """Keep what ``df`` reads, by the file names of its plan."""
+        folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        self.kept += [path for path in self.owned if path.rsplit("/", 1)[-1] in folders]
+        return df
+
+    def __exit__(self, *_):
+        _SCOPES.remove(self)
+        for path in self.owned:
+            if path not in self.kept:
+                _delete(self.spark, path)
+        if _SCOPES:
+            _SCOPES[-1].owned += self.kept
+
+
+def scoped(query):
+    """A query (spark, sf_dir) -> frame that leaves only the staged tables its
+    result reads."""
+    @wraps(query)
+    def run(spark, sf_dir):
+        with Scope(spark) as own:
+            return own.result(query(spark, sf_dir))
+    return run
+
 
+def staged_tables(spark: SparkSession) -> list[str]:
+    """Folders of this session's staged tables that exist now."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(
+        "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "sevscope", _SESSION, "stage", "*", "*"]))
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().toString() for f in found or [])
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete the tables that this session staged below the shared folder.
     For use between jobs, when no frame that reads them is needed any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(
-        "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "sevscope", _SESSION]))
-    place.getFileSystem(conf).delete(place, True)
+    _delete(spark, "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "sevscope", _SESSION]))
