@@ -187,13 +187,14 @@ def preset(name: str = "documented", **overrides) -> AuditConfig:
 class MLConfig:
     """Spark ML classifier settings (re-aimed transformer fine-tuning)."""
 
-    num_features: int = 1 << 18   # hashed term space; a wider one costs L-BFGS time, a narrower one merges words
+    num_features: int = 1 << 18   # hashed term space; a wider one costs time, a narrower one merges words
     min_doc_freq: int = 1
-    max_iter: int = 100            # upper limit; fits stop at Spark ML's tolerance
+    max_iter: int = 100            # upper limit; fits stop at ``tol``
+    tol: float = 1e-6              # relative gain of the objective at which a fit has converged
+    round_iter: int = 10           # iterations between two looks at the validation rows
+    patience: int = 3              # rounds without a better validation macro F1 before a fit stops
     reg_params: tuple = (0.0, 0.01, 0.1)
-    elastic_net: float = 0.0
-    parallelism: int = 3           # grid candidates fitted concurrently
     seed: int = SPLIT_SEED
     clusters: int = 4
     kmeans_starts: int = 10
-    kmeans_iter: int = 300         # upper limit; a start stops at Spark ML's tolerance
+    kmeans_iter: int = 300         # upper limit; a start stops when its centres stand

@@ -1,29 +1,34 @@
 """Ticket clusters (M1, M2): text or given vectors to a saved cluster model.
 
-A ``PipelineModel`` takes prepared tickets to a ``cluster`` column: either
-TF-IDF vectors of the whole text (Unicode words, hashed, L2-normalised) or the
-vectors of an ``embedding`` column, then k-means. It is fitted once per batch,
-saved with the signal model and applied to later batches and streams, so a new
-ticket gets a cluster without a new fit.
+A ``ClusterModel`` gives prepared tickets a ``cluster``: the nearest centre of
+the vector of an ``embedding`` column, or of a vector of the whole text. Text
+vectors are unit-length TF-IDF over hashed Unicode words (2^18 slots), reduced
+to ``DIM`` dense columns by a seeded random projection (``SIGNS`` columns a slot
+with random signs), so that k-means passes over short dense rows and a centre
+is a few hundred numbers. The model is fitted once per batch, saved with the
+signal model and applied to later batches and streams.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import json
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MLConfig
-from ..session import stage
+from ..session import release, stage
+from . import kmeans
+from .partials import SUMS, lists, partial_sums, summed
 
 #: Text between words: everything but letters, numbers and underscore.
 WORD_GAP = r"[^\p{L}\p{N}_]+"
-VECTOR, CLUSTER = "__vector", "__cluster"
+VECTOR = "__vector"
+DIM, SIGNS = 256, 4
 
 
 def text_stages(cfg: MLConfig, text: str = "full_text", vector: str = VECTOR):
@@ -36,46 +41,141 @@ def text_stages(cfg: MLConfig, text: str = "full_text", vector: str = VECTOR):
     ]
 
 
-def best_kmeans(vectors: DataFrame, cfg: MLConfig, column: str = VECTOR, prediction: str = CLUSTER):
-    """M2: k-means from several seeds, the lowest training cost wins (the first
-    of equals). ``vectors`` is a staged table that every start scans."""
-    from .ml import fit_concurrently
-
-    def fit_one(seed):
-        m = KMeans(k=cfg.clusters, seed=seed, maxIter=cfg.kmeans_iter, featuresCol=column,
-                   predictionCol=prediction).fit(vectors)
-        return m.summary.trainingCost, m
-
-    starts = [partial(fit_one, cfg.seed + i) for i in range(cfg.kmeans_starts)]
-    return min(fit_concurrently(vectors.sparkSession, starts, cfg.parallelism), key=lambda r: r[0])[1]
-
-
-def with_vector(df: DataFrame) -> DataFrame:
-    """The given vectors as an ML column where the tickets carry them."""
-    return df.withColumn(VECTOR, array_to_vector(F.col("embedding"))) if "embedding" in df.columns else df
-
-
-def fit(prepared: DataFrame, cfg: MLConfig | None = None) -> PipelineModel:
+def word_slots(text: Column, num_features: int) -> Column:
+    """Hashed slots of all words of a text, in order."""
+    words = F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(num_features)).cast("int"))
+
+
+def inverse_frequencies(slots: DataFrame, num_features: int, min_doc_freq: int) -> np.ndarray:
+    """log((rows + 1) / (rows with the slot + 1)) by slot, 0 below
+    ``min_doc_freq``, over a frame with one column of slots."""
+    n = num_features
+
+    def count(batches):
+        total, touched = np.zeros((n + 1, 1)), np.zeros(n + 1, dtype=bool)
+        touched[n] = True
+        for batch in batches:
+            flat, lens = lists(batch.column(0))
+            keys = np.unique(np.repeat(np.arange(len(lens)), lens) * n + flat) % n
+            total[:n, 0] += np.bincount(keys, minlength=n)
+            total[n, 0] += len(lens)
+            touched[keys] = True
+        yield partial_sums(total, touched)
+
+    held = summed(slots.mapInArrow(count, SUMS), n + 1, 1)[:, 0]
+    return np.where(held[:n] >= max(1, min_doc_freq), np.log((held[n] + 1) / (held[:n] + 1)), 0.0)
+
+
+def projection(num_features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every slot ``SIGNS`` columns and their entries, by the seed."""
+    rng = np.random.default_rng(seed)
+    return (rng.integers(DIM, size=(num_features, SIGNS)),
+            rng.choice([-1.0, 1.0], size=(num_features, SIGNS)) / np.sqrt(SIGNS))
+
+
+def project(flat: np.ndarray, lens: np.ndarray, weight: np.ndarray, table) -> np.ndarray:
+    """Projected unit-length TF-IDF rows of slot lists; a row without weighted
+    words is zero."""
+    n, where, entry = len(weight), *table
+    keys, times = np.unique(np.repeat(np.arange(len(lens)), lens) * n + flat, return_counts=True)
+    row, slot = keys // n, keys % n
+    value = times * weight[slot]
+    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(lens)))
+    value = value / np.where(norm > 0, norm, 1.0)[row]
+    out = np.zeros(len(lens) * DIM)
+    for s in range(SIGNS):
+        out += np.bincount(row * DIM + where[slot, s], weights=value * entry[slot, s], minlength=len(out))
+    return out.reshape(-1, DIM)
+
+
+_TABLES: dict[tuple[int, int], tuple] = {}
+
+
+def _table(num_features: int, seed: int):
+    if (num_features, seed) not in _TABLES:
+        _TABLES[num_features, seed] = projection(num_features, seed)
+    return _TABLES[num_features, seed]
+
+
+@dataclass
+class ClusterModel:
+    """Centres, and for texts the slots' weights and the projection's seed."""
+    centres: np.ndarray
+    costs: list                         # of all starts
+    weight: np.ndarray | None = None    # None: vectors are given
+    seed: int = 0
+
+    def cluster(self, words: Column | None = None) -> Column:
+        """The nearest centre's number; null without a vector. ``words`` are the
+        ``word_slots`` of the text where they are at hand."""
+        centres, weight, seed = self.centres, self.weight, self.seed
+        if weight is None:
+            @F.arrow_udf("int")
+            def given(vector: pa.Array) -> pa.Array:
+                x, right = kmeans.dense(vector, centres.shape[1])
+                return pa.array(kmeans.nearest(np.where(right[:, None], x, 0.0), centres)[0].astype(np.int32), mask=~right)
+            return given("embedding")
+
+        @F.arrow_udf("int")
+        def of_text(slots: pa.Array) -> pa.Array:
+            x = project(*lists(slots), weight, _table(len(weight), seed))
+            return pa.array(kmeans.nearest(x, centres)[0].astype(np.int32))
+        return of_text(word_slots(F.col("full_text"), len(weight)) if words is None else words)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        meta = json.dumps({"centres": self.centres.tolist(), "costs": self.costs, "seed": self.seed,
+                           "slots": None if self.weight is None else len(self.weight)})
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        if self.weight is not None:
+            at = np.flatnonzero(self.weight)
+            spark.createDataFrame(pa.table({"slot": pa.array(at, pa.int64()), "weight": pa.array(self.weight[at])})) \
+                 .coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ClusterModel":
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        slots, weight = meta.pop("slots"), None
+        if slots is not None:
+            rows = spark.read.parquet(f"{path}/weights").toPandas()
+            weight = np.zeros(slots)
+            weight[rows["slot"].to_numpy()] = rows["weight"].to_numpy()
+        return cls(np.array(meta["centres"]), meta["costs"], weight, meta["seed"])
+
+
+def fit(prepared: DataFrame, cfg: MLConfig | None = None) -> ClusterModel:
     """Cluster model of prepared tickets, from ``embedding`` where present
     (rows without one are left out of the fit), else from ``full_text``."""
     cfg = cfg or MLConfig()
     if "embedding" in prepared.columns:
-        vectors = stage(with_vector(prepared.where(F.col("embedding").isNotNull())).select(VECTOR), "vectors")
-        return PipelineModel(stages=[best_kmeans(vectors, cfg)])
-    stages = text_stages(cfg)
-    terms = PipelineModel(stages=stages[:2])       # transformers, no fit
-    tf = stage(terms.transform(prepared.select("full_text")).select("__tf"), "term_frequencies")
-    weights = Pipeline(stages=stages[2:]).fit(tf)
-    vectors = stage(weights.transform(tf).select(VECTOR), "vectors")
-    return PipelineModel(stages=[*terms.stages, *weights.stages, best_kmeans(vectors, cfg)])
-
-
-def assign(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+        vectors = stage(prepared.select("embedding").where(F.col("embedding").isNotNull()), "vectors")
+        length = vectors.select(F.max(F.size("embedding"))).first()[0]
+        starts = kmeans.fit(vectors, length or 0, cfg.clusters, cfg.kmeans_starts, cfg.kmeans_iter, cfg.seed)
+        release(vectors)
+        return ClusterModel(kmeans.best(starts).centres, [s.cost for s in starts])
+    slots = stage(prepared.select(word_slots(F.col("full_text"), cfg.num_features).alias("slots")), "word_slots")
+    model = fit_words(slots, cfg)
+    release(slots)
+    return model
+
+
+def fit_words(slots: DataFrame, cfg: MLConfig) -> ClusterModel:
+    """Cluster model of texts, from a staged table with one column of their
+    ``word_slots``."""
+    weight, seed = inverse_frequencies(slots, cfg.num_features, cfg.min_doc_freq), cfg.seed
+
+    def vectors_of(batches):
+        for batch in batches:
+            x = project(*lists(batch.column(0)), weight, _table(len(weight), seed))
+            ends = np.arange(len(x) + 1, dtype=np.int32) * DIM
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], names=[VECTOR])
+
+    vectors = stage(slots.mapInArrow(vectors_of, f"{VECTOR} array<double>"), "vectors")
+    starts = kmeans.fit(vectors, DIM, cfg.clusters, cfg.kmeans_starts, cfg.kmeans_iter, cfg.seed)
+    release(vectors)
+    return ClusterModel(kmeans.best(starts).centres, [s.cost for s in starts], weight, seed)
+
+
+def assign(model: ClusterModel, prepared: DataFrame) -> DataFrame:
     """``prepared`` with ``cluster``; NULL where a given vector is missing."""
-    columns = [c for c in prepared.columns if c != "cluster"]
-    if "embedding" not in prepared.columns:
-        return model.transform(prepared.select(*columns)).select(*columns, F.col(CLUSTER).cast("int").alias("cluster"))
-    known = prepared.select(*columns).where(F.col("embedding").isNotNull())
-    done = model.transform(with_vector(known)).select(*columns, F.col(CLUSTER).cast("int").alias("cluster"))
-    missing = prepared.select(*columns).where(F.col("embedding").isNull())
-    return done.unionByName(missing.withColumn("cluster", F.lit(None).cast("int")))
+    return prepared.withColumn("cluster", model.cluster())

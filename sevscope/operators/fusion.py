@@ -20,13 +20,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIXED_CUTS, AuditConfig, MLConfig
 from ..functions import severity as sev
-from ..session import stage
+from ..session import release, stage
 from . import clusters, prep, signals
 from .quantiles import exact_quantiles
 
@@ -57,7 +56,7 @@ class SignalModel:
     cluster_std: float
     cuts: tuple = FIXED_CUTS
     rank: DataFrame | None = field(default=None, repr=False)
-    clusterer: PipelineModel | None = field(default=None, repr=False)
+    clusterer: clusters.ClusterModel | None = field(default=None, repr=False)
 
     # ------------------------------------------------------------------ fit
     @classmethod
@@ -219,20 +218,20 @@ class SignalModel:
 
     def save(self, path: str) -> None:
         """Metadata as one JSON line, the rank table as Parquet, the cluster
-        model in Spark ML's form."""
+        model beside them."""
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(self.to_json(),)], "meta string") \
              .coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         if self.rank is not None:
             self.rank.write.mode("overwrite").parquet(f"{path}/rule_rank")
         if self.clusterer is not None:
-            self.clusterer.write().overwrite().save(f"{path}/clusters")
+            self.clusterer.save(spark, f"{path}/clusters")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SignalModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         cfg_d = meta.pop("cfg")
-        clusterer = PipelineModel.load(f"{path}/clusters") if meta.pop("has_clusterer") else None
+        clusterer = clusters.ClusterModel.load(spark, f"{path}/clusters") if meta.pop("has_clusterer") else None
         for k in ("weights", "crisis_terms", "low_terms"):
             cfg_d[k] = tuple(cfg_d[k])
         cfg = AuditConfig(**cfg_d)
@@ -267,16 +266,30 @@ def prepare_signals(df: DataFrame, cfg: AuditConfig) -> DataFrame:
     return prep.add_rule_terms(prep.prepare(df, cfg), cfg)
 
 
-def audit(df: DataFrame, cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None) -> Audit:
+def audit(df: DataFrame, cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None,
+          keep: dict | None = None) -> Audit:
     """Fit + transform on one batch (the reference's behaviour). The texts are
-    searched once; the narrow result is staged for the statistics' passes."""
+    searched once; the narrow result is staged for the statistics' passes.
+    ``keep`` names more columns to make from the prepared tickets in that one
+    pass and to keep beside the signals."""
     cfg = cfg or AuditConfig()
     prepared = prepare_signals(df, cfg)
+    kept = [c.alias(name) for name, c in (keep or {}).items()]
     clusterer = None
-    if "cluster" not in prepared.columns:
+    if "cluster" in prepared.columns:
+        narrow = stage(prepared.select(*NARROW, *kept), "signals")
+    elif "embedding" in prepared.columns:
         clusterer = clusters.fit(prepared, ml_cfg)
         prepared = clusters.assign(clusterer, prepared)
-    narrow = stage(prepared.select(*NARROW), "signals")
+        narrow = stage(prepared.select(*NARROW, *kept), "signals")
+    else:
+        ml_cfg = ml_cfg or MLConfig()
+        words = clusters.word_slots(F.col("full_text"), ml_cfg.num_features).alias("word_slots")
+        found = stage(prepared.select(*[c for c in NARROW if c != "cluster"], words, *kept), "signals_words")
+        clusterer = clusters.fit_words(found.select("word_slots"), ml_cfg)
+        narrow = stage(found.withColumn("cluster", clusterer.cluster(F.col("word_slots"))).drop("word_slots"), "signals")
+        release(found)
+        prepared = clusters.assign(clusterer, prepared)
     median = prep.hours_median(narrow, cfg)
     filled = prep.fill_hours(narrow, median)
     model = SignalModel.fit(filled, cfg, median)

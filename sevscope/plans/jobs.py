@@ -15,13 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig, MLConfig, preset
 from ..operators import dossier as dz
-from ..operators import fusion, ml, prep
+from ..operators import fusion, logistic, ml, prep
 from ..operators import reports as rp
 from ..session import stage
 from ..sources import sinks
@@ -44,29 +43,32 @@ class FitOutputs:
 
 def fit_job(spark: SparkSession, tickets: DataFrame, out: str,
             cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None,
-            style: str = "notebook") -> FitOutputs:
+            style: str | None = None) -> FitOutputs:
     cfg = cfg or preset("documented")
+    style = style or cfg.dossier_style
     out = out.rstrip("/")
-    a = fusion.audit(tickets, cfg, ml_cfg)
+    ml_cfg = ml_cfg or MLConfig()
+    a = fusion.audit(tickets, cfg, ml_cfg, keep={"text_slots": ml.text_slots(ml_cfg)})
     o = FitOutputs(labelled=f"{out}/labelled", dossiers=f"{out}/dossiers",
                    report=f"{out}/report", signal_model=f"{out}/signal_model",
                    classifier=f"{out}/classifier")
     sinks.write_labelled(a.with_text().drop("hours_parsed", "crisis_mask"), o.labelled)
     a.model.save(o.signal_model)
-    flat = dz.dossier_columns(a.labelled.where(F.col("mismatch_label") == 1), a.model.median_hours, style=style)
+    flat = dz.dossier_columns(a.labelled.where(F.col("mismatch_label") == 1), a.model.median_hours, style=style,
+                              crisis_terms=cfg.crisis_terms)
     sinks.write_dossiers(dz.dossier_json(flat, style), o.dossiers)
-    labelled = spark.read.parquet(o.labelled)
-    t = ml.train(ml.model_input(labelled, a.model.hours_min, a.model.hours_max), ml_cfg)
-    t.model.write().overwrite().save(o.classifier)
+    t = ml.train(ml.model_rows(a.labelled, a.model.hours_min, a.model.hours_max, ml_cfg), ml_cfg)
+    t.model.save(spark, o.classifier)
     sinks.write_report(rp.classification_report(t.score_split("test")), o.report)
     return o
 
 
-def score_tickets(model: fusion.SignalModel, classifier: PipelineModel, tickets: DataFrame) -> DataFrame:
+def score_tickets(model: fusion.SignalModel, classifier: logistic.TextClassifier, tickets: DataFrame) -> DataFrame:
     """Raw tickets with labels, prediction and confidence: columns are added,
     no row is dropped, repeated or joined."""
     labelled = model.transform(model.prepare(tickets))
-    return ml.score(classifier, ml.model_columns(labelled, model.hours_min, model.hours_max))
+    rows = ml.model_rows(labelled, model.hours_min, model.hours_max, MLConfig(num_features=classifier.num_features))
+    return ml.score(classifier, rows)
 
 
 def score_job(spark: SparkSession, tickets: DataFrame, models: FitOutputs, out: str,
@@ -74,11 +76,12 @@ def score_job(spark: SparkSession, tickets: DataFrame, models: FitOutputs, out:
     out = out.rstrip("/")
     model = fusion.SignalModel.load(spark, models.signal_model)
     style = style or model.cfg.dossier_style
-    scored = score_tickets(model, PipelineModel.load(models.classifier), tickets)
-    narrow = stage(scored.drop("full_text", "input_text", "ticket_subject", "ticket_description", "embedding"),
+    scored = score_tickets(model, logistic.TextClassifier.load(spark, models.classifier), tickets)
+    narrow = stage(scored.drop("full_text", "ticket_subject", "ticket_description", "embedding"),
                    "scored")
     paths = {"predictions": f"{out}/predictions", "dossiers": f"{out}/dossiers"}
     sinks.write_predictions(narrow, paths["predictions"])
-    flat = dz.dossier_columns(narrow.where(F.col("prediction") == 1), model.median_hours, style=style)
+    flat = dz.dossier_columns(narrow.where(F.col("prediction") == 1), model.median_hours, style=style,
+                              crisis_terms=model.cfg.crisis_terms)
     sinks.write_dossiers(dz.dossier_json(flat, style), paths["dossiers"])
     return paths

@@ -353,6 +353,25 @@ ORACLES["truncate_tokens"] = _MI + (
     f"CAST(least(len({_TOK}), 256) AS INTEGER) AS n_kept, "
     f"array_to_string({_TOK}[1:256], ' ') AS tokens_text FROM mi")
 
+
+
+def _lloyd_step(n: int) -> str:
+    """Assignment to centres ``c{n}`` and the next centres ``c{n + 1}``."""
+    return f""",
+a{n} AS (SELECT vec_id, e, arg_min(k, {{'d': list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'k': k}}) AS k
+        FROM v, c{n} GROUP BY vec_id, e),
+c{n + 1} AS (SELECT k, list(x ORDER BY i) AS m FROM (
+        SELECT k, i, avg(x) AS x FROM (SELECT k, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{n}) GROUP BY k, i) GROUP BY k)"""
+
+
+ORACLES["kmeans_steps"] = """WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e AS m FROM v QUALIFY k < 4)""" + "".join(
+    map(_lloyd_step, range(4))) + """
+SELECT r.vec_id, CAST(a3.k AS INTEGER) AS cluster,
+    round(list_sum(list_transform(list_zip(a3.e, c3.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance
+FROM embeddings r LEFT JOIN a3 ON a3.vec_id = r.vec_id LEFT JOIN c3 ON c3.k = a3.k"""
+
 # ------------------------------------------------------------ classification
 _REPORT_WITH = f"""WITH j AS (SELECT l.quality, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 ml AS (SELECT list_sort(list(n_chars)) AS l, count(n_chars) AS n FROM j),

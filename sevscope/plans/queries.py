@@ -5,18 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_TOKENS, preset
+from ..config import MAX_TOKENS, MLConfig, preset
 from ..functions import text as tx
 from ..operators import dossier as dz
-from ..operators import clusters, fusion, ml, prep
+from ..operators import clusters, fusion, kmeans, ml, prep
 from ..operators import reports as rp
 from ..operators.quantiles import exact_quantile, exact_quantiles
-from ..session import shared_path, stage
+from ..session import scoped, shared_path, stage
 from ..sources import sinks
 from ..sources.tickets import (TICKET_COLUMNS, read_table, spread, ticket_stream,
                                tickets, with_vectors)
@@ -26,7 +27,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    REGISTRY[fn.__name__] = fn
+    REGISTRY[fn.__name__] = scoped(fn)
     return fn
 
 
@@ -362,13 +363,15 @@ def model_input(spark, sf_dir):
 @query
 def stratified_split(spark, sf_dir):
     """Exact 72/8/20 stratified split without a global sort."""
-    return ml.split_input(_model_input(spark, sf_dir)).select("ticket_id", "label", "split")
+    a = _fit(spark, sf_dir)
+    return ml.split_rows(a.labelled, a.model.hours_min, a.model.hours_max)
 
 
 @query
 def class_weights(spark, sf_dir):
     """A20 + T2: class weights on the train split."""
-    sp = ml.split_input(_model_input(spark, sf_dir))
+    a = _fit(spark, sf_dir)
+    sp = ml.split_rows(a.labelled, a.model.hours_min, a.model.hours_max)
     return rp.class_weights(sp.where(F.col("split") == "train"), "label")
 
 
@@ -473,8 +476,32 @@ def kmeans_clusters(spark, sf_dir):
     return pred.select("ticket_id", "cluster", sev_expr.alias("cluster_severity"))
 
 
+@query
+def kmeans_steps(spark, sf_dir):
+    """M2, step by step: three Lloyd steps over all vectors from the four of
+    least id, then every vector's cluster and squared distance."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    firsts = rows.where("embedding IS NOT NULL").orderBy("vec_id").limit(4).toArrow()
+    first = np.array(firsts.column("embedding").to_pylist(), dtype=np.float64)
+    data = kmeans.blocks(rows.select("embedding"), first.shape[1])
+    done = kmeans.lloyd(data, [first], max_steps=3, tol=0.0)[0]
+    data.unpersist()
+    model = clusters.ClusterModel(done.centres, [done.cost])
+    centre = F.element_at(F.lit(done.centres.tolist()), F.col("cluster") + 1)
+    far = F.aggregate(F.zip_with("embedding", centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return clusters.assign(model, rows).select("vec_id", "cluster", F.round(far, 6).alias("distance"))
+
+
+def _model_rows(spark, sf_dir):
+    """Model rows of every ticket; the audit keeps the slots, so the texts are
+    read once."""
+    cfg = MLConfig()
+    a = fusion.audit(tickets(spark, sf_dir), preset("documented"), cfg, keep={"text_slots": ml.text_slots(cfg)})
+    return ml.model_rows(a.labelled, a.model.hours_min, a.model.hours_max, cfg)
+
+
 def _trained(spark, sf_dir):
-    return ml.train(_model_input(spark, sf_dir))
+    return ml.train(_model_rows(spark, sf_dir))
 
 
 @query
@@ -486,7 +513,8 @@ def train_classifier(spark, sf_dir):
 
 @query
 def best_candidate(spark, sf_dir):
-    """M6 + T6: regularisation grid, validation accuracy / macro F1, best kept."""
+    """M6 + T6: candidates by regularisation and round, validation accuracy and
+    macro F1, best kept."""
     return _trained(spark, sf_dir).grid
 
 
@@ -497,9 +525,8 @@ def score_classifier(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    a = _fit(spark, sf_dir)
-    rows = ml.model_columns(a.with_text(), a.model.hours_min, a.model.hours_max)
-    return ml.score(ml.train(ml.model_input(a.with_text(), a.model.hours_min, a.model.hours_max)).model, rows)
+    rows = _model_rows(spark, sf_dir)
+    return ml.score(ml.train(rows).model, rows)
 
 
 @query

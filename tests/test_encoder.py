@@ -3,7 +3,6 @@
 import tempfile
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sevscope.config import MLConfig
@@ -31,7 +30,7 @@ def test_encoder_udf_and_kmeans(spark):
     got = clusters.assign(model, enc).collect()
     assert len(got) == 200 and {r["cluster"] for r in got} == {0, 1, 2, 3, None}
     # every ticket is in the cluster of its nearest centre
-    centres = np.array(model.stages[-1].clusterCenters())
+    centres = model.centres
     for r in got:
         if r["embedding"] is not None:
             assert r["cluster"] == int(((centres - np.array(r["embedding"])) ** 2).sum(axis=1).argmin())
@@ -45,8 +44,8 @@ def test_clusters_of_words_in_any_script(spark):
     assert sorted({r["n_tokens"] for r in vectors}) == [2, 3]
     model = clusters.fit(df, MLConfig(num_features=1 << 12))
     path = tempfile.mkdtemp() + "/m"
-    model.save(path)
-    got = clusters.assign(PipelineModel.load(path), df).collect()
+    model.save(spark, path)
+    got = clusters.assign(clusters.ClusterModel.load(spark, path), df).collect()
     by_text = {}
     for r in got:
         by_text.setdefault(r["full_text"], set()).add(r["cluster"])

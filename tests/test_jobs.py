@@ -49,8 +49,8 @@ def test_scoring_keeps_text_null_and_repeated_ids(spark, small_dir):
     raw = tickets(spark, small_dir)
     small = MLConfig(num_features=1 << 10, reg_params=(0.01,), max_iter=10)
     a = fusion.audit(raw, preset("documented"), small)
-    trained = ml.train(ml.model_input(a.with_text(), a.model.hours_min, a.model.hours_max), small)
-    named = raw.limit(200).withColumn("ticket_id", F.expr(
+    trained = ml.train(ml.model_rows(a.with_text(), a.model.hours_min, a.model.hours_max, small), small)
+    named = raw.orderBy("ticket_id").limit(200).withColumn("ticket_id", F.expr(
         "CASE WHEN ticket_id % 7 = 0 THEN NULL WHEN ticket_id % 2 = 0 THEN 'TKT-1' ELSE 'TKT-' || ticket_id END"))
     scored = jobs.score_tickets(a.model, trained.model, named)
     path = sinks.write_predictions(scored, os.path.join(tempfile.mkdtemp(), "p"))
