@@ -56,6 +56,7 @@ REQUIRED_THRESHOLDS = (
     ("macro_f1", 0.82),
     ("recall_consistent", 0.78),
     ("recall_mismatch", 0.78),
+    ("adversarial_robustness", 0.7),
 )
 
 # Split fractions: 20 % test, then 10 % of the rest for validation.

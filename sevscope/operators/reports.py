@@ -297,8 +297,9 @@ def selection_metrics(df: DataFrame, label: str = "label", pred: str = "predicti
                    F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("f1_macro"))
 
 
-def threshold_check(report: DataFrame) -> DataFrame:
-    """Required values against the report, pass/fail per metric."""
+def threshold_check(report: DataFrame, robust: DataFrame | None = None) -> DataFrame:
+    """Required values against the report and the robustness table
+    (without one its metric is undefined), pass/fail per metric."""
     spark = report.sparkSession
     metrics = report.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("metric"),
@@ -310,6 +311,9 @@ def threshold_check(report: DataFrame) -> DataFrame:
         F.struct(F.lit("recall_mismatch").alias("metric"),
                  F.when(F.col("class") == CLASS_NAMES[1], F.col("recall")).alias("value")),
     )).alias("m")).select("m.*").where(F.col("value").isNotNull())
+    if robust is not None:
+        metrics = metrics.unionByName(robust.where("attack = 'all'").select(
+            F.lit("adversarial_robustness").alias("metric"), F.col("share").alias("value")))
     req = spark.createDataFrame(list(REQUIRED_THRESHOLDS), "metric string, required double")
     return (req.join(metrics, "metric", "left")
             .select("metric", "required", F.round("value", 9).alias("value"),

@@ -1,8 +1,9 @@
 """Batch jobs: fit (audit + classifier) and score, file in -> files out.
 
 ``fit_job``   tickets (CSV or Parquet) -> labelled Parquet (S3), dossiers as
-              JSON lines (S5), the test report as JSON (S6), the frozen
-              signal model with its cluster model and the classifier (S7).
+              JSON lines (S5), the test report as JSON (S6), and a committed
+              version of the frozen signal model with its cluster model and
+              the classifier (S7, ``bundle``).
 ``score_job`` tickets + saved models -> predictions CSV (S4) and dossiers of
               predicted mismatches (S5), all by frozen statistics.
 Tickets need no ``cluster`` column: the fit makes a cluster model from their
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import bundle
 from ..config import AuditConfig, MLConfig, preset
 from ..operators import dossier as dz
 from ..operators import fusion, logistic, ml, prep
@@ -37,8 +39,8 @@ class FitOutputs:
     labelled: str
     dossiers: str
     report: str
-    signal_model: str
-    classifier: str
+    models: str
+    version: str
 
 
 def fit_job(spark: SparkSession, tickets: DataFrame, out: str,
@@ -50,15 +52,13 @@ def fit_job(spark: SparkSession, tickets: DataFrame, out: str,
     ml_cfg = ml_cfg or MLConfig()
     a = fusion.audit(tickets, cfg, ml_cfg, keep={"text_slots": ml.text_slots(ml_cfg)})
     o = FitOutputs(labelled=f"{out}/labelled", dossiers=f"{out}/dossiers",
-                   report=f"{out}/report", signal_model=f"{out}/signal_model",
-                   classifier=f"{out}/classifier")
+                   report=f"{out}/report", models=f"{out}/models", version="")
     sinks.write_labelled(a.with_text().drop("hours_parsed", "crisis_mask"), o.labelled)
-    a.model.save(o.signal_model)
     flat = dz.dossier_columns(a.labelled.where(F.col("mismatch_label") == 1), a.model.median_hours, style=style,
                               crisis_terms=cfg.crisis_terms)
     sinks.write_dossiers(dz.dossier_json(flat, style), o.dossiers)
     t = ml.train(ml.model_rows(a.labelled, a.model.hours_min, a.model.hours_max, ml_cfg), ml_cfg)
-    t.model.save(spark, o.classifier)
+    o.version = bundle.save(spark, o.models, a.model, t.model)
     sinks.write_report(rp.classification_report(t.score_split("test")), o.report)
     return o
 
@@ -74,9 +74,10 @@ def score_tickets(model: fusion.SignalModel, classifier: logistic.TextClassifier
 def score_job(spark: SparkSession, tickets: DataFrame, models: FitOutputs, out: str,
               style: str | None = None) -> dict:
     out = out.rstrip("/")
-    model = fusion.SignalModel.load(spark, models.signal_model)
+    saved = bundle.load(spark, models.models, models.version or None)
+    model = saved.signal_model
     style = style or model.cfg.dossier_style
-    scored = score_tickets(model, logistic.TextClassifier.load(spark, models.classifier), tickets)
+    scored = score_tickets(model, saved.classifier, tickets)
     narrow = stage(scored.drop("full_text", "ticket_subject", "ticket_description", "embedding"),
                    "scored")
     paths = {"predictions": f"{out}/predictions", "dossiers": f"{out}/dossiers"}

@@ -399,15 +399,57 @@ rep AS (
                    coalesce((r0 * s0 + r1 * s1) / nullif(tot, 0), 0),
                    coalesce((f0 * s0 + f1 * s1) / nullif(tot, 0), 0), CAST(tot AS BIGINT) FROM m2)
 """
+
+
+def _attacked_sql() -> str:
+    """tickets -> paired -> robust: the fixed rules' prediction of each ticket
+    before and after every attack."""
+    w = [dbl(x) for x in preset("documented").weights]
+    words = "|".join(sorted(CRISIS_TERMS, key=lambda t: (-len(t), t)))
+    texts = {"before": ("lower(s)", "lower(t)"),
+             "crisis_words_out": tuple(f"regexp_replace(lower({c}), '{words}', '', 'g')" for c in "st"),
+             "low_words_in": ("lower(s)", f"coalesce(lower(t), '') || '. {', '.join(LOW_TERMS)}'"),
+             "sentences_reversed": tuple(
+                 f"array_to_string(list_reverse(string_split(regexp_replace(lower({c}), '([.!?])[ \\t\\n\\r]+', "
+                 f"'\\1' || chr(1), 'g'), chr(1))), ' ')" for c in "st")}
+    joined = ", ".join(f"coalesce({a}, '') || ' ' || coalesce({b}, '') AS {n}" for n, (a, b) in texts.items())
+    tenths = {n: f"(10 * {hits_sql(n, CRISIS_TERMS)} - 5 * {hits_sql(n, LOW_TERMS)} - 3 * {negations_sql(n)})" for n in texts}
+    raw = ", ".join(f"{t} AS {n}" for n, t in tenths.items())
+    score = {n: (f"({w[0]} * {dbl(1.5)} + {w[1]} * (CAST(CASE WHEN {n} >= 20 THEN 3 WHEN {n} >= 10 THEN 2 "
+                 f"WHEN {n} >= 0 THEN 1 ELSE 0 END AS DOUBLE) - {dbl(1.5)}) + {w[2]} * ({dbl(0)} - {dbl(1.5)}))") for n in texts}
+    code = {n: (f"(CASE WHEN NOT known THEN 3 WHEN {s} < {dbl(-0.5)} THEN 0 WHEN {s} < {dbl(0.5)} THEN 1 "
+                f"WHEN {s} < {dbl(1.5)} THEN 2 ELSE 3 END)") for n, s in score.items()}
+    guess = ", ".join(f"coalesce(abs({c} - p) >= 2, false) AS {n}" for n, c in code.items())
+    names = list(texts)[1:]
+    every = " AND ".join(f"{n} = before" for n in names)
+    stable = ", ".join(f"count(*) FILTER ({cond}) AS {n}_stable" for n, cond in
+                       [*[(n, f"{n} = before") for n in names], ("all", every)])
+    shares = " UNION ALL ".join(f"SELECT '{n}' AS attack, tickets, {n}_stable AS stable FROM counted"
+                                for n in [*names, "all"])
+    return prep_ctes(preset("documented")).lstrip() + f""",
+raw_texts AS (SELECT r.ticket_id, r.ticket_subject AS s, r.ticket_description AS t, f.priority_numeric AS p,
+        f.hours_parsed IS NOT NULL AS known FROM tickets r JOIN terms f ON f.ticket_id = r.ticket_id),
+attacked AS MATERIALIZED (SELECT p, known, {joined} FROM raw_texts),
+scored AS (SELECT p, known, {raw} FROM attacked),
+guessed AS (SELECT {guess} FROM scored),
+counted AS MATERIALIZED (SELECT count(*) AS tickets, {stable} FROM guessed),
+robust AS (SELECT attack, tickets, stable, round(coalesce(CAST(stable AS DOUBLE) / nullif(tickets, 0), 0), 9) AS share
+        FROM ({shares}))"""
+
+
+ORACLES["robustness"] = f"WITH {_attacked_sql()} SELECT * FROM robust"
 ORACLES["classification_report"] = _REPORT_WITH + "SELECT * FROM rep"
 ORACLES["threshold_check"] = _REPORT_WITH + f""",
+{_attacked_sql()},
 req AS (SELECT * FROM (VALUES ('accuracy', {dbl(0.83)}), ('macro_f1', {dbl(0.82)}),
-                              ('recall_consistent', {dbl(0.78)}), ('recall_mismatch', {dbl(0.78)}))
+                              ('recall_consistent', {dbl(0.78)}), ('recall_mismatch', {dbl(0.78)}),
+                              ('adversarial_robustness', {dbl(0.7)}))
         AS t(metric, required)),
 val AS (SELECT 'accuracy' AS metric, f1 AS value FROM rep WHERE class = 'accuracy'
         UNION ALL SELECT 'macro_f1', f1 FROM rep WHERE class = 'macro avg'
         UNION ALL SELECT 'recall_consistent', recall FROM rep WHERE class = 'Consistent'
-        UNION ALL SELECT 'recall_mismatch', recall FROM rep WHERE class = 'Mismatch')
+        UNION ALL SELECT 'recall_mismatch', recall FROM rep WHERE class = 'Mismatch'
+        UNION ALL SELECT 'adversarial_robustness', share FROM robust WHERE attack = 'all')
 SELECT req.metric, req.required, round(val.value, 9) AS value,
        coalesce(val.value >= req.required, false) AS passed
 FROM req LEFT JOIN val ON req.metric = val.metric"""
@@ -430,6 +472,12 @@ SELECT ticket_id, rule_score, cluster_severity, inferred_severity_score,
 
 ORACLES["score_frozen"] = ORACLES["fuse_documented"]
 
+for _name in ("stream_json", "stream_csv"):
+    ORACLES[_name] = ORACLES["fuse_documented"]
+ORACLES["stream_quarantine"] = (
+    "SELECT 'BROKEN,' || o_orderkey AS record, 'csv' AS format FROM orders WHERE o_orderkey % 100 = 0 "
+    "UNION ALL SELECT '{\"Ticket ID\": ' || o_orderkey || ', \"BROKEN', 'json' FROM orders WHERE o_orderkey % 100 = 0")
+
 _NAMED = ("CASE WHEN ticket_id % 41 = 0 THEN NULL ELSE 'TKT-' || "
           "(CASE WHEN ticket_id % 10 = 0 THEN ticket_id - ticket_id % 100 ELSE ticket_id END) END")
 ORACLES["predictions_by_rule"] = _with(

@@ -15,6 +15,7 @@ from ..config import MAX_TOKENS, MLConfig, preset
 from ..functions import text as tx
 from ..operators import dossier as dz
 from ..operators import clusters, fusion, kmeans, ml, prep
+from ..operators import robustness as robust
 from ..operators import reports as rp
 from ..operators.quantiles import exact_quantile, exact_quantiles
 from ..session import scoped, shared_path, stage
@@ -416,8 +417,21 @@ def classification_report(spark, sf_dir):
 
 @query
 def threshold_check(spark, sf_dir):
-    """Published thresholds against the report."""
-    return rp.threshold_check(rp.classification_report(_doc_quality(spark, sf_dir)))
+    """Published thresholds against the report and the robustness of the
+    fixed rules."""
+    return rp.threshold_check(rp.classification_report(_doc_quality(spark, sf_dir)), _robustness(spark, sf_dir))
+
+
+def _robustness(spark, sf_dir):
+    cfg = preset("documented")
+    return robust.check(tickets(spark, sf_dir), lambda t: stream.predict_fixed(t, cfg), cfg)
+
+
+@query
+def robustness(spark, sf_dir):
+    """Predictions of the fixed rules before and after each attack on a
+    ticket's wording, over every ticket."""
+    return _robustness(spark, sf_dir)
 
 
 # ------------------------------------------------------------------- Spark ML
@@ -577,3 +591,55 @@ def score_frozen(spark, sf_dir):
                                 lambda t: stream.score_frozen(t, model), _FUSED, "score_frozen")
     return out.select(*[_r(c) if c in ("rule_score_norm", "resolution_severity") else c
                         for c in _FUSED])
+
+
+# -------------------------------------------------------------- raw streams
+_RAW_NAMES = {"ticket_id": "Ticket ID", "ticket_subject": " Ticket Subject", "ticket_priority": "Priority_Level",
+              "ticket_type": "Issue Category", "resolution_time_hours": "Resolution Time"}
+
+
+def _raw_files(spark, sf_dir, fmt):
+    """The tickets as raw files with the public header names, and files of
+    broken records, one for every 100th order."""
+    path = shared_path(spark, "raw", fmt)
+    t = tickets(spark, sf_dir).withColumnsRenamed(_RAW_NAMES)
+    broken = read_table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select("o_orderkey")
+    if fmt == "csv":
+        # a line break inside a field would end a record, so it is written as a blank
+        flat = [F.regexp_replace(c, "[\\r\\n]", " ").alias(c) if kind == "string" else F.col(c) for c, kind in t.dtypes]
+        t.select(*flat).write.option("header", True).option("escape", '"').csv(path)
+        broken.select(F.concat(F.lit("BROKEN,"), F.col("o_orderkey").cast("string")).alias("line")) \
+            .write.mode("append").option("header", True).option("sep", "\t").csv(path)
+    else:
+        t.write.option("ignoreNullFields", False).json(path)
+        broken.select(F.concat(F.lit('{"Ticket ID": '), F.col("o_orderkey").cast("string"), F.lit(', "BROKEN'))
+                      ).coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _raw_stream(spark, sf_dir, fmt):
+    model = _fit(spark, sf_dir).model
+    scored, quarantine = stream.stream_raw(
+        spark, _raw_files(spark, sf_dir, fmt), fmt, lambda t: stream.score_frozen(t, model), _FUSED, f"raw_{fmt}")
+    shown = scored.select(*[F.round(F.col(c).cast("double"), 9).alias(c) if c in ("rule_score_norm", "resolution_severity")
+                            else F.col(c).cast("long").alias(c) if c == "ticket_id" else c for c in _FUSED])
+    return shown, quarantine
+
+
+@query
+def stream_json(spark, sf_dir):
+    """S2 + X1: raw JSON tickets among broken lines, scored by the frozen model."""
+    return _raw_stream(spark, sf_dir, "json")[0]
+
+
+@query
+def stream_csv(spark, sf_dir):
+    """S2 + X1: the same from raw CSV files with the public header names."""
+    return _raw_stream(spark, sf_dir, "csv")[0]
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """The broken records of both raw streams, as they stood."""
+    csv, js = (_raw_stream(spark, sf_dir, fmt)[1].select("record", F.lit(fmt).alias("format")) for fmt in ("csv", "json"))
+    return csv.unionByName(js)

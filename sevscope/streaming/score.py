@@ -27,6 +27,7 @@ from ..config import SINGLE_CENTRE, AuditConfig
 from ..functions import severity as sev
 from ..operators import fusion
 from ..session import shared_path
+from ..sources import raw as sources
 
 FIXED_COLUMNS = ("ticket_id", "rule_score", "cluster_severity", "inferred_severity_score",
                  "inferred_severity", "severity_delta")
@@ -55,6 +56,12 @@ def score_fixed(tickets: DataFrame, cfg: AuditConfig | None = None) -> DataFrame
     })
 
 
+def predict_fixed(tickets: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
+    """The fixed rules as a mismatch predictor: severities two or more apart."""
+    out = score_fixed(tickets, cfg)
+    return out.withColumn("prediction", F.coalesce(F.abs("severity_delta") >= 2, F.lit(False)).cast("int"))
+
+
 def score_frozen(tickets: DataFrame, model: fusion.SignalModel) -> DataFrame:
     """X1 frozen mode over raw tickets: rule terms, the fitted median and, where
     the tickets bring none, the cluster model's cluster; then the projection."""
@@ -81,6 +88,20 @@ def run_available(stream: DataFrame, name: str, spark: SparkSession | None = Non
     return spark.read.parquet(out)
 
 
+def stream_raw(spark: SparkSession, path: str, fmt: str, scorer: Callable[[DataFrame], DataFrame], columns,
+               name: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw CSV or JSON ticket files as a stream: (scored tickets, quarantine).
+
+    Two exactly-once file sinks with a checkpoint each over the same files:
+    readable records are normalised and scored, unreadable ones (broken JSON,
+    too few or too many CSV fields) are kept as they stand, with their file."""
+    good, bad = sources.raw_ticket_stream(spark, path, fmt)
+    out = out or shared_path(spark, "streams", name)
+    scored = run_available(scorer(good).select(*columns), name, spark, out=f"{out}/scored")
+    quarantine = run_available(bad, f"{name}_quarantine", spark, out=f"{out}/quarantine")
+    return scored, quarantine
+
+
 def stream_tickets(spark: SparkSession, source: DataFrame,
                    scorer: Callable[[DataFrame], DataFrame], columns, name: str) -> DataFrame:
     return run_available(scorer(source).select(*columns), name, spark)
