@@ -47,7 +47,8 @@ def fit_job(spark: SparkSession, tickets: DataFrame, out: str,
             cfg: AuditConfig | None = None, ml_cfg: MLConfig | None = None,
             style: str | None = None) -> FitOutputs:
     cfg = cfg or preset("documented")
-    style = style or cfg.dossier_style
+    # the records of the fit have no classifier's confidence, which "predict" shows
+    style = style or ("notebook" if cfg.dossier_style == "predict" else cfg.dossier_style)
     out = out.rstrip("/")
     ml_cfg = ml_cfg or MLConfig()
     a = fusion.audit(tickets, cfg, ml_cfg, keep={"text_slots": ml.text_slots(ml_cfg)})
