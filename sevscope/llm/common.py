@@ -25,6 +25,14 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def keeping_columns(docs: DataFrame, made: tuple[str, ...], apply) -> DataFrame:
+    """``apply(docs)`` with the columns of ``docs``: columns that carry the name
+    of one of ``apply``'s own results are hidden from it and keep their values."""
+    hidden = {c: f"__own_{c}" for c in docs.columns if c in made}
+    out = apply(docs.withColumnsRenamed(hidden))
+    return out.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
+
+
 def row_number_of_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text modulo ``folds``; a null key falls in the fold
     of the empty text."""
@@ -59,11 +67,35 @@ def few(df: DataFrame, small: bool) -> DataFrame:
     return df.coalesce(FEW) if small else df
 
 
+def _roots(batches):
+    """(node, root) of a counted small edge table, in one task."""
+    import pyarrow as pa
+
+    place: dict = {}
+    edges, kind = [], None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            edges.append((place.setdefault(u, len(place)), place.setdefault(v, len(place))))
+    nodes = list(place)
+    forest = Forest(len(nodes))
+    for a, b in edges:
+        forest.union(a, b)
+    least: dict[int, object] = {}
+    found = [forest.find(k) for k in range(len(nodes))]
+    for node, root in zip(nodes, found):
+        least[root] = min(node, least.get(root, node))
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([least[r] for r in found], kind)],
+                                         names=["node", "root"])
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an undirected edge table, root being the
     least node reachable. Alternates large-star and small-star steps; each
     round's edges are a table in the shared folder, so lineage stays short and
-    nothing but two numbers a round reaches the driver. Null ends are ignored.
+    nothing but two numbers a round reaches the driver. A counted small table
+    (``BROADCAST_ROWS``) is joined up in one task. Null ends are ignored.
     """
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct())
@@ -72,6 +104,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     small = before[0] <= BROADCAST_ROWS
+    if small:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInArrow(_roots, f"node {kind}, root {kind}")
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "cc_min", small).where("v > u").select(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sevscope.llm.common import byte_slices, sha256_hex, text_bytes
+from sevscope.llm.common import byte_slices, keeping_columns, sha256_hex, text_bytes
 from sevscope.llm.shingles import _FOLD, window_codes, word_spans
 
 N = 10
@@ -203,12 +203,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """``docs`` (same columns) without contamination: mode ``documents`` drops
     every document with a hit, mode ``spans`` cuts the hit runs out of the
     text and keeps all rows (a null text then stays null)."""
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"unknown mode {mode!r}")
+    made = ("n_words", "n_hit", "hit_runs", "hit_items")
+    return keeping_columns(docs, made, lambda d: _cleaned(d, benchmark, mode, text, options))
+
+
+def _cleaned(docs: DataFrame, benchmark: DataFrame, mode: str, text: str, options: dict) -> DataFrame:
     found = find_contamination(docs, benchmark, text=text, **options)
     names = docs.columns
     if mode == "documents":
-        return found.where("n_hit = 0").select(*[c for c in names if c in found.columns])
-    if mode != "spans":
-        raise ValueError(f"unknown mode {mode!r}")
+        return found.where("n_hit = 0")
     ins = found.select(*names, text_bytes(text).alias("__dc_text"), "hit_runs")
     schema = T.StructType([*ins.schema.fields[:-2], T.StructField("__dc_cut", T.StringType())])
     cut = ins.mapInArrow(_cut, schema)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sevscope.llm.common import broadcast_if_small
+from sevscope.llm.common import broadcast_if_small, keeping_columns
 from sevscope.session import stage
 
 RATIO = 0.1
@@ -80,6 +80,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
                        n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
+def drop_boilerplate(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (same columns, also where they are named like results) without
+    the boilerplate lines of their hosts; every row stays."""
+    return keeping_columns(docs, ("n_lines", "n_dropped"), lambda d: line_dedup(d, **options))
+
+
 ORACLE = f"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sevscope.llm.common import byte_slices, sha256_hex, text_bytes
+from sevscope.llm.common import byte_slices, keeping_columns, sha256_hex, text_bytes
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "key")
@@ -159,6 +159,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
     """``docs`` (same columns) with every span replaced by its kind's mark;
     of overlapping spans the first listed is replaced."""
+    return keeping_columns(docs, ("pii",), lambda d: _redacted(d, text, mark))
+
+
+def _redacted(docs: DataFrame, text: str, mark: str) -> DataFrame:
     found = find_pii(docs, text)
     state = F.aggregate(
         "pii", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),

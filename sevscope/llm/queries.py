@@ -7,6 +7,7 @@ import public_tokenizers
 from sevscope.llm import (align, bpe, chat, decontaminate, licenses, line_dedup, lm, ngram_join, pii, repair,
                           rp_forest, token_counts, toxicity)
 from sevscope.llm.common import table
+from sevscope.session import scoped
 
 REGISTRY = {}
 ORACLES = {}
@@ -14,7 +15,7 @@ ORACLES = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        REGISTRY[name] = f
+        REGISTRY[name] = scoped(f)
         if sql is not None:
             ORACLES[name] = sql
         return f

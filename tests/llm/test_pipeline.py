@@ -64,3 +64,34 @@ def test_stages_on_an_empty_table(spark, tables):
     docs = spark.createDataFrame([], TABLE)
     for _, apply in corpus_pipeline.STAGES:
         assert apply(spark, docs, place).collect() == []
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_a_stage_keeps_columns_named_like_results(spark, tables, stage):
+    place, texts, _ = tables
+    names = ["n_lines", "n_dropped", "n_words", "n_hit", "hit_runs", "hit_items", "pii", "score", "predicted", "held_out",
+             "passages", "n_shingles", "component_id", "code", "token", "line", "word", "site", "part", "n"]
+    rows = [(k, texts[k], "en", None if k % 3 else "s", None, *range(k, k + len(names))) for k in sorted(texts)[:60:3]]
+    rows += [rows[0], (None, None, None, None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, TABLE + "".join(f", {n} long" for n in names))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, place)
+    assert out.columns == docs.columns
+    kept = {r[0]: tuple(r[5:]) for r in out.collect()}
+    assert kept and all(kept[r[0]] == tuple(r[5:]) for r in rows if r[0] in kept)
+    assert None in kept or not stage      # the first stage judges any text by its score
+
+
+def test_redaction_and_span_cuts_keep_columns_named_like_results(spark):
+    from sevscope.llm import pii
+    docs = spark.createDataFrame([(1, "mail a@b.org now", 7, 8)], "doc_id long, text string, pii long, n_words long")
+    assert tuple(pii.redact(docs).first())[2:] == (7, 8)
+    bench = spark.createDataFrame([(1, "mail a")], "item_id long, text string")
+    assert tuple(decontaminate.decontaminate(docs, bench, mode="spans").first()) [2:] == (7, 8)
+
+
+def test_components_over_exchanges_equal_one_task(spark, monkeypatch):
+    from sevscope.llm import common
+    edges = spark.createDataFrame([(k, k * 7 % 50) for k in range(60)] + [(3, 3), (None, 1)], "a long, b long")
+    one = sorted(map(tuple, common.connected_components(edges, "a", "b").collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, common.connected_components(edges, "a", "b").collect())) == one
