@@ -26,23 +26,33 @@ from sevscope.session import stage
 
 
 def drop_toxic(spark, docs, sf_dir):
+    """Columns of ``docs``; null and empty texts stay, repeated rows go or stay
+    together; without labels nothing is known to be toxic."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate_lines(spark, docs, sf_dir):
-    done = line_dedup.line_dedup(docs).drop("n_lines", "n_dropped")
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Columns of ``docs``; every row stays, null texts stay null, repeated rows
+    lose the same lines, and ``n_chars`` (where there is one) follows the text."""
+    done = line_dedup.drop_boilerplate(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
+    """Columns of ``docs``; of tied ids the smallest stays, with all its rows;
+    rows without an id or without words stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
+    """Columns of ``docs``; null and empty texts stay; an empty benchmark drops
+    nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
 def encode(spark, docs, sf_dir):
+    """Columns of ``docs`` but for the text, with token counts and digests
+    (columns of these names are replaced); null texts count as empty."""
     return bpe.digest_texts(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
 
