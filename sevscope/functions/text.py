@@ -82,22 +82,40 @@ def rule_score(tenths: Column) -> Column:
     return tenths / 10.0
 
 
-def term_mask(lower_text: Column, terms=CRISIS_TERMS) -> Column:
-    """The terms found, as bits of one long (bit k: the k-th term), so that
-    later steps need neither the text nor another search."""
-    if len(terms) > 62:
-        raise ValueError("a lexicon of more than 62 terms does not fit the mask")
-    acc = None
+#: Terms whose bits share one long.
+MASK_BITS = 62
+
+
+def _mask_of(lower_text: Column, terms) -> Column:
+    acc = F.lit(0).cast("long")
     for k, t in enumerate(terms):
-        bit = F.when(lower_text.contains(t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        acc = bit if acc is None else acc + bit
-    return F.lit(0).cast("long") if acc is None else acc
+        acc = acc + F.when(lower_text.contains(t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    return acc
+
+
+def term_mask(lower_text: Column, terms=CRISIS_TERMS) -> Column:
+    """The terms found, as bits (bit k: the k-th term), so that later steps need
+    neither the text nor another search: one long, or an array of longs for a
+    lexicon of more than ``MASK_BITS`` terms."""
+    parts = [_mask_of(lower_text, terms[k:k + MASK_BITS]) for k in range(0, max(1, len(terms)), MASK_BITS)]
+    return parts[0] if len(parts) == 1 else F.array(*parts)
+
+
+def mask_hits(mask: Column, terms=CRISIS_TERMS) -> Column:
+    """F2 from the mask: how many terms were found."""
+    if len(terms) <= MASK_BITS:
+        return F.bit_count(mask)
+    return F.aggregate(mask, F.lit(0), lambda a, m: a + F.bit_count(m))
 
 
 def terms_of_mask(mask: Column, terms=CRISIS_TERMS) -> Column:
     """F6 from the mask: terms found, in lexicon order (array<string>)."""
+    def part(k):
+        return mask if len(terms) <= MASK_BITS else mask[k // MASK_BITS]
+
     return F.array_compact(F.array(*[
-        F.when(mask.bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(t)) for k, t in enumerate(terms)]))
+        F.when(part(k).bitwiseAND(F.lit(1 << (k % MASK_BITS)).cast("long")) != 0, F.lit(t))
+        for k, t in enumerate(terms)]))
 
 
 def matched_crisis_terms(lower_text: Column, terms=CRISIS_TERMS) -> Column:

@@ -104,7 +104,7 @@ def add_rule_terms(df: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
                 "crisis_mask": tx.term_mask(low, cfg.crisis_terms),
                 "low_hits": tx.low_hits(low, cfg.low_terms),
                 "negations": tx.negations(low)})
-              .withColumn("crisis_hits", F.bit_count("crisis_mask"))
+              .withColumn("crisis_hits", tx.mask_hits(F.col("crisis_mask"), cfg.crisis_terms))
               .withColumns({
                 "rule_tenths": tx.rule_tenths(F.col("crisis_hits"), F.col("low_hits"),
                                               F.col("negations")),

@@ -166,3 +166,14 @@ def test_single_ticket_fixed_mode(spark):
     got = {r["ticket_id"]: r["inferred_severity"]
            for r in stream.score_fixed(_tickets(spark, rows), cfg).collect()}
     assert got == {1: "medium", 2: "high", 3: "medium", 4: "high", 5: "critical", 6: "critical"}
+
+
+def test_lexicons_of_any_length(spark):
+    from sevscope.functions import text as tx
+    for n in (0, 1, 62, 63, 130):
+        terms = tuple(f"w{k}x" for k in range(n))
+        said = [t for k, t in enumerate(terms) if k % 7 == 0 or k in (61, 62, n - 1)]
+        df = spark.createDataFrame([(" ".join(said),), ("",)], "t string")
+        mask = df.select(tx.term_mask(F.col("t"), terms).alias("m"))
+        got = mask.select(tx.terms_of_mask(F.col("m"), terms).alias("a"), tx.mask_hits(F.col("m"), terms).alias("n")).collect()
+        assert [(list(r.a), r.n) for r in got] == [(said, len(said)), ([], 0)]
