@@ -50,6 +50,11 @@ HIDDEN_CRISIS = "Hidden Crisis"
 FALSE_ALARM = "False Alarm"
 CONSISTENT = "Consistent"
 
+# Banner of a scored ticket by its prediction and the sign of its delta.
+BANNER_CONSISTENT = "✅ **CONSISTENT** — Priority assignment looks correct."
+BANNER_MISMATCH = "❌ **MISMATCH DETECTED** — %s"
+BANNER_TYPES = ("Hidden Crisis 🚨", "False Alarm ⚠️")
+
 # Evaluation thresholds of the published evaluation table.
 REQUIRED_THRESHOLDS = (
     ("accuracy", 0.83),

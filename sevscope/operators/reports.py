@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (CLASS_NAMES, CONSISTENT, DEFAULT_WEIGHTS, FALSE_ALARM,
+from ..config import (BANNER_CONSISTENT, BANNER_MISMATCH, BANNER_TYPES, CLASS_NAMES, CONSISTENT, DEFAULT_WEIGHTS, FALSE_ALARM,
                       HIDDEN_CRISIS, REQUIRED_THRESHOLDS)
 from ..functions import severity as sev
 from .quantiles import exact_quantiles
@@ -55,6 +55,19 @@ def dashboard_kpis(scored: DataFrame) -> DataFrame:
         F.concat(F.bround(rate * 100.0, 1).cast("string"), F.lit("%")).alias("mismatch_rate_text"))
 
 
+def display_texts(scored: DataFrame) -> DataFrame:
+    """what a scored ticket shows: upper-case names, the confidence as a
+    percentage and the banner (a positive delta is a hidden crisis, any other
+    one, a missing one too, a false alarm)."""
+    kind = F.when(F.col("severity_delta") > 0, BANNER_TYPES[0]).otherwise(BANNER_TYPES[1])
+    return scored.select(
+        "ticket_id", F.upper("ticket_priority").alias("assigned_priority"),
+        F.upper("inferred_severity").alias("inferred_severity"), "severity_delta",
+        F.concat(F.bround(F.col("model_confidence") * 100.0, 1).cast("string"), F.lit("%")).alias("confidence_text"),
+        F.when(F.col("prediction") == 0, BANNER_CONSISTENT).otherwise(
+            F.format_string(BANNER_MISMATCH, kind)).alias("banner"))
+
+
 def delta_heatmap(df: DataFrame) -> DataFrame:
     """A13 long form: mean delta per (type, channel); NULL keys dropped."""
     return (df.where(F.col("ticket_type").isNotNull() & F.col("ticket_channel").isNotNull())

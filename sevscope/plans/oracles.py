@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..config import CRISIS_TERMS, DOSSIER_TEXT, LOW_TERMS, preset
+from ..config import BANNER_CONSISTENT, BANNER_MISMATCH, BANNER_TYPES, CRISIS_TERMS, DOSSIER_TEXT, LOW_TERMS, preset
 from .oracle_sql import (audit_sql, audit_with, dbl, hits_sql, matched_terms_sql,
                          negations_sql, prep_ctes, severity_name_sql, spark_quantile,
                          sql_str)
@@ -185,6 +185,14 @@ ORACLES["flagged"] = _with(
     f"CAST(severity_delta AS INTEGER) AS severity_delta, mismatch_type, "
     f"{_CONF} AS model_confidence, ticket_channel FROM labelled WHERE mismatch_label = 1")
 
+ORACLES["display_texts"] = _with(
+    f"SELECT ticket_id, upper(ticket_priority) AS assigned_priority, upper(inferred_severity) AS inferred_severity, "
+    f"CAST(severity_delta AS INTEGER) AS severity_delta, "
+    f"CAST(round_even({_CONF} * {dbl(100)}, 1) AS VARCHAR) || '%' AS confidence_text, "
+    f"CASE WHEN mismatch_label = 0 THEN {sql_str(BANNER_CONSISTENT)} ELSE replace({sql_str(BANNER_MISMATCH)}, '%s', "
+    f"CASE WHEN severity_delta > 0 THEN {sql_str(BANNER_TYPES[0])} ELSE {sql_str(BANNER_TYPES[1])} END) END AS banner "
+    f"FROM labelled")
+
 # -------------------------------------------------------------------- reports
 ORACLES["priority_counts"] = _with(
     "SELECT ticket_priority AS priority, CAST(count(*) AS BIGINT) AS n FROM labelled "

@@ -329,6 +329,12 @@ def signal_agreement(spark, sf_dir):
     return rp.signal_agreement(_documented(spark, sf_dir))
 
 
+@query
+def display_texts(spark, sf_dir):
+    """names, confidence and banner of every scored ticket."""
+    return rp.display_texts(dz.label_as_prediction(_documented(spark, sf_dir)))
+
+
 @query
 def ablation(spark, sf_dir):
     """Label rebuilt from five signal subsets."""
