@@ -7,9 +7,10 @@ as a sorted array; tasks slide over the words of whole documents, look every
 window up and verify each hit word for word before it counts.
 
 The broadcast is bounded: items are dealt into blocks of at most
-``BLOCK_WORDS`` words (plus one item), and documents are scanned once for
-each block, so a benchmark of any size works with the same memory. Only blocks
-reach the driver, one at a time, and only benchmark text.
+``BLOCK_WORDS`` words (plus one item; about 0.5 KB a word in each Python
+worker), documents are scanned once for each block, and a block's result is a
+staged table before the next block is broadcast, so a worker holds one block's
+windows. Only blocks reach the driver, one at a time, and only benchmark text.
 
 Defined results: null or wordless texts have no words and are clean; null or
 wordless items match nothing; a null item id is left out of the lists, though
@@ -31,9 +32,10 @@ from pyspark.sql import types as T
 
 from sevscope.llm.common import byte_slices, keeping_columns, sha256_hex, text_bytes
 from sevscope.llm.shingles import _FOLD, window_codes, word_spans
+from sevscope.session import release, stage
 
 N = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 
 _KEPT = np.zeros(256, dtype=bool)
 _KEPT[ord("0"):ord("9") + 1] = _KEPT[ord("a"):ord("z") + 1] = True
@@ -152,8 +154,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     schema = T.StructType([*out.schema.fields, T.StructField("__dc_words", T.LongType()),
                            T.StructField("__dc_runs", _RUNS),
                            T.StructField("__dc_items", T.ArrayType(T.StringType()))])
-    done = None
+    done = held = before = None
     for block in _blocks(benchmark, item, item_text, block_words):
+        if done is not None:      # the block before is written out, then its windows go
+            done = stage(done, "dc_block")
+            release(before)
+            held.unpersist()
+            before = done
         held = spark.sparkContext.broadcast(Windows(block, n))
         if done is None:
             done = out.mapInArrow(_scan(held, len(rest)), schema)
