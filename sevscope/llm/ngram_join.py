@@ -10,21 +10,30 @@ from the start, so exact copies are never joined to each other.
    value; the choice changes the work only, never the result. The prefix codes
    travel as packed arrays, dealt by code; codes held by two classes or more
    give groups, and equal groups are kept once.
-2. Signature trees. A class has a bitmap of its codes (2 to 4 bits a code).
-   Per group, bitmaps sorted by size become leaves, leaves become nodes that
-   hold the OR of their bitmaps and the range of their sizes. A dual traversal
-   drops a pair of nodes when their sizes are too far apart, when the maximum
-   possible overlap of their members is too small, or when all members are in
-   one component already. Large groups are cut into blocks; every pair of
-   blocks is its own unit of work.
-   A first traversal of a group takes likely links, each as if it were true,
-   so dense groups give a spanning forest and not all their pairs; a second one
-   adds every pair between the resulting components that the bounds allow.
-3. Verification. Proposed pairs are checked on the codes of the whole texts,
-   the most similar pair of each component first, until no unchecked pair
-   joins two components. Groups in which a taken link proved false are
-   traversed again, now for every pair between different components that the
-   bounds allow, so no link is lost.
+2. Signature trees. A class has a bitmap of its codes (4 to 8 bits a code).
+   Per unit of a group, bitmaps sorted by size become leaves, leaves become
+   nodes that hold the OR of their bitmaps and the range of their sizes. A dual
+   traversal drops a pair of nodes when their sizes are too far apart, when the
+   maximum possible overlap of their members is too small, or when all members
+   are in one component already.
+3. Spanning passes. Each class goes to its largest group, groups are cut into
+   blocks, and a traversal takes likely links as if they were true, so a dense
+   block gives a spanning tree, not its pairs. Checked links join classes to
+   components; then one class of each component stands for it, in all groups
+   over a block that still hold two components, until nothing joins any more
+   (at most ``SWEEPS`` times, which changes the work only).
+   A dense family is one component before any two of its blocks meet.
+4. Completing pass. Groups that still hold two components are traversed for
+   every pair of classes of different components that the bounds allow; where
+   likely links are left, a spanning tree of these is checked first and the
+   group is seen again, in another order. Groups over a block are laid into
+   blocks by component, and every pair of blocks that is not one component and
+   whose sizes allow a link is a unit. What the passes before proposed wrongly
+   is looked at again here, so no link is lost. A large family of unlinked
+   texts that the bounds cannot part still costs pairs of blocks.
+5. Verification. Pairs are checked on the codes of the whole texts: first the
+   most similar pair of each component, then of each pair of components, then
+   what still joins two.
 
 Links follow the contract on 64-bit codes: two different shingles share a code
 with probability 2**-64.
@@ -38,6 +47,7 @@ not as a link; other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -45,15 +55,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sevscope.llm.common import (BROADCAST_ROWS, Forest, block_pairs, broadcast_if_small, byte_slices,
-                                 connected_components, few, text_bytes)
+from sevscope.llm.common import (BROADCAST_ROWS, Forest, broadcast_if_small, byte_slices, connected_components, few,
+                                 text_bytes)
 from sevscope.llm.shingles import mix, shingle_sets
-from sevscope.session import stage
+from sevscope.session import release, stage
 
 WORDS, SIMILARITY = 5, (75, 100)
 HOT_SHARE, HOT_TOKENS, WIDE = 4e-4, 1_000_000, 50_000
 FLUSH_CODES, PART_CODES = 2_000_000, 2_000_000
 LEAF, FAN, BLOCK = 8, 4, 512
+SWEEPS = 3                 # spanning passes over components, before the completing one
 
 
 def set_code(codes: np.ndarray) -> int:
@@ -202,7 +213,7 @@ def _groups(hot_side):
 # --- signatures and trees ---------------------------------------------------
 
 def bitmap_width(n: int) -> int:
-    return max(256, 1 << (2 * n - 1).bit_length())
+    return max(256, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(codes: np.ndarray) -> bytes:
@@ -239,7 +250,7 @@ class Node:
 
 def tree(members: list[tuple]) -> Node:
     """Signature tree of (place, size, bitmap, width) rows."""
-    members = sorted(members, key=lambda m: (m[1], m[0]))
+    members = sorted(members, key=lambda m: (int(16 * math.log(m[1])), m[0]))
     level = [(members[k:k + LEAF], ()) for k in range(0, len(members), LEAF)]
     nodes = [(rows, Node(rows)) for rows, _ in level]
     while len(nodes) > 1:
@@ -311,36 +322,42 @@ def dual_traversal(left: Node, right: Node, rows: list[tuple], forest: Forest, s
                     yield x, y, likely
 
 
-_FOUND = "a long, b long, likely double, group long, lo int, hi int"
+_FOUND = "a long, b long, likely double, group long"
 
 
-def _candidates(similarity, again: bool):
-    """Arrow pass over rows sorted by (group, lo, hi): proposed pairs (a, b,
-    expected similarity), and, where links were taken as true, the members of
-    each component so made (code, its root's code, group, lo, hi)."""
+def _candidates(similarity, mode: str, nth: int):
+    """Arrow pass over rows sorted by unit (group, lo, hi): proposed pairs (a,
+    b, expected similarity, group) of classes of different components. Mode
+    ``span`` gives a spanning tree of the likely ones, ``all`` every pair that
+    the bounds allow, ``try`` the first where it finds any (with the group, as
+    the unit has to be seen again) and else the second. ``nth`` changes the
+    order in which likely pairs are met."""
     def propose(part, group, lo, hi):
+        codes = mix(np.array([p[1] for p in part], dtype=np.int64).view(np.uint64) + np.uint64(nth))
+        part = [part[k] for k in np.argsort(codes).tolist()]
         rows, forest, known = [], Forest(len(part)), {}
         for k, (_, code, n, bits, comp) in enumerate(part):
             rows.append((k, n, int.from_bytes(bits, "little"), 8 * len(bits)))
-            if again:
-                forest.union(known.setdefault(comp, k), k)
+            forest.union(known.setdefault(comp, k), k)
+        if len(known) < 2:
+            return
         left = [r for r, p in zip(rows, part) if p[0] == lo]
         right = left if lo == hi else [r for r, p in zip(rows, part) if p[0] == hi]
         if not left or not right:
             return
         a = tree(left)
         b = a if lo == hi else tree(right)
-        taken = False
-        for spanning in ((False,) if again else (True, False)):
-            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, spanning):
-                taken |= spanning
-                yield *sorted((part[x][1], part[y][1])), likely, None, None, None
-        if taken:
-            for k, p in enumerate(part):
-                yield p[1], part[forest.find(k)][1], None, group, lo, hi
-
-    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
-    names = ["a", "b", "likely", "group", "lo", "hi"]
+        spans = False
+        if mode != "all":
+            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, True):
+                spans = True
+                yield *sorted((part[x][1], part[y][1])), likely, group
+        if mode == "all" or (mode == "try" and not spans):
+            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, False):
+                yield *sorted((part[x][1], part[y][1])), likely, None
+
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    names = ["a", "b", "likely", "group"]
 
     def out(found):
         columns = list(zip(*found)) or [[]] * len(types)
@@ -454,17 +471,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         texts = texts.dropDuplicates(["code"])
     texts = stage(texts, "nj_texts")
 
-    units = stage(block_pairs(groups, ["group"], "code", block).select("group", "lo", "hi", "own", "code"), "nj_units")
-    comp = stage(wanted.select("code", F.col("code").alias("comp")), "nj_comp")
-    found = stage(_propose(units, texts, comp, similarity, False), "nj_found")
-    comp, tried = _settle(found.where("likely IS NOT NULL"), texts, comp, None, words, similarity)
-    split = stage(found.where("likely IS NULL").join(comp, F.col("a") == F.col("code"))
-                  .groupBy("group", "lo", "hi", "b").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                  .where("x != y").select("group", "lo", "hi").distinct(), "nj_split")
-    if split.count():
-        again = units.join(broadcast_if_small(split), ["group", "lo", "hi"], "left_semi")
-        more = stage(_propose(again, texts, comp, similarity, True), "nj_found")
-        comp, _ = _settle(more.where("likely IS NOT NULL"), texts, comp, tried, words, similarity)
+    release(wanted)
+    comp = stage(texts.select("code", F.col("code").alias("comp")), "nj_comp")
+    sizes = stage(groups.groupBy("group").agg(F.count("*").alias("size")), "nj_sizes")
+    largest = stage(groups.join(sizes, "group").groupBy("code").agg(F.max(F.struct("size", "group")).alias("m"))
+                    .select(F.col("m.group").alias("group"), "code"), "nj_largest")
+    large = stage(sizes.where(F.col("size") > block), "nj_large")
+    release(sizes)
+    comp, tried = _sweep(largest, large, texts, comp, None, words, similarity, block, 0)
+    release(largest)
+    if large.limit(1).count():
+        in_large = stage(groups.join(broadcast_if_small(large.select("group")), "group", "left_semi"), "nj_in_large")
+        for nth in range(1, SWEEPS + 1):
+            stands = in_large.join(comp, "code").groupBy("group", "comp").agg(F.min("code").alias("code"))
+            before = comp
+            comp, tried = _sweep(stands.select("group", "code"), large, texts, comp, tried, words, similarity, block,
+                                 nth)
+            if comp is before:
+                break
+        release(in_large)
+    comp = _complete(groups, large, texts, comp, tried, words, similarity, block)
+    release(large, groups, texts)
     roots = comp.where("comp != code").select(F.col("code").alias("node"), F.col("comp").alias("root"))
 
     placed = stage(classes.join(roots.withColumnRenamed("node", "code"), "code", "left")
@@ -477,40 +504,176 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .alias("component_id"))
 
 
-def _propose(units: DataFrame, texts: DataFrame, comp: DataFrame, similarity, again: bool) -> DataFrame:
+def _propose(units: DataFrame, texts: DataFrame, comp: DataFrame, similarity, mode: str, nth: int = 0) -> DataFrame:
+    """Pairs of the units' rows (group, lo, hi, own, code)."""
     signs = comp.join(texts.select("code", "n", "bits"), "code")
     return (units.join(signs, "code").select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
             .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-            .mapInArrow(_candidates(similarity, again), _FOUND))
+            .mapInArrow(_candidates(similarity, mode, nth), _FOUND))
+
+
+def _block_of(spread, blocks):
+    return F.pmod(F.xxhash64(spread, F.lit("block")), blocks)
+
+
+def _sweep(rows: DataFrame, large: DataFrame, texts: DataFrame, comp: DataFrame, tried, words: int, similarity,
+           block: int, nth: int):
+    """One spanning pass over (group, code) rows, each in one block of its
+    group (``large`` has the groups over a block and their sizes), and the
+    check of its links: (comp, tried); the same ``comp`` when nothing joined."""
+    units = rows.join(broadcast_if_small(large), "group", "left").withColumn(
+        "own", _block_of("code", F.ceil(F.coalesce("size", F.lit(1)) / block)))
+    units = units.select("group", F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "code")
+    found = stage(_propose(units, texts, comp, similarity, "span", nth), "nj_found")
+    out = _settle(found, texts, comp, tried, words, similarity)
+    release(found)
+    return out
+
+
+def _partners(similarity):
+    """Arrow pass over (group, code, comp, n) sorted by group: the rows (group,
+    code) that have a row of another component and of a size that allows a
+    link in their group."""
+    num, den = similarity
+
+    def kept(part):
+        sizes = sorted({(n, comp) for _, comp, n in part})
+        out = []
+        for code, comp, n in part:
+            at = bisect.bisect_left(sizes, (-(-num * n // den),))
+            while at < len(sizes) and num * sizes[at][0] <= den * n:
+                if sizes[at][1] != comp:
+                    out.append(code)
+                    break
+                at += 1
+        return out
+
+    def run(batches):
+        part, now, groups, codes = [], None, [], []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(codes, pa.int64())],
+                                              names=["group", "code"])
+
+        def close():
+            if len(part) > 1:
+                found = kept(part)
+                codes.extend(found)
+                groups.extend([now] * len(found))
+
+        for rows in batches:
+            for group, *row in zip(*(rows.column(i).to_pylist() for i in range(4))):
+                if group != now:
+                    close()
+                    part, now = [], group
+                part.append(row)
+            if len(groups) > 50_000:
+                yield batch()
+                groups, codes = [], []
+        close()
+        yield batch()
+    return run
+
+
+def _complete(groups: DataFrame, large: DataFrame, texts: DataFrame, comp: DataFrame, tried, words: int, similarity,
+              block: int):
+    """The completing pass: ``comp`` after every pair between components of a
+    group that the bounds allow was looked at."""
+    num, den = similarity
+    zero = F.lit(0).cast("long")
+    rows = groups.join(broadcast_if_small(large.select("group")), "group", "left_anti")
+    for nth in range(SWEEPS + 1):
+        sized = comp.join(texts.select("code", "n"), "code")
+        live = (rows.join(sized, "code").select("group", "code", "comp", "n").repartition("group")
+                .sortWithinPartitions("group").mapInArrow(_partners(similarity), "group long, code long"))
+        units = live.select("group", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "code")
+        found = stage(_propose(units, texts, comp, similarity, "try" if nth < SWEEPS else "all", nth), "nj_found")
+        comp, tried = _settle(found, texts, comp, tried, words, similarity)
+        again = stage(found.where("group IS NOT NULL").select("group").distinct(), "nj_again")
+        release(found)
+        if not again.limit(1).count():
+            break
+        rows = groups.join(broadcast_if_small(again), "group", "left_semi")
+    after = comp
+    if not large.limit(1).count():
+        return after
+    placed = groups.join(broadcast_if_small(large.select("group")), "group").join(after, "code").join(
+        texts.select("code", "n"), "code").select("group", "code", "comp", "n")
+    placed = stage(placed, "nj_placed")
+    per = placed.groupBy("group", "comp").agg(F.count("*").alias("m"))
+    several = stage(per.groupBy("group").agg(
+        F.count("*").alias("comps"), F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("mixed"))
+        .where("comps > 1").drop("comps"), "nj_several")
+    if not several.limit(1).count():
+        release(placed, several)
+        return after
+    # blocks of one component have its code and a number as name, mixed ones a
+    # number only; components below a block share mixed blocks
+    wide = placed.join(broadcast_if_small(several), "group")
+    wide = wide.join(placed.groupBy("group", "comp").agg(F.count("*").alias("m")), ["group", "comp"])
+    one = F.col("m") >= block
+    wide = wide.select("group", "code", "n", F.when(one, F.col("comp")).alias("only"), F.when(
+        one, F.xxhash64("comp", _block_of("code", F.ceil(F.col("m") / block))))
+        .otherwise(_block_of("comp", F.greatest(F.ceil(F.col("mixed") / block), F.lit(1)))).alias("own"))
+    wide = stage(wide, "nj_wide")
+    names = stage(wide.groupBy("group", "own").agg(F.first("only").alias("only"), F.min("n").alias("low"),
+                                                   F.max("n").alias("high")), "nj_blocks")
+    x, y = (names.select("group", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "only", "low", "high")]) for s in "xy")
+    pairs = x.join(y, "group").where(
+        (F.col("own_x") <= F.col("own_y")) & (F.col("only_x").isNull() | F.col("only_y").isNull()
+                                              | (F.col("only_x") != F.col("only_y")))
+        & (den * F.col("high_x") >= num * F.col("low_y")) & (den * F.col("high_y") >= num * F.col("low_x")))
+    pairs = pairs.select("group", F.col("own_x").alias("lo"), F.col("own_y").alias("hi"),
+                         F.explode(F.array_distinct(F.array("own_x", "own_y"))).alias("own"))
+    units = wide.join(pairs, ["group", "own"]).select("group", "lo", "hi", "own", "code")
+    for nth, mode in enumerate(("span", "span", "all")):
+        found = stage(_propose(units, texts, after, similarity, mode, nth), "nj_found")
+        after, tried = _settle(found, texts, after, tried, words, similarity)
+        release(found)
+    release(placed, several, wide, names)
+    return after
 
 
 def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFrame | None, words: int, similarity):
     """Checks proposed pairs until none joins two components: (comp, tried).
-    In the first two rounds, while there are many pairs to a component, only
-    the likeliest of each component is checked."""
+    While there are many, only the likeliest pair of each component is checked,
+    then of each pair of components; pairs whose ends have met are dropped."""
     pairs = stage(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "nj_pairs")
     small, few_classes = pairs.count() <= BROADCAST_ROWS, comp.count() <= BROADCAST_ROWS
+    likeliest = F.max(F.struct("likely", "a", "b")).alias("m")
     for nth in range(1_000):
         side = lambda end: comp.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
+        old = pairs
         pairs = pairs.select("a", "b", "likely").join(side("a"), "a").join(side("b"), "b").where("ca != cb")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(few(pairs, small), "nj_pairs")
-        best = stage(few(pairs.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "likely")
-                     .groupBy("c").agg(F.max(F.struct("likely", "a", "b")).alias("m"))
-                     .select("m.a", "m.b").distinct(), small), "nj_best")
-        n_pairs, n_best = pairs.count(), best.count()
+        release(old)
+        n_pairs = pairs.count()
         if not n_pairs:
+            release(pairs)
             return comp, tried
-        now = best if n_pairs > 2 * n_best and nth < 2 else pairs.select("a", "b")
+        if nth < 3:
+            best = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "likely").groupBy("c").agg(likeliest)
+        elif nth < 6:
+            best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(likeliest)
+        else:
+            best = None
+        now = pairs.select("a", "b")
+        if best is not None:
+            now = best = stage(few(best.select("m.a", "m.b").distinct(), small), "nj_best")
+        n_now = n_pairs if best is None else best.count()
         ends = now.select("a", "b", F.explode(F.array("a", "b")).alias("code"))
-        if 2 * (n_best if now is best else n_pairs) <= BROADCAST_ROWS:
+        if 2 * n_now <= BROADCAST_ROWS:
             ends = F.broadcast(ends)
         checked = stage(texts.select("code", "packed", "size").join(ends, "code").select("a", "b", "packed", "size")
                         .repartition("a", "b").sortWithinPartitions("a", "b")
                         .mapInArrow(_verify(words, similarity), "a long, b long, link boolean"), "nj_checked")
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         joins = checked.where("link").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
+        release(best)
+        if not joins.limit(1).count():
+            continue
         roots = connected_components(joins, "ca", "cb")
         comp = stage(few(comp.join(roots, F.col("comp") == F.col("node"), "left")
                          .select("code", F.coalesce("root", "comp").alias("comp")), few_classes), "nj_comp")

@@ -395,3 +395,29 @@ def test_chat_machine_and_hazards(spark):
     got = {r.conv_id: r for r in chat.digests(chat.format_chats(df)).collect()}
     assert got[7].n_turns == 2 and got[6].n_turns == 1 and got[1].loss_chars == 2
     assert chat.digests(chat.format_chats(df.where("conv_id = -1"))).collect() == []
+
+
+def test_a_dense_family_is_joined_by_few_pairs(spark, monkeypatch):
+    """Near copies of one text: proposals and checks follow the number of
+    documents, not of pairs, also when the family spans many blocks."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
+        docs.append((k, " ".join(words)))
+    counted = {"nj_found": 0, "nj_checked": 0}
+    real = ngram_join.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name in counted:
+            counted[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    out = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), block=64).collect()
+    assert sorted(map(tuple, out)) == sorted(_brute(docs))
+    assert counted["nj_found"] < 5 * len(docs) and counted["nj_checked"] < 3 * len(docs)
