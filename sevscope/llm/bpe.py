@@ -10,8 +10,8 @@ look. Encodings thus form a monoid under ``join``; across piece borders the
 join is plain concatenation. Decoding concatenates the tokens' bytes up the
 same tree.
 
-Words repeat, so a task keeps the results of up to ``HELD_PIECES`` short pieces
-and then starts anew; memory is bounded whatever the texts.
+Words repeat, so a task keeps the results of up to ``HELD_PIECES`` short pieces,
+the ones in use longest; memory is bounded whatever the texts.
 
 Each task reads the public rank file named by ``path`` on its own machine;
 nothing is collected and texts are never shuffled. A very long piece of n bytes
@@ -38,7 +38,8 @@ from sevscope.llm.common import byte_slices, text_bytes
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NONE = 1 << 60             # rank of a pair that is no token
 LEAF = 24                 # bytes up to which a span is merged directly
-HELD_PIECES = 200_000     # short pieces whose results a task keeps
+HELD_PIECES = 400_000     # short pieces whose results a task keeps
+HELD_PAIRS = 1_000_000    # neighbours whose token a task keeps
 SHORT = 64                # characters up to which a piece is kept
 
 
@@ -55,29 +56,48 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces = regex.compile(pattern)
+        self.single = [ranks.get(bytes([b]), NONE) for b in range(256)]
+        self.pairs: dict[int, int] = {}
         self.stable: dict[tuple[int, int], bool] = {}
 
+    def pair(self, key: int) -> int:
+        """The token that two neighbours make (``left << 20 | right``), which
+        is also its rank."""
+        if len(self.pairs) > HELD_PAIRS:
+            self.pairs.clear()
+        made = self.pairs[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], NONE)
+        return made
+
     def merge(self, data: bytes) -> list[int]:
         """Encoding of a short span: the neighbouring pair of least rank is
-        merged, the leftmost of equals first, until none is known."""
-        rank = self.ranks.get
-        whole = rank(data)
+        merged, the leftmost of equals first, until none is known. Spans are
+        ids from the start, pairs are looked up by two ids."""
+        whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        parts = [data[k:k + 1] for k in range(len(data))]
-        pairs = [rank(data[k:k + 2], NONE) for k in range(len(data) - 1)]
-        while pairs:
-            least = min(pairs)
+        known, pair, single = self.pairs.get, self.pair, self.single
+        parts = [single[b] for b in data]
+        made = []
+        for k in range(len(parts) - 1):
+            key = parts[k] << 20 | parts[k + 1]
+            got = known(key)
+            made.append(pair(key) if got is None else got)
+        while made:
+            least = min(made)
             if least == NONE:
                 break
-            k = pairs.index(least)
-            parts[k:k + 2] = [parts[k] + parts[k + 1]]
-            del pairs[k]
+            k = made.index(least)
+            parts[k:k + 2] = [least]
+            del made[k]
             if k:
-                pairs[k - 1] = rank(parts[k - 1] + parts[k], NONE)
-            if k < len(pairs):
-                pairs[k] = rank(parts[k] + parts[k + 1], NONE)
-        return [self.ranks[p] for p in parts]
+                key = parts[k - 1] << 20 | least
+                got = known(key)
+                made[k - 1] = pair(key) if got is None else got
+            if k < len(made):
+                key = least << 20 | parts[k + 1]
+                got = known(key)
+                made[k] = pair(key) if got is None else got
+        return parts
 
     def is_stable(self, a: int, b: int) -> bool:
         known = self.stable.get((a, b))
@@ -129,23 +149,31 @@ class Encoder:
 
 class PieceCache:
     """``make(encoder, piece)`` for the pieces of texts, computed once for
-    pieces that repeat."""
+    pieces that repeat. Two generations: when the new one is full it becomes
+    the old one, so pieces in use are never forgotten all at once."""
 
     def __init__(self, encoder: Encoder, make):
-        self.encoder, self.make, self.known = encoder, make, {}
+        self.encoder, self.make, self.known, self.old = encoder, make, {}, {}
+
+    def _missed(self, piece: str):
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(self.encoder, piece)
+        if len(piece) <= SHORT:
+            if len(self.known) >= HELD_PIECES // 2:
+                self.old, self.known = self.known, {}
+            self.known[piece] = got
+        return got
 
     def of(self, text: str) -> list:
         """Results of the text's pieces, in order."""
-        known, out = self.known, []
-        for piece in self.encoder.pieces.findall(text):
-            got = known.get(piece)
-            if got is None:
-                got = self.make(self.encoder, piece)
-                if len(piece) <= SHORT:
-                    if len(known) >= HELD_PIECES:
-                        known.clear()
-                    known[piece] = got
-            out.append(got)
+        pieces = self.encoder.pieces.findall(text)
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            missed = self._missed
+            for k, got in enumerate(out):
+                if got is None:
+                    out[k] = missed(pieces[k])
         return out
 
 
