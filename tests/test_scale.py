@@ -38,3 +38,32 @@ def test_texts_join_the_tickets_last(spark, small_dir):
     plan = _plan(tickets(spark, small_dir))
     above = plan[:plan.index("Join LeftOuter", plan.index("Join LeftOuter") + 1)]
     assert "doc_id" in re.findall(r"Join LeftOuter, \(([^\n]*)", above)[0]
+
+
+def test_vector_length_reads_the_stored_entries_only(spark):
+    from pyspark.ml.linalg import Vectors
+    from sevscope.operators import ml
+    rows = [(0, Vectors.sparse(1 << 30, [3, 1 << 29], [3.0, -4.0])), (1, Vectors.dense([1.0, 2.0, 2.0])), (2, None),
+            (3, Vectors.sparse(7, [], []))]
+    got = {r.k: r.n for r in spark.createDataFrame(rows, ["k", "v"])
+           .select("k", ml.vector_length("v").alias("n")).collect()}
+    assert got == {0: 5.0, 1: 3.0, 2: None, 3: 0.0}
+
+
+def test_files_of_one_task_have_few_rows_and_raw_files_go(spark, small_dir, monkeypatch):
+    import __spark_entry__ as E
+    from sevscope.plans import queries
+    from sevscope.sources import sinks
+    made = []
+    monkeypatch.setattr(sinks, "MULTI_LINE_ROWS", 100)
+    monkeypatch.setitem(queries._PACKED, "maxRecordsPerFile", 100)
+    fresh = queries.shared_path
+    monkeypatch.setattr(queries, "shared_path", lambda *a: made.append(fresh(*a)) or made[-1])
+    df = E.queries()["csv_tickets"](spark, small_dir)
+    n = spark.read.parquet(f"{small_dir}/orders.parquet").count()
+    assert df.count() == n and len(df.inputFiles()) >= n // 100
+    bad = E.queries()["stream_quarantine"](spark, small_dir)
+    assert bad.count() == 2 * spark.read.parquet(f"{small_dir}/orders.parquet").where("o_orderkey % 100 = 0").count()
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in made if "/raw/" in p]
+    assert len(paths) == 2 and not any(p.getFileSystem(conf).exists(p) for p in paths)
