@@ -67,3 +67,37 @@ def test_files_of_one_task_have_few_rows_and_raw_files_go(spark, small_dir, monk
     conf = spark._jsc.hadoopConfiguration()
     paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in made if "/raw/" in p]
     assert len(paths) == 2 and not any(p.getFileSystem(conf).exists(p) for p in paths)
+
+
+def test_long_rows_are_taken_in_parts():
+    import numpy as np
+    from sevscope.operators import clusters, partials
+    rng = np.random.default_rng(1)
+    lens = np.array([0, 3, 500, 0, 1, 40, 0])
+    flat = rng.integers(0, 50, lens.sum())
+    got = list(partials.parts(flat, lens, 42))
+    assert all(len(f) == n.sum() and (len(f) <= 42 or len(n) == 1) for f, n in got)
+    assert (np.concatenate([f for f, _ in got]) == flat).all() and (np.concatenate([n for _, n in got]) == lens).all()
+    assert not list(partials.parts(flat[:0], lens[:0]))
+    weight, table = rng.random(50), clusters.projection(50, 3)
+    whole = clusters._projected(flat, lens, weight, table)
+    assert np.allclose(clusters.project(flat, lens, weight, table), whole) and clusters.project(flat[:0], lens[:0], weight, table).shape == (0, 256)
+
+
+def test_lloyd_of_all_starts_equals_each_start_alone(spark):
+    import numpy as np
+    from sevscope.operators import kmeans
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 5)).astype(np.float32)
+    vectors = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<float>").repartition(3)
+    data = kmeans.blocks(vectors, 5)
+    assert data.selectExpr("sum(length(data)) n").first()[0] == x.size * 4      # single precision is kept
+    firsts = [x[3 * s:3 * s + 3].astype(np.float64) for s in range(4)]
+    together = kmeans.lloyd(data, firsts, 7)
+    for first, got in zip(firsts, together):
+        c = first
+        for _ in range(got.steps):
+            at = kmeans.nearest(x.astype(np.float64), c)[0]
+            c = np.array([x[at == k].astype(np.float64).mean(axis=0) if (at == k).any() else c[k] for k in range(3)])
+        assert np.allclose(got.centres, c) and np.isclose(got.cost, kmeans.nearest(x.astype(np.float64), c)[1].sum())
+    data.unpersist()
