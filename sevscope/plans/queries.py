@@ -398,9 +398,11 @@ def truncate_tokens(spark, sf_dir):
     (the total count is kept, the cap is the feature)."""
     mi = _model_input(spark, sf_dir)
     toks = F.filter(F.split(F.lower("input_text"), r"\s+"), lambda t: t != "")
-    return mi.select("ticket_id", F.size(toks).alias("n_tokens"),
-                     F.least(F.size(toks), F.lit(MAX_TOKENS)).alias("n_kept"),
-                     F.array_join(F.slice(toks, 1, MAX_TOKENS), " ").alias("tokens_text"))
+    # the one-element array makes the words once for both fields
+    cut = F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.slice(t, 1, MAX_TOKENS), " ").alias("text")))
+    return mi.select("ticket_id", cut[0].alias("c")).select(
+        "ticket_id", F.col("c.n").alias("n_tokens"), F.least(F.col("c.n"), F.lit(MAX_TOKENS)).alias("n_kept"),
+        F.col("c.text").alias("tokens_text"))
 
 
 # ------------------------------------------------------------ classification

@@ -101,3 +101,9 @@ def test_lloyd_of_all_starts_equals_each_start_alone(spark):
             c = np.array([x[at == k].astype(np.float64).mean(axis=0) if (at == k).any() else c[k] for k in range(3)])
         assert np.allclose(got.centres, c) and np.isclose(got.cost, kmeans.nearest(x.astype(np.float64), c)[1].sum())
     data.unpersist()
+
+
+def test_a_text_is_split_once_for_its_count_and_its_head(spark, small_dir):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["truncate_tokens"](spark, small_dir))
+    assert len(re.findall(r"\bsplit\(", plan)) == 1
