@@ -2,8 +2,8 @@
 
 An attack rewrites a ticket's texts so that the wording changes and the case
 does not: crisis words are taken out, low-urgency words are put in, or the
-sentences change their order. All attacks are native expressions. A ticket's
-predictions before and after stand in one row, so nothing is joined or
+sentences change their order. All attacks are expressions (words are taken out
+by one Arrow function). A ticket's predictions before and after stand in one row, so nothing is joined or
 shuffled but the final counts.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..functions.text import without_terms
 
 _CUT = "\u0001"     # marks sentence ends while sentences are parted
 _TEXTS = ("ticket_subject", "ticket_description")
@@ -22,8 +23,7 @@ _TEXTS = ("ticket_subject", "ticket_description")
 
 def without_words(text: Column, terms) -> Column:
     """The lowered text without any of the terms, longer terms first."""
-    words = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
-    return F.regexp_replace(F.lower(text), words, "") if terms else F.lower(text)
+    return without_terms(F.lower(text), terms)
 
 
 def with_words(text: Column, terms) -> Column:

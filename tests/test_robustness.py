@@ -81,3 +81,20 @@ def test_a_fitted_classifier_can_be_attacked(spark, small_dir):
     model = ml.train(ml.model_rows(a.labelled, a.model.hours_min, a.model.hours_max, small), small).model
     got = {r.attack: r for r in robustness.check(raw, lambda t: jobs.score_tickets(a.model, model, t), CFG).collect()}
     assert got["all"].tickets == 1500 and got["all"].stable <= min(r.stable for r in got.values())
+
+
+def test_words_are_taken_out_from_left_to_right(spark):
+    texts = ["dodownwn", "production downdown", "urgenturgent asaps", "noédowné日", "down" * 3000, "", None, "dow", "n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    want = df.select("k", F.regexp_replace(F.lower("t"), "|".join(sorted(CFG.crisis_terms, key=lambda t: (-len(t), t))), ""))
+    out = df.select("k", robustness.without_words(F.col("t"), CFG.crisis_terms).alias("t"))
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
+    assert df.select(robustness.without_words(F.col("t"), ("b", "abc", "ab", "bcd"))).collect()[0][0] == "dodownwn"
+    over = spark.createDataFrame([("xabcd abd babcabcd",)], "t string")
+    assert over.select(robustness.without_words(F.col("t"), ("b", "abc", "ab", "bcd"))).first()[0] == "xd d d"
+
+
+def test_no_attack_searches_a_text_in_the_jvm(spark):
+    t = _tickets(spark, [TEN[0][0]])
+    plan = robustness.paired_predictions(t, lambda df: score.predict_fixed(df, CFG), CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "production down|" not in plan
