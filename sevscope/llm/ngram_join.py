@@ -505,11 +505,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _propose(units: DataFrame, texts: DataFrame, comp: DataFrame, similarity, mode: str, nth: int = 0) -> DataFrame:
-    """Pairs of the units' rows (group, lo, hi, own, code)."""
-    signs = comp.join(texts.select("code", "n", "bits"), "code")
-    return (units.join(signs, "code").select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
-            .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-            .mapInArrow(_candidates(similarity, mode, nth), _FOUND))
+    """Pairs of the units' rows (group, lo, hi, own, code), a staged table. The
+    rows are staged without bitmaps first, so that the bitmaps of all classes
+    are shuffled only for a pass over many rows."""
+    rows = stage(units.join(comp, "code"), "nj_units")
+    found = stage(texts.select("code", "n", "bits").join(broadcast_if_small(rows), "code")
+                  .select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
+                  .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+                  .mapInArrow(_candidates(similarity, mode, nth), _FOUND), "nj_found")
+    release(rows)
+    return found
 
 
 def _block_of(spread, blocks):
@@ -524,7 +529,7 @@ def _sweep(rows: DataFrame, large: DataFrame, texts: DataFrame, comp: DataFrame,
     units = rows.join(broadcast_if_small(large), "group", "left").withColumn(
         "own", _block_of("code", F.ceil(F.coalesce("size", F.lit(1)) / block)))
     units = units.select("group", F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "code")
-    found = stage(_propose(units, texts, comp, similarity, "span", nth), "nj_found")
+    found = _propose(units, texts, comp, similarity, "span", nth)
     out = _settle(found, texts, comp, tried, words, similarity)
     release(found)
     return out
@@ -587,7 +592,7 @@ def _complete(groups: DataFrame, large: DataFrame, texts: DataFrame, comp: DataF
         live = (rows.join(sized, "code").select("group", "code", "comp", "n").repartition("group")
                 .sortWithinPartitions("group").mapInArrow(_partners(similarity), "group long, code long"))
         units = live.select("group", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "code")
-        found = stage(_propose(units, texts, comp, similarity, "try" if nth < SWEEPS else "all", nth), "nj_found")
+        found = _propose(units, texts, comp, similarity, "try" if nth < SWEEPS else "all", nth)
         comp, tried = _settle(found, texts, comp, tried, words, similarity)
         again = stage(found.where("group IS NOT NULL").select("group").distinct(), "nj_again")
         release(found)
@@ -627,32 +632,41 @@ def _complete(groups: DataFrame, large: DataFrame, texts: DataFrame, comp: DataF
                          F.explode(F.array_distinct(F.array("own_x", "own_y"))).alias("own"))
     units = wide.join(pairs, ["group", "own"]).select("group", "lo", "hi", "own", "code")
     for nth, mode in enumerate(("span", "span", "all")):
-        found = stage(_propose(units, texts, after, similarity, mode, nth), "nj_found")
+        found = _propose(units, texts, after, similarity, mode, nth)
         after, tried = _settle(found, texts, after, tried, words, similarity)
         release(found)
     release(placed, several, wide, names)
     return after
 
 
+def _moved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the components of their ends after ``roots``."""
+    for end in ("ca", "cb"):
+        pairs = pairs.join(roots.withColumnRenamed("node", end), end, "left").withColumn(
+            end, F.coalesce("root", end)).drop("root")
+    return pairs.select("a", "b", "likely", "ca", "cb")
+
+
 def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFrame | None, words: int, similarity):
     """Checks proposed pairs until none joins two components: (comp, tried).
     While there are many, only the likeliest pair of each component is checked,
-    then of each pair of components; pairs whose ends have met are dropped."""
+    then of each pair of components; pairs whose ends have met are dropped.
+    The rounds move the pairs' own components (ca, cb) and keep the checked
+    links; ``comp``, a row per class, is written once at the end."""
     pairs = stage(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "nj_pairs")
     small, few_classes = pairs.count() <= BROADCAST_ROWS, comp.count() <= BROADCAST_ROWS
     likeliest = F.max(F.struct("likely", "a", "b")).alias("m")
+    side = lambda end: comp.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
+    placed = pairs.join(side("a"), "a").join(side("b"), "b").where("ca != cb").select("a", "b", "likely", "ca", "cb")
+    if tried is not None:
+        placed = placed.join(tried, ["a", "b"], "left_anti")
+    old, pairs = pairs, stage(few(placed, small), "nj_pairs")
+    release(old)
+    joined, roots = [], None
     for nth in range(1_000):
-        side = lambda end: comp.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
-        old = pairs
-        pairs = pairs.select("a", "b", "likely").join(side("a"), "a").join(side("b"), "b").where("ca != cb")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(few(pairs, small), "nj_pairs")
-        release(old)
         n_pairs = pairs.count()
         if not n_pairs:
-            release(pairs)
-            return comp, tried
+            break
         if nth < 3:
             best = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "likely").groupBy("c").agg(likeliest)
         elif nth < 6:
@@ -670,14 +684,34 @@ def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFram
                         .repartition("a", "b").sortWithinPartitions("a", "b")
                         .mapInArrow(_verify(words, similarity), "a long, b long, link boolean"), "nj_checked")
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        joins = checked.where("link").join(pairs, ["a", "b"]).select("ca", "cb").distinct()
         release(best)
-        if not joins.limit(1).count():
-            continue
-        roots = connected_components(joins, "ca", "cb")
-        comp = stage(few(comp.join(roots, F.col("comp") == F.col("node"), "left")
-                         .select("code", F.coalesce("root", "comp").alias("comp")), few_classes), "nj_comp")
-    raise RuntimeError("checks did not settle")
+        joins = stage(few(checked.where("link").join(pairs, ["a", "b"]).select("ca", "cb").distinct(), small), "nj_joins")
+        done = checked.select("a", "b")
+        rest = pairs.join(F.broadcast(done) if n_now <= BROADCAST_ROWS else done, ["a", "b"], "left_anti")
+        if joins.limit(1).count():
+            joined.append(joins)
+            roots = stage(connected_components(joins, "ca", "cb"), "nj_roots")
+            rest = _moved(rest, broadcast_if_small(roots)).where("ca != cb")
+        if n_now == n_pairs:
+            break
+        old, pairs = pairs, stage(few(rest, small), "nj_pairs")
+        release(old)
+    else:
+        raise RuntimeError("checks did not settle")
+    release(pairs)
+    if not joined:
+        return comp, tried
+    if len(joined) > 1:
+        # the name of a later round's component is one of its first components,
+        # so the links of all rounds give the components of the first ones
+        links = joined[0]
+        for joins in joined[1:]:
+            links = links.unionByName(joins)
+        roots = stage(connected_components(links, "ca", "cb"), "nj_roots")
+    after = stage(few(comp.join(broadcast_if_small(roots), F.col("comp") == F.col("node"), "left")
+                      .select("code", F.coalesce("root", "comp").alias("comp")), few_classes), "nj_comp")
+    release(comp, roots, *joined)
+    return after, tried
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -422,3 +422,33 @@ def test_a_dense_family_is_joined_by_few_pairs(spark, monkeypatch):
     assert sorted(map(tuple, out)) == sorted(_brute(docs))
     # about half of the 79,800 pairs do not link; measured: 8.4 proposals a document
     assert counted["nj_found"] < 20 * len(docs) and counted["nj_checked"] < 20 * len(docs)
+
+
+def test_components_are_written_once_a_settling(spark, monkeypatch):
+    """Rounds of checks move the pairs; the table of all classes follows once,
+    and the rows of a pass are staged without bitmaps."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
+        docs.append((k, " ".join(words)))
+    names, settles, real, settle = [], [], ngram_join.stage, ngram_join._settle
+
+    def stage(df, name):
+        names.append(name)
+        assert name != "nj_units" or "bits" not in df.columns
+        return real(df, name)
+
+    def settled(*args):
+        settles.append(1)
+        return settle(*args)
+
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    monkeypatch.setattr(ngram_join, "_settle", settled)
+    out = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == sorted(_brute(docs))
+    joining = names.count("nj_checked")
+    assert names.count("nj_comp") <= 1 + len(settles) < 1 + joining
