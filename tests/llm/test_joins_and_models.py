@@ -425,30 +425,15 @@ def test_a_dense_family_is_joined_by_few_pairs(spark, monkeypatch):
 
 
 def test_components_are_written_once_a_settling(spark, monkeypatch):
-    """Rounds of checks move the pairs; the table of all classes follows once,
-    and the rows of a pass are staged without bitmaps."""
-    rng = random.Random(3)
-    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
-    docs = []
-    for k in range(60):
-        words = list(base)
-        for _ in range(3):
-            words[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
-        docs.append((k, " ".join(words)))
-    names, settles, real, settle = [], [], ngram_join.stage, ngram_join._settle
-
-    def stage(df, name):
-        names.append(name)
-        assert name != "nj_units" or "bits" not in df.columns
-        return real(df, name)
-
-    def settled(*args):
-        settles.append(1)
-        return settle(*args)
-
-    monkeypatch.setattr(ngram_join, "stage", stage)
-    monkeypatch.setattr(ngram_join, "_settle", settled)
-    out = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, out)) == sorted(_brute(docs))
-    joining = names.count("nj_checked")
-    assert names.count("nj_comp") <= 1 + len(settles) < 1 + joining
+    """Two rounds join a chain of copies; the table of all classes follows once."""
+    import pyarrow as pa
+    texts = [" ".join([f"x{k}", *(f"w{i}" for i in range(200))]).encode() for k in range(4)]
+    texts = spark.createDataFrame([(k, pa.compress(t, "zstd", asbytes=True), len(t)) for k, t in enumerate(texts)],
+                                  "code long, packed binary, size long")
+    comp = spark.range(4).selectExpr("id AS code", "id AS comp")
+    found = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (2, 3, 0.9)], "a long, b long, likely double")
+    names, real = [], ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: names.append(name) or real(df, name))
+    after, tried = ngram_join._settle(found, texts, comp, None, 5, (75, 100))
+    assert {tuple(r) for r in after.collect()} == {(k, 0) for k in range(4)} and tried.count() == 3
+    assert names.count("nj_checked") == 2 and names.count("nj_comp") == 1
