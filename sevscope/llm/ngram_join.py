@@ -6,10 +6,13 @@ from the start, so exact copies are never joined to each other.
 
 1. Which sets can meet. In any fixed order of the codes, two sets that link
    share a code among the first ``n - ceil(0.75 n) + 1`` of each. The order
-   puts codes that many documents of a chunk share last (by count), others by
-   value; the choice changes the work only, never the result. The prefix codes
-   travel as packed arrays, dealt by code; codes held by two classes or more
-   give groups, and equal groups are kept once.
+   puts codes that many documents share last (by count), others by value; they
+   are found among the codes of one class in ``SAMPLE``, which changes the work
+   only, never the result. The prefix codes travel as packed arrays, dealt by
+   code; codes held by two classes or more give groups, and equal groups are
+   kept once, with the number of their codes. Groups over ``SMALL`` classes
+   that have the same least hash of a class are joined into one, so a family
+   is met a few times and not once for each code that its members share.
 2. Signature trees. A class has a bitmap of its codes (4 to 8 bits a code).
    Per unit of a group, bitmaps sorted by size become leaves, leaves become
    nodes that hold the OR of their bitmaps and the range of their sizes. A dual
@@ -20,17 +23,17 @@ from the start, so exact copies are never joined to each other.
    blocks, and a traversal takes likely links as if they were true, so a dense
    block gives a spanning tree, not its pairs. Checked links join classes to
    components; then one class of each component stands for it, in all groups
-   over a block that still hold two components, until nothing joins any more
-   (at most ``SWEEPS`` times, which changes the work only).
+   over a block (``SWEEPS`` times, which changes the work only).
    A dense family is one component before any two of its blocks meet.
-4. Completing pass. Groups that still hold two components are traversed for
-   every pair of classes of different components that the bounds allow; where
-   likely links are left, a spanning tree of these is checked first and the
-   group is seen again, in another order. Groups over a block are laid into
+4. Completing pass. Joined groups that still hold two components are laid into
    blocks by component, and every pair of blocks that is not one component and
-   whose sizes allow a link is a unit. What the passes before proposed wrongly
-   is looked at again here, so no link is lost. A large family of unlinked
-   texts that the bounds cannot part still costs pairs of blocks.
+   whose sizes allow a link is a unit: first a spanning tree of its likely
+   links is checked, then every pair that the bounds allow. In groups of at
+   most ``SMALL`` classes the prefix codes that two classes share are counted; a
+   link shares several, by the sizes of the sets, and pairs of fewer are
+   dropped. What the passes before proposed wrongly is looked at again here, so
+   no link is lost. A large family of unlinked texts that the bounds cannot
+   part still costs pairs of blocks.
 5. Verification. Pairs are checked on the codes of the whole texts: first the
    most similar pair of each component, then of each pair of components, then
    what still joins two.
@@ -47,7 +50,6 @@ not as a link; other columns of the input are not read.
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
@@ -62,9 +64,12 @@ from sevscope.session import release, stage
 
 WORDS, SIMILARITY = 5, (75, 100)
 HOT_SHARE, HOT_TOKENS, WIDE = 4e-4, 1_000_000, 50_000
-FLUSH_CODES, PART_CODES = 2_000_000, 2_000_000
+SAMPLE, HOT_HELD, COUNT_PARTS = 16, 48, 256      # for the order of the codes only
+FLUSH_CODES, PART_CODES = 500_000, 1_000_000
 LEAF, FAN, BLOCK = 8, 4, 512
-SWEEPS = 3                 # spanning passes over components, before the completing one
+FEW_ROWS = 50_000          # rows that are dealt to a few tasks only
+SMALL = 32                 # rows of a group whose pairs are counted one by one
+SWEEPS = 1                 # spanning passes over components, before the completing one
 
 
 def set_code(codes: np.ndarray) -> int:
@@ -79,21 +84,34 @@ def prefix_length(n: int, similarity=SIMILARITY) -> int:
 
 # --- pass 1: classes, and codes that many documents share -------------------
 
-_FACTS = "doc_id {id}, n long, code long, token long, held long"
+_FACTS = "doc_id {id}, n long, code long, part long, codes binary"
+
+
+def _by_part(parts: np.ndarray, *arrays: np.ndarray):
+    """(distinct parts, per array its bytes of each part)."""
+    order = np.argsort(parts, kind="stable")
+    parts = parts[order]
+    cuts = np.flatnonzero(np.diff(parts, prepend=-1))
+    ends = np.append(cuts[1:], len(parts))
+    return [parts[cuts]] + [[x[a:b].tobytes() for a, b in zip(cuts, ends)] for x in (x[order] for x in arrays)]
+
+
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _facts(words: int):
     """Arrow pass over (doc_id, text): per document its set size and class,
-    and per chunk of rows the codes that two or more classes hold."""
-    def counted(held, id_type):
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts > 1
-        n = int(many.sum())
+    and the codes of one class in ``SAMPLE``, packed by part."""
+    def packed(held, id_type):
+        codes = np.concatenate(held)
+        part, codes = _by_part(_part_of(codes, COUNT_PARTS), codes)
+        n = len(part)
         return pa.RecordBatch.from_arrays(
             [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-             pa.array(codes[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=names)
+             pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=names)
 
-    names = ["doc_id", "n", "code", "token", "held"]
+    names = ["doc_id", "n", "code", "part", "codes"]
 
     def run(batches):
         held, size, seen, id_type = [], 0, set(), None
@@ -102,19 +120,35 @@ def _facts(words: int):
             sets = shingle_sets([t or b"" for t in batch.column(1).to_pylist()], words)
             own = [set_code(s) if len(s) else None for s in sets]
             for s, code in zip(sets, own):
-                if code is not None and code not in seen:
+                if code is not None and code % SAMPLE == 0 and code not in seen:
                     seen.add(code)
                     held.append(s)
                     size += len(s)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
             if size >= FLUSH_CODES:
-                yield counted(held, id_type)
+                yield packed(held, id_type)
                 held, size, seen = [], 0, set()
         if held:
-            yield counted(held, id_type)
+            yield packed(held, id_type)
+    return run
+
+
+def _often(least: float):
+    """Arrow pass over parts dealt to a task: codes held ``least`` times or
+    more and how often."""
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(np.frombuffer(codes, dtype=np.uint64))
+        for part in held:
+            codes, counts = np.unique(np.concatenate(held[part]), return_counts=True)
+            many = counts >= least
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "held"])
     return run
 
 
@@ -143,14 +177,9 @@ def _prefixes(hot_side, words: int, parts: int, similarity):
         codes = np.concatenate([c for c, _ in held])
         owners = np.repeat(np.array([o for _, o in held], dtype=np.int64), [len(c) for c, _ in held])
         key = np.where(np.isin(codes, hot_side.value[2]), mix(owners.view(np.uint64)), codes)
-        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        codes, owners, part = codes[order], owners[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(cuts[1:], len(part))
+        part, codes, owners = _by_part(_part_of(key, parts), codes, owners)
         return pa.RecordBatch.from_arrays(
-            [pa.array(part[cuts], pa.int64()), pa.array([codes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-             pa.array([owners[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
+            [pa.array(part, pa.int64()), pa.array(codes, pa.binary()), pa.array(owners, pa.binary())],
             names=["part", "codes", "owners"])
 
     def run(batches):
@@ -175,38 +204,43 @@ def _prefixes(hot_side, words: int, parts: int, similarity):
 
 
 def _groups(hot_side):
-    """Arrow pass over one partition's packed arrays: (group, code) of every
-    distinct set of two or more classes that share a code, and of every class
-    that holds a wide code."""
+    """Arrow pass over one partition's packed arrays: (group, code, held) of
+    every distinct set of two or more classes that share codes, ``held`` being
+    the number of these, and of every class that holds a wide code."""
     def run(batches):
-        tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        parts: dict[int, list] = {}
         for batch in batches:
-            for c, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                tokens.append(np.frombuffer(c, dtype=np.uint64))
-                owners.append(np.frombuffer(o, dtype=np.int64))
-        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+            for part, c, o in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                parts.setdefault(part, []).append((np.frombuffer(c, dtype=np.uint64), np.frombuffer(o, dtype=np.int64)))
+        while parts:
+            tokens, owners = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
+            for columns in grouped(tokens, owners):
+                for a in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a:a + 100_000]) for c in columns],
+                                                     names=["group", "code", "held"])
+
+    def grouped(tokens, owners):
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
         tokens, owners = tokens[new], owners[new]
         wide = np.isin(tokens, hot_side.value[2])
-        out = [(mix(tokens[wide]).view(np.int64), owners[wide])]
+        out = [(mix(tokens[wide]).view(np.int64), owners[wide], np.ones(int(wide.sum()), dtype=np.int64))]
         tokens, owners = tokens[~wide], owners[~wide]
         if len(tokens):
             start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             size = np.diff(np.append(start, len(tokens)))
             name = mix(np.add.reduceat(mix(owners.view(np.uint64)), start) + size.astype(np.uint64))
             many = np.flatnonzero(size > 1)
-            _, first = np.unique(name[many], return_index=True)
+            _, first, held = np.unique(name[many], return_index=True, return_counts=True)
             kept = many[first]
             rows = np.concatenate([np.arange(s, s + n) for s, n in zip(start[kept], size[kept])]
                                   or [np.zeros(0, dtype=np.int64)])
-            out.append((np.repeat(name[kept], size[kept]).view(np.int64), owners[rows]))
-        for group, code in out:
-            for a in range(0, len(group), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(group[a:a + 100_000]), pa.array(code[a:a + 100_000])],
-                                                 names=["group", "code"])
+            out.append((np.repeat(name[kept], size[kept]).view(np.int64), owners[rows],
+                        np.repeat(held.astype(np.int64), size[kept])))
+        return out
+
     return run
 
 
@@ -322,17 +356,15 @@ def dual_traversal(left: Node, right: Node, rows: list[tuple], forest: Forest, s
                     yield x, y, likely
 
 
-_FOUND = "a long, b long, likely double, group long"
+_FOUND = "a long, b long, likely double"
 
 
 def _candidates(similarity, mode: str, nth: int):
     """Arrow pass over rows sorted by unit (group, lo, hi): proposed pairs (a,
-    b, expected similarity, group) of classes of different components. Mode
-    ``span`` gives a spanning tree of the likely ones, ``all`` every pair that
-    the bounds allow, ``try`` the first where it finds any (with the group, as
-    the unit has to be seen again) and else the second. ``nth`` changes the
-    order in which likely pairs are met."""
-    def propose(part, group, lo, hi):
+    b, expected similarity) of classes of different components. Mode ``span``
+    gives a spanning tree of the likely ones, ``all`` every pair that the
+    bounds allow. ``nth`` changes the order in which likely pairs are met."""
+    def propose(part, _, lo, hi):
         codes = mix(np.array([p[1] for p in part], dtype=np.int64).view(np.uint64) + np.uint64(nth))
         part = [part[k] for k in np.argsort(codes).tolist()]
         rows, forest, known = [], Forest(len(part)), {}
@@ -347,17 +379,11 @@ def _candidates(similarity, mode: str, nth: int):
             return
         a = tree(left)
         b = a if lo == hi else tree(right)
-        spans = False
-        if mode != "all":
-            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, True):
-                spans = True
-                yield *sorted((part[x][1], part[y][1])), likely, group
-        if mode == "all" or (mode == "try" and not spans):
-            for x, y, likely in dual_traversal(a, b, rows, forest, similarity, False):
-                yield *sorted((part[x][1], part[y][1])), likely, None
-
-    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    names = ["a", "b", "likely", "group"]
+        for x, y, likely in dual_traversal(a, b, rows, forest, similarity, mode == "span"):
+            yield *sorted((part[x][1], part[y][1])), likely
+
+    types = (pa.int64(), pa.int64(), pa.float64())
+    names = ["a", "b", "likely"]
 
     def out(found):
         columns = list(zip(*found)) or [[]] * len(types)
@@ -446,20 +472,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     facts = stage(ins.mapInArrow(_facts(words), _FACTS.format(id=kind)), "nj_facts")
     members = facts.where("n IS NOT NULL").select("doc_id", "n", "code")
     total = members.where("doc_id IS NOT NULL").agg(F.count("code"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hot = (facts.where("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held"))
-           .where(F.col("held") >= max(8, hot_share * total[0])).orderBy(F.desc("held"), "token")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[1] / 4 / PART_CODES))
+    often = max(3, min(hot_share * total[0], HOT_HELD) / SAMPLE)
+    hot = (facts.where("part IS NOT NULL").select("part", "codes").repartition(min(parts, COUNT_PARTS), "part")
+           .mapInArrow(_often(often), "token long, held long").orderBy(F.desc("held"), "token")
            .limit(HOT_TOKENS).toPandas())
     tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = -np.arange(len(tokens))[order]
     hot_side = spark.sparkContext.broadcast(
-        (tokens[order], rank, np.sort(tokens[hot["held"].to_numpy(np.int64) >= wide])))
+        (tokens[order], rank, np.sort(tokens[SAMPLE * hot["held"].to_numpy(np.int64) >= wide])))
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[1] / 4 / PART_CODES))
     entries = ins.where("doc_id IS NOT NULL").select("text").mapInArrow(
         _prefixes(hot_side, words, 8 * parts, similarity), "part long, codes binary, owners binary")
-    groups = stage(entries.repartition(parts, "part").mapInArrow(_groups(hot_side), "group long, code long")
-                   .distinct(), "nj_groups")
+    groups = stage(entries.repartition(parts, "part").mapInArrow(_groups(hot_side), "group long, code long, held long")
+                   .groupBy("group", "code").agg(F.sum("held").alias("held")), "nj_groups")
 
     classes = stage(members.where("doc_id IS NOT NULL AND code IS NOT NULL").groupBy("code")
                     .agg(F.min("doc_id").alias("least")), "nj_classes")
@@ -473,31 +500,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     release(wanted)
     comp = stage(texts.select("code", F.col("code").alias("comp")), "nj_comp")
-    sizes = stage(groups.groupBy("group").agg(F.count("*").alias("size")), "nj_sizes")
-    largest = stage(groups.join(sizes, "group").groupBy("code").agg(F.max(F.struct("size", "group")).alias("m"))
-                    .select(F.col("m.group").alias("group"), "code"), "nj_largest")
+    by_size = groups.groupBy("group").agg(F.count("*").alias("size"), F.min(F.xxhash64("code")).alias("unit"))
+    of_size = stage(by_size, "nj_sizes")
+    wide_groups = of_size.where(F.col("size") > min(SMALL, block)).select("group", "unit")
+    joined = stage(groups.join(broadcast_if_small(wide_groups), "group").select(F.col("unit").alias("group"), "code")
+                   .distinct(), "nj_joined")
+    pairs = groups.join(broadcast_if_small(wide_groups), "group", "left_anti")
+    sizes = stage(joined.groupBy("group").agg(F.count("*").alias("size")), "nj_sizes")
     large = stage(sizes.where(F.col("size") > block), "nj_large")
+    either = joined.join(broadcast_if_small(sizes), "group").unionByName(
+        pairs.join(broadcast_if_small(of_size.drop("unit")), "group").drop("held"))
+    largest = stage(either.groupBy("code").agg(F.max(F.struct("size", "group")).alias("m"))
+                    .select(F.col("m.group").alias("group"), "code"), "nj_largest")
     release(sizes)
     comp, tried = _sweep(largest, large, texts, comp, None, words, similarity, block, 0)
     release(largest)
     if large.limit(1).count():
-        in_large = stage(groups.join(broadcast_if_small(large.select("group")), "group", "left_semi"), "nj_in_large")
+        in_large = stage(joined.join(broadcast_if_small(large.select("group")), "group", "left_semi"), "nj_in_large")
         for nth in range(1, SWEEPS + 1):
-            stands = in_large.join(comp, "code").groupBy("group", "comp").agg(F.min("code").alias("code"))
+            stands = in_large.join(broadcast_if_small(comp), "code").groupBy("group", "comp").agg(F.min("code").alias("code"))
             before = comp
             comp, tried = _sweep(stands.select("group", "code"), large, texts, comp, tried, words, similarity, block,
                                  nth)
             if comp is before:
                 break
         release(in_large)
-    comp = _complete(groups, large, texts, comp, tried, words, similarity, block)
-    release(large, groups, texts)
+    comp = _complete(pairs, joined, texts, comp, tried, words, similarity, block)
+    release(large, groups, of_size, joined, texts)
     roots = comp.where("comp != code").select(F.col("code").alias("node"), F.col("comp").alias("root"))
 
-    placed = stage(classes.join(roots.withColumnRenamed("node", "code"), "code", "left")
+    placed = stage(classes.join(broadcast_if_small(roots.withColumnRenamed("node", "code")), "code", "left")
                    .select("code", "least", F.coalesce("root", "code").alias("root")), "nj_placed")
     least = stage(placed.groupBy("root").agg(F.min("least").alias("component_id")), "nj_least")
-    named = stage(placed.join(least, "root").select("code", "component_id"), "nj_named")
+    named = stage(placed.join(broadcast_if_small(least), "root").select("code", "component_id"), "nj_named")
     return members.join(broadcast_if_small(named), "code", "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -508,10 +543,10 @@ def _propose(units: DataFrame, texts: DataFrame, comp: DataFrame, similarity, mo
     """Pairs of the units' rows (group, lo, hi, own, code), a staged table. The
     rows are staged without bitmaps first, so that the bitmaps of all classes
     are shuffled only for a pass over many rows."""
-    rows = stage(units.join(comp, "code"), "nj_units")
-    found = stage(texts.select("code", "n", "bits").join(broadcast_if_small(rows), "code")
-                  .select("group", "lo", "hi", "own", "code", "n", "bits", "comp")
-                  .repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    rows = stage(units.join(broadcast_if_small(comp), "code"), "nj_units")
+    signed = (texts.select("code", "n", "bits").join(broadcast_if_small(rows), "code")
+              .select("group", "lo", "hi", "own", "code", "n", "bits", "comp").repartition("group", "lo", "hi"))
+    found = stage(few(signed, rows.count() <= FEW_ROWS).sortWithinPartitions("group", "lo", "hi")
                   .mapInArrow(_candidates(similarity, mode, nth), _FOUND), "nj_found")
     release(rows)
     return found
@@ -530,113 +565,130 @@ def _sweep(rows: DataFrame, large: DataFrame, texts: DataFrame, comp: DataFrame,
         "own", _block_of("code", F.ceil(F.coalesce("size", F.lit(1)) / block)))
     units = units.select("group", F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "code")
     found = _propose(units, texts, comp, similarity, "span", nth)
-    out = _settle(found, texts, comp, tried, words, similarity)
+    out = _settle(found, texts, comp, tried, words, similarity, True)
     release(found)
     return out
 
 
-def _partners(similarity):
-    """Arrow pass over (group, code, comp, n) sorted by group: the rows (group,
-    code) that have a row of another component and of a size that allows a
-    link in their group."""
+def _shared_pairs(similarity):
+    """Arrow pass over (group, code, comp, n, held) sorted by group: (a, b,
+    held, need, most) of pairs of one group, of different components and of
+    sizes that allow a link. ``held`` is the number of prefix codes the pair
+    shares in the groups seen; a linked pair shares ``need`` or more in all:
+    of the two prefixes take the one that ends first. A link leaves at most n -
+    overlap of its codes outside the other set, and the rest of them are in
+    the other prefix too, as that one reaches farther. ``most`` is the length
+    of the shorter prefix."""
     num, den = similarity
 
-    def kept(part):
-        sizes = sorted({(n, comp) for _, comp, n in part})
-        out = []
-        for code, comp, n in part:
-            at = bisect.bisect_left(sizes, (-(-num * n // den),))
-            while at < len(sizes) and num * sizes[at][0] <= den * n:
-                if sizes[at][1] != comp:
-                    out.append(code)
-                    break
-                at += 1
-        return out
+    def pairs(group, code, comp, n, held):
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(start, len(group)))
+        mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), size)
+        after = np.where(mixed, np.repeat(start + size, size) - np.arange(len(group)) - 1, 0)
+        out, waiting = [], 0
+        for step in range(1, int(after.max(initial=0)) + 1):
+            x = np.flatnonzero(after >= step)
+            y = x + step
+            ok = (comp[x] != comp[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            out.append((np.minimum(code[x], code[y]), np.maximum(code[x], code[y]), held[x], n[x], n[y]))
+            waiting += len(x)
+            if waiting > 500_000:
+                yield summed(out)
+                out, waiting = [], 0
+        if waiting:
+            yield summed(out)
+
+    def summed(out):
+        a, b, held, na, nb = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((b, a))
+        a, b, held, na, nb = (c[order] for c in (a, b, held, na, nb))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        held, a, b, na, nb = np.add.reduceat(held, first), *(c[first] for c in (a, b, na, nb))
+        pre_a, pre_b = (k - -(-num * k // den) + 1 for k in (na, nb))
+        overlap = -(-num * (na + nb) // (num + den))
+        need = np.maximum(1, np.minimum(pre_a - na, pre_b - nb) + overlap)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, held, need, np.minimum(pre_a, pre_b))],
+                                          names=["a", "b", "held", "need", "most"])
 
     def run(batches):
-        part, now, groups, codes = [], None, [], []
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(codes, pa.int64())],
-                                              names=["group", "code"])
-
-        def close():
-            if len(part) > 1:
-                found = kept(part)
-                codes.extend(found)
-                groups.extend([now] * len(found))
-
-        for rows in batches:
-            for group, *row in zip(*(rows.column(i).to_pylist() for i in range(4))):
-                if group != now:
-                    close()
-                    part, now = [], group
-                part.append(row)
-            if len(groups) > 50_000:
-                yield batch()
-                groups, codes = [], []
-        close()
-        yield batch()
+        held = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))         # the last group may go on
+            if cut:
+                yield from pairs(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from pairs(*held)
     return run
 
 
-def _complete(groups: DataFrame, large: DataFrame, texts: DataFrame, comp: DataFrame, tried, words: int, similarity,
+def _complete(pairs: DataFrame, joined: DataFrame, texts: DataFrame, comp: DataFrame, tried, words: int, similarity,
               block: int):
     """The completing pass: ``comp`` after every pair between components of a
-    group that the bounds allow was looked at."""
+    group that can be a link was looked at. Pairs of small groups (group, code,
+    held) are counted; a pair that shares a wider group too is met in the
+    blocks of ``joined`` (group, code)."""
     num, den = similarity
-    zero = F.lit(0).cast("long")
-    rows = groups.join(broadcast_if_small(large.select("group")), "group", "left_anti")
-    for nth in range(SWEEPS + 1):
-        sized = comp.join(texts.select("code", "n"), "code")
-        live = (rows.join(sized, "code").select("group", "code", "comp", "n").repartition("group")
-                .sortWithinPartitions("group").mapInArrow(_partners(similarity), "group long, code long"))
-        units = live.select("group", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), "code")
-        found = _propose(units, texts, comp, similarity, "try" if nth < SWEEPS else "all", nth)
-        comp, tried = _settle(found, texts, comp, tried, words, similarity)
-        again = stage(found.where("group IS NOT NULL").select("group").distinct(), "nj_again")
-        release(found)
-        if not again.limit(1).count():
-            break
-        rows = groups.join(broadcast_if_small(again), "group", "left_semi")
-    after = comp
-    if not large.limit(1).count():
-        return after
-    placed = groups.join(broadcast_if_small(large.select("group")), "group").join(after, "code").join(
-        texts.select("code", "n"), "code").select("group", "code", "comp", "n")
-    placed = stage(placed, "nj_placed")
+    sized = broadcast_if_small(texts.select("code", "n"))
+    placed = stage(joined.join(broadcast_if_small(comp), "code").join(sized, "code")
+                   .select("group", "code", "comp", "n"), "nj_placed")
+    small = placed.count() <= FEW_ROWS
     per = placed.groupBy("group", "comp").agg(F.count("*").alias("m"))
-    several = stage(per.groupBy("group").agg(
+    several = stage(few(per, small).groupBy("group").agg(
         F.count("*").alias("comps"), F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("mixed"))
         .where("comps > 1").drop("comps"), "nj_several")
-    if not several.limit(1).count():
-        release(placed, several)
-        return after
+    small_pairs = pairs.count() <= FEW_ROWS
+    units, kept = None, []
+    if several.limit(1).count():
+        units, kept = _blocks(placed, several, similarity, block)
+        found = _propose(units, texts, comp, similarity, "span", 0)
+        comp, tried = _settle(found, texts, comp, tried, words, similarity, True)
+        release(found)
+    rows = pairs.join(broadcast_if_small(comp), "code").join(sized, "code").select("group", "code", "comp", "n", "held")
+    found = (few(rows.repartition("group"), small_pairs).sortWithinPartitions("group")
+             .mapInArrow(_shared_pairs(similarity), "a long, b long, held long, need long, most long")
+             .groupBy("a", "b").agg(F.sum("held").alias("held"), F.max("need").alias("need"), F.max("most").alias("most"))
+             .where("held >= need").select("a", "b", (F.col("held") / F.col("most")).alias("likely")))
+    found = stage(few(found, small_pairs), "nj_found")
+    if units is not None:
+        found = found.unionByName(_propose(units, texts, comp, similarity, "all", 1))
+    comp, _ = _settle(found, texts, comp, tried, words, similarity, True)
+    release(placed, several, *kept)
+    return comp
+
+
+def _blocks(placed: DataFrame, several: DataFrame, similarity, block: int):
+    """Units (group, lo, hi, own, code) of the groups ``several``: every two
+    rows of different components whose sizes allow a link meet in one. Also the
+    staged tables behind them."""
+    num, den = similarity
     # blocks of one component have its code and a number as name, mixed ones a
     # number only; components below a block share mixed blocks
+    small = placed.count() <= FEW_ROWS
     wide = placed.join(broadcast_if_small(several), "group")
-    wide = wide.join(placed.groupBy("group", "comp").agg(F.count("*").alias("m")), ["group", "comp"])
+    wide = wide.join(wide.groupBy("group", "comp").agg(F.count("*").alias("m")), ["group", "comp"])
     one = F.col("m") >= block
     wide = wide.select("group", "code", "n", F.when(one, F.col("comp")).alias("only"), F.when(
         one, F.xxhash64("comp", _block_of("code", F.ceil(F.col("m") / block))))
         .otherwise(_block_of("comp", F.greatest(F.ceil(F.col("mixed") / block), F.lit(1)))).alias("own"))
-    wide = stage(wide, "nj_wide")
-    names = stage(wide.groupBy("group", "own").agg(F.first("only").alias("only"), F.min("n").alias("low"),
+    wide = stage(few(wide, small), "nj_wide")
+    names = stage(few(wide, small).groupBy("group", "own").agg(F.first("only").alias("only"), F.min("n").alias("low"),
                                                    F.max("n").alias("high")), "nj_blocks")
     x, y = (names.select("group", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "only", "low", "high")]) for s in "xy")
-    pairs = x.join(y, "group").where(
+    pairs = x.join(broadcast_if_small(y), "group").where(
         (F.col("own_x") <= F.col("own_y")) & (F.col("only_x").isNull() | F.col("only_y").isNull()
                                               | (F.col("only_x") != F.col("only_y")))
         & (den * F.col("high_x") >= num * F.col("low_y")) & (den * F.col("high_y") >= num * F.col("low_x")))
     pairs = pairs.select("group", F.col("own_x").alias("lo"), F.col("own_y").alias("hi"),
                          F.explode(F.array_distinct(F.array("own_x", "own_y"))).alias("own"))
-    units = wide.join(pairs, ["group", "own"]).select("group", "lo", "hi", "own", "code")
-    for nth, mode in enumerate(("span", "span", "all")):
-        found = _propose(units, texts, after, similarity, mode, nth)
-        after, tried = _settle(found, texts, after, tried, words, similarity)
-        release(found)
-    release(placed, several, wide, names)
-    return after
+    pairs = stage(pairs, "nj_block_pairs")
+    units = wide.join(broadcast_if_small(pairs), ["group", "own"]).select("group", "lo", "hi", "own", "code")
+    return units, [wide, names, pairs]
 
 
 def _moved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -647,27 +699,34 @@ def _moved(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "likely", "ca", "cb")
 
 
-def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFrame | None, words: int, similarity):
+def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFrame | None, words: int, similarity,
+            at_once: bool = False):
     """Checks proposed pairs until none joins two components: (comp, tried).
-    While there are many, only the likeliest pair of each component is checked,
+    ``at_once`` checks them all in one round where they are at most as many as
+    the classes. Else, while there are many, only the likeliest pair of each component is checked,
     then of each pair of components; pairs whose ends have met are dropped.
     The rounds move the pairs' own components (ca, cb) and keep the checked
     links; ``comp``, a row per class, is written once at the end."""
-    pairs = stage(found.groupBy("a", "b").agg(F.max("likely").alias("likely")), "nj_pairs")
-    small, few_classes = pairs.count() <= BROADCAST_ROWS, comp.count() <= BROADCAST_ROWS
+    n_found, n_classes = found.count(), comp.count()
+    if not n_found:
+        return comp, tried
+    small, few_classes = n_found <= BROADCAST_ROWS, n_classes <= BROADCAST_ROWS
+    pairs = (found.coalesce(1) if small else found).groupBy("a", "b").agg(F.max("likely").alias("likely"))
     likeliest = F.max(F.struct("likely", "a", "b")).alias("m")
-    side = lambda end: comp.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
+    known = F.broadcast(comp) if few_classes else comp
+    side = lambda end: known.select(F.col("code").alias(end), F.col("comp").alias(f"c{end}"))
     placed = pairs.join(side("a"), "a").join(side("b"), "b").where("ca != cb").select("a", "b", "likely", "ca", "cb")
     if tried is not None:
-        placed = placed.join(tried, ["a", "b"], "left_anti")
-    old, pairs = pairs, stage(few(placed, small), "nj_pairs")
-    release(old)
+        placed = placed.join(broadcast_if_small(tried), ["a", "b"], "left_anti")
+    pairs = stage(few(placed, small), "nj_pairs")
     joined, roots = [], None
     for nth in range(1_000):
         n_pairs = pairs.count()
         if not n_pairs:
             break
-        if nth < 3:
+        if at_once and n_pairs <= n_classes:
+            best = None
+        elif nth < 3:
             best = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "likely").groupBy("c").agg(likeliest)
         elif nth < 6:
             best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(likeliest)
@@ -680,8 +739,9 @@ def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFram
         ends = now.select("a", "b", F.explode(F.array("a", "b")).alias("code"))
         if 2 * n_now <= BROADCAST_ROWS:
             ends = F.broadcast(ends)
-        checked = stage(texts.select("code", "packed", "size").join(ends, "code").select("a", "b", "packed", "size")
-                        .repartition("a", "b").sortWithinPartitions("a", "b")
+        both = (texts.select("code", "packed", "size").join(ends, "code").select("a", "b", "packed", "size")
+                .repartition("a", "b"))
+        checked = stage(few(both, 2 * n_now <= FEW_ROWS).sortWithinPartitions("a", "b")
                         .mapInArrow(_verify(words, similarity), "a long, b long, link boolean"), "nj_checked")
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         release(best)
@@ -690,7 +750,7 @@ def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFram
         rest = pairs.join(F.broadcast(done) if n_now <= BROADCAST_ROWS else done, ["a", "b"], "left_anti")
         if joins.limit(1).count():
             joined.append(joins)
-            roots = stage(connected_components(joins, "ca", "cb"), "nj_roots")
+            roots = stage(connected_components(joins.coalesce(1) if small else joins, "ca", "cb"), "nj_roots")
             rest = _moved(rest, broadcast_if_small(roots)).where("ca != cb")
         if n_now == n_pairs:
             break
@@ -707,7 +767,7 @@ def _settle(found: DataFrame, texts: DataFrame, comp: DataFrame, tried: DataFram
         links = joined[0]
         for joins in joined[1:]:
             links = links.unionByName(joins)
-        roots = stage(connected_components(links, "ca", "cb"), "nj_roots")
+        roots = stage(connected_components(links.coalesce(1) if small else links, "ca", "cb"), "nj_roots")
     after = stage(few(comp.join(broadcast_if_small(roots), F.col("comp") == F.col("node"), "left")
                       .select("code", F.coalesce("root", "comp").alias("comp")), few_classes), "nj_comp")
     release(comp, roots, *joined)

@@ -437,3 +437,50 @@ def test_components_are_written_once_a_settling(spark, monkeypatch):
     after, tried = ngram_join._settle(found, texts, comp, None, 5, (75, 100))
     assert {tuple(r) for r in after.collect()} == {(k, 0) for k in range(4)} and tried.count() == 3
     assert names.count("nj_checked") == 2 and names.count("nj_comp") == 1
+
+
+def test_shared_codes_drop_no_link_and_few_steps_are_taken(spark, monkeypatch):
+    """Families, and pairs that share a passage but do not link: pairs of too
+    few shared prefix codes are not checked, and the join takes few steps."""
+    rng = random.Random(11)
+    rows = _corpus(12, 200)
+    for k in range(60):
+        mine = rng.choices(range(10 ** 6), k=120)
+        for twin in range(2):
+            own = mine[:30] + rng.choices(range(10 ** 6), k=90)
+            rows.append((1_000 + 2 * k + twin, " ".join(f"y{w}" for w in own)))
+    names, checked, real = [], [], ngram_join.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        names.append(name)
+        if name == "nj_checked":
+            checked.extend(map(tuple, out.collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == sorted(_brute(rows))
+    # the 60 pairs of the shared passage have a similarity near 0.13
+    twins = {ngram_join.set_code(s) for s in shingle_sets([t.encode() for _, t in rows[200:]])}
+    assert not [c for c in checked if c[0] in twins or c[1] in twins]
+    assert len(names) <= 30
+
+
+def test_need_of_shared_prefix_codes_is_met_by_every_link():
+    """In any order of the codes, linked sets share as many prefix codes as
+    ``_shared_pairs`` asks for."""
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n, extra = int(rng.integers(1, 80)), int(rng.integers(0, 30))
+        codes = rng.permutation(n + 2 * extra).astype(np.uint64)
+        cut = int(rng.integers(0, extra + 1))
+        sets = [np.sort(codes[:n + cut]), np.sort(np.concatenate([codes[:n], codes[n + cut:n + extra]]))]
+        both = len(np.intersect1d(*sets))
+        shared = len(np.intersect1d(*(ngram_join.ordered_prefix(s, np.zeros(0, np.uint64), np.zeros(0)) for s in sets)))
+        if shared and 100 * both >= 75 * (sum(map(len, sets)) - both):
+            batch = lm.pa.RecordBatch.from_arrays(
+                [lm.pa.array(c, lm.pa.int64()) for c in ([7, 7], [1, 2], [1, 2], [*map(len, sets)], [shared] * 2)],
+                names=["group", "code", "comp", "n", "held"])
+            (row,) = [r for b in ngram_join._shared_pairs((75, 100))([batch]) for r in b.to_pylist()]
+            assert row["held"] >= row["need"]
