@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -354,6 +355,38 @@ def test_training_takes_every_window_once(monkeypatch):
     assert sorted(taken) == sorted(attention.windows(n[[0, 1, 3]])[0].tolist()) and seen == len(taken)
 
 
+def _some_windows(windows):
+    rng = np.random.default_rng(4)
+    n = np.full(windows, attention.STRIDE)
+    x, y = rng.integers(0, attention.SLOTS, (2, n.sum()))
+    return attention.gather(x, y, *attention.windows(n))
+
+
+def test_a_training_step_asks_for_little_fresh_memory():
+    model = attention.Model(attention.initial(np.ones(attention.SLOTS)))
+    adam, batch = attention.Adam(model.flat), _some_windows(lm.BATCH)
+    adam.step(model.gradient(*batch))
+    tracemalloc.start()
+    try:
+        adam.step(model.gradient(*batch))
+        assert tracemalloc.get_traced_memory()[1] < 2.5e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_softmax_of_large_terms():
+    rng = np.random.default_rng(5)
+    for far in (0.0, 200.0, -200.0):
+        z = (rng.standard_normal((50, attention.GROUP)) + far).astype(np.float32)
+        choice, exact = rng.integers(0, attention.GROUP, 50), z.astype(np.float64)
+        exact -= exact.max(axis=1, keepdims=True)
+        exact -= np.log(np.exp(exact).sum(axis=1, keepdims=True))
+        assert np.allclose(attention.Model._own(z.copy(), choice), exact[np.arange(50), choice], atol=1e-4)
+        error = np.exp(exact)
+        error[np.arange(50), choice] -= 1
+        assert np.allclose(attention.Model._error(z, choice), error / 50, atol=1e-6)
+
+
 def test_training_beats_the_untrained_model(spark):
     rng = random.Random(3)
     docs = [(k, " ".join(rng.choice(["the cat sat on the mat", "dogs run in the park"]) for _ in range(30))) for k in range(400)]
