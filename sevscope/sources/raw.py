@@ -1,7 +1,7 @@
 """Raw ticket files as a stream (S2, X1): CSV or JSON lines as they arrive.
 
 The raw names are found from the files present (the CSV header, or the keys of
-the largest JSON file); every value is read as text. A record that does not fit
+the largest JSON file with a readable record); every value is read as text. A record that does not fit
 goes to the quarantine with its text instead of failing the stream. Headers are
 normalised and renamed as in the batch source (P1, P2), and the tokens that
 stand for a missing value become NULL.
@@ -18,17 +18,27 @@ from ..operators import prep
 BAD = "_corrupt_record"
 
 
+def _json_names(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the largest file, or where it holds nothing but broken records
+    (packed files are smaller than they read) of the next ones, 2, 4, 8, ... at once."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").orderBy(F.desc("length"), "path").collect()
+    if not files:
+        raise ValueError(f"no raw ticket files in {path}")
+    at, names = 0, []
+    while at < len(files) and not names:
+        some = [r["path"] for r in files[at:2 * at + 1]]
+        names = [c for c in spark.read.option("primitivesAsString", True).json(some).columns if c != BAD]
+        at += len(some)
+    return names
+
+
 def raw_schema(spark: SparkSession, path: str, fmt: str) -> T.StructType:
     """All columns of the raw files as text, and the column of bad records."""
     if fmt == "csv":
         seen = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        names = [c for c in seen.columns if c != BAD]
     else:
-        # the largest file: the smallest may hold nothing but broken records
-        first = spark.read.format("binaryFile").load(path).select("path", "length").orderBy(F.desc("length"), "path").first()
-        if first is None:
-            raise ValueError(f"no raw ticket files in {path}")
-        seen = spark.read.option("primitivesAsString", True).json(first["path"])
-    names = [c for c in seen.columns if c != BAD]
+        names = _json_names(spark, path)
     if not names:
         raise ValueError(f"no raw ticket columns in {path}")
     return T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField(BAD, T.StringType())])

@@ -1,5 +1,6 @@
 """Raw file streams with a quarantine, and model bundles."""
 
+import gzip
 import json
 import os
 import tempfile
@@ -48,6 +49,19 @@ def test_json_stream_quarantines_broken_lines(spark):
         [("1", "high"), ("2", "high")], sorted([("{not json", "a.json"), ('{"Ticket ID": 3, "Tick', "a.json")]))
 
 
+def test_json_names_are_found_behind_larger_files_of_broken_lines(spark):
+    folder, out = tempfile.mkdtemp(), tempfile.mkdtemp() + "/out"
+    row = {"Ticket ID": 1, "Ticket Subject": "s", "ticket_description": "d" * 5_000, "ticket_channel": None,
+           "Priority_Level": "HIGH", "Resolution Time": "3 hours"}
+    with gzip.open(f"{folder}/a.json.gz", "wt") as f:
+        f.writelines(json.dumps({**row, "Ticket ID": k}) + "\n" for k in range(3))
+    for k in range(4):          # larger than the packed file, though it reads as more
+        with open(f"{folder}/b{k}.json", "w") as f:
+            f.writelines(f'{{"Ticket ID": {n}, "BROKEN\n' for n in range(100))
+    good, bad = _scored(spark, folder, "json", out)
+    assert good == [("0", "high"), ("1", "high"), ("2", "high")] and len(bad) == 400
+
+
 def test_raw_streams_refuse_what_they_cannot_read(spark):
     folder = tempfile.mkdtemp()
     with pytest.raises(ValueError):
