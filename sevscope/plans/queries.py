@@ -26,6 +26,10 @@ from ..streaming import score as stream
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+#: A packed file is one task for its reader, so its rows are limited.
+_PACKED = {"compression": "gzip", "maxRecordsPerFile": sinks.MULTI_LINE_ROWS}
+
+
 def query(fn):
     REGISTRY[fn.__name__] = scoped(fn)
     return fn
@@ -59,9 +63,9 @@ def csv_tickets(spark, sf_dir):
     path = shared_path(spark, "csv")
     t = tickets(spark, sf_dir).select(*[c for c in TICKET_COLUMNS if c != "cluster"])
     t = t.withColumn("ticket_id", F.concat(F.lit("TKT-"), F.col("ticket_id")))
-    t.withColumnsRenamed(names).write.option("header", True).option("escape", '"').option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
-        "maxRecordsPerFile", sinks.MULTI_LINE_ROWS).csv(path)
+    # a file whose fields hold line breaks is one task for its reader anyway, so packing costs no splits
+    t.withColumnsRenamed(names).write.options(**_PACKED).option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return sinks.read_tickets_csv(spark, path)
 
 
@@ -605,10 +609,6 @@ _RAW_NAMES = {"ticket_id": "Ticket ID", "ticket_subject": " Ticket Subject", "ti
               "ticket_type": "Issue Category", "resolution_time_hours": "Resolution Time"}
 
 
-#: A packed file is one task for its reader, so its rows are limited.
-_PACKED = {"compression": "gzip", "maxRecordsPerFile": sinks.MULTI_LINE_ROWS}
-
-
 def _raw_files(spark, sf_dir, fmt):
     """The tickets as raw files with the public header names, and files of
     broken records, one for every 100th order."""

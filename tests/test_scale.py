@@ -69,6 +69,14 @@ def test_files_of_one_task_have_few_rows_and_raw_files_go(spark, small_dir, monk
     assert len(paths) == 2 and not any(p.getFileSystem(conf).exists(p) for p in paths)
 
 
+def test_written_tickets_are_packed(spark, small_dir):
+    import __spark_entry__ as E
+    df = E.queries()["csv_tickets"](spark, small_dir)
+    lengths = spark.read.format("binaryFile").load(df.inputFiles()).select("length").collect()
+    texts = df.selectExpr("sum(octet_length(ticket_description)) n").first().n
+    assert all(f.endswith(".gz") for f in df.inputFiles()) and sum(r.length for r in lengths) < texts / 2
+
+
 def test_long_rows_are_taken_in_parts():
     import numpy as np
     from sevscope.operators import clusters, partials
