@@ -18,7 +18,7 @@ def _texts():
     rng = random.Random(3)
     kinds = ((32, 127), (0xA0, 0x800), (0x800, 0xD800), (0xE000, 0x110000), (32, 33), (32, 33))
     odd = ["", None, " ", "a", "__ a_b É٣x y ½ ² Ⅷ 中文字 \U0001F600x\U0001D7D8 éa", "x" * 31, "y" * 32, "z" * 33 + " " + "w" * 100,
-           "q" * 70_000 + " r", "a\tb\nc\x0bd\x0ce\rf\u0085g h i", "  lead and trail  ", "İstanbul ẞ ǅ", "w " * 300]
+           "q" * 70_000 + " r", "a\tb\nc\x0bd\x0ce\rf\u0085g h i", "  lead and trail  ", "İstanbul ẞ ǅ", "w " * 300, "ΑΣ\u0301Σ' ΟΔΟΣ.ΑΣ ΣΣ ΑΣ"]
     return odd + ["".join(chr(rng.randrange(*rng.choice(kinds))) for _ in range(rng.randrange(400))) for _ in range(300)]
 
 
@@ -79,3 +79,19 @@ def test_an_audit_of_texts_keeps_no_slots_or_vectors(spark, small_dir):
     fusion.audit(tickets(spark, small_dir).drop("cluster"), ml_cfg=MLConfig(num_features=1 << 12, kmeans_starts=2))
     left = {p.rsplit("/", 2)[-2] for p in set(staged_tables(spark)) - before}
     assert left == {"signals", "rule_histogram", "rule_rank"}
+
+
+def test_term_frequencies_are_those_of_the_ml_stages(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from sevscope.operators import ml
+    texts = [t for t in _texts() if t is not None] + ["no " * 700 + "yes"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id long, t string").repartition(3)
+    stages = [RegexTokenizer(inputCol="t", outputCol="w", pattern=clusters.WORD_GAP, toLowercase=True),
+              HashingTF(inputCol="w", outputCol="tf", numFeatures=N)]
+    want = {r.ticket_id: (r.n, r.tf) for r in PipelineModel(stages).transform(df).select("ticket_id", F.size("w").alias("n"), "tf").collect()}
+    made = ml.term_frequencies(df, "t", N)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "MapInArrow" not in plan       # staged
+    assert {r.ticket_id: (r.n_tokens, r["__tf"]) for r in made.collect()} == want
+    release(made)
